@@ -1,0 +1,97 @@
+"""Stand-in inputs built from the driver tables (see FIXTURES.md).
+
+Every fixture is a lazy DataFrame derived from the given parquet tables, so its size
+grows with them. Nothing is materialised on the driver.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.reshape import unpivot_labels
+
+# Fixed values of the fixture (FIXTURES.md B1).
+FX_CUTOFFS = {"RU": "1997-02-24", "IP": "1999-10-07"}
+FX_URL_ID0 = {"RU": 60395600, "IP": 60395900}
+FX_EVENTS = [("1996-08-15", "Marker event"), ("1997-02-24", "RU cutoff"), ("1999-10-07", "IP cutoff")]
+FX_LABEL_COLUMNS = {
+    "predicted_label_bert": "BERT",
+    "predicted_label_deepseek": "DeepSeek",
+    "predicted_label_gemini": "Gemini",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def _mod(c: str, m: int) -> Column:
+    return F.col(c) % F.lit(m)
+
+
+def fx_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide label table: one article per order, four label columns with the reference's traps."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    prio = F.substring("o_orderpriority", 1, 1)
+    st = F.col("o_orderstatus")
+    return o.select(
+        k.alias("art_id"),
+        F.when(_mod("o_custkey", 2) == 0, "BBC").otherwise("Guardian").alias("outlet"),
+        F.when(_mod("o_orderkey", 2) == 0, "RU").otherwise("IP").alias("topic"),
+        F.when(_mod("o_orderkey", 3) == 0,
+               F.concat(F.lit("https://news.example/articles/c"), k.cast("string"), F.lit("o")))
+         .otherwise(F.concat(F.lit("https://news.example/world-"), (k + 60395000).cast("string")))
+         .alias("url"),
+        F.when(_mod("o_orderkey", 5) == 0, "What if Russia invades")
+         .when(_mod("o_orderkey", 5) == 1, "The war diary")
+         .when(_mod("o_orderkey", 5) == 2, "Ceasefire talks")
+         .when(_mod("o_orderkey", 5) == 3, "Markets today").alias("title"),
+        F.when(_mod("o_orderkey", 97) == 0, F.lit(None)).otherwise(F.col("o_orderdate"))
+         .cast("timestamp_ntz").alias("published_ts"),
+        F.when(prio == "1", "LEFT").when(prio == "2", "RIGHT").when(prio == "3", "CENTER")
+         .when(prio == "4", "error").alias("predicted_label_bert"),
+        F.when(_mod("o_orderkey", 41) == 0, "[ERROR] copyright timeout")
+         .when(st == "F", " left ").when(st == "O", "Centre").when(st == "P", "Right-leaning")
+         .alias("predicted_label_deepseek"),
+        F.when(_mod("o_orderkey", 53) == 0, "[Failed]")
+         .when(_mod("o_orderkey", 7) < 3, "Left").when(_mod("o_orderkey", 7) < 6, "Center")
+         .otherwise("Right").alias("predicted_label_gemini"),
+        F.when(_mod("o_orderkey", 29) == 0, "Unknown")
+         .when(st == "F", "left").when(st == "O", "CENTER ").when(st == "P", "Right")
+         .alias("leaning"),
+    )
+
+
+def fx_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx unpivoted once to (art_id, outlet, topic, url, title, published_ts, model, raw_label)."""
+    return unpivot_labels(fx_labels(spark, sf_dir),
+                          ["art_id", "outlet", "topic", "url", "title", "published_ts"],
+                          FX_LABEL_COLUMNS)
+
+
+def fx_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx plus exact copies (art_id % 50 = 0) and same-url rows with null labels and an
+    earlier order key (art_id % 70 = 0). ``ord`` is the file-order key."""
+    fx = fx_labels(spark, sf_dir).withColumn("ord", F.col("art_id") * 2 + 1)
+    exact = fx.filter(_mod("art_id", 50) == 0).withColumn("ord", F.col("art_id") * 2 + 2)
+    early = (fx.filter(_mod("art_id", 70) == 0)
+               .withColumn("ord", F.col("art_id") * 2)
+               .withColumns({c: F.lit(None).cast("string") for c in
+                             ["predicted_label_bert", "predicted_label_deepseek",
+                              "predicted_label_gemini", "leaning"]}))
+    return fx.unionByName(exact).unionByName(early)
+
+
+def docs_with_na(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with NA-like tokens and blanks injected into lang/source by doc_id % 20."""
+    d = table(spark, sf_dir, "documents")
+    m = _mod("doc_id", 20)
+    lang = (F.when(m == 1, "NA").when(m == 2, "nan").when(m == 3, " \t").when(m == 4, "")
+             .otherwise(F.col("lang")))
+    source = (F.when(m == 5, "null").when(m == 6, "N/A").when(m == 7, "  ")
+               .otherwise(F.col("source")))
+    return d.select("doc_id", lang.alias("lang"), source.alias("source"))
