@@ -73,6 +73,14 @@ def fx_long(spark: SparkSession, sf_dir: str) -> DataFrame:
                           FX_LABEL_COLUMNS)
 
 
+FX_ALL_LABEL_COLUMNS = {**FX_LABEL_COLUMNS, "leaning": "Claude"}
+
+
+def fx_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four raw label columns (the Claude column is ``leaning``) as (art_id, model, raw_label)."""
+    return unpivot_labels(fx_labels(spark, sf_dir), ["art_id"], FX_ALL_LABEL_COLUMNS)
+
+
 def fx_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx plus exact copies (art_id % 50 = 0) and same-url rows with null labels and an
     earlier order key (art_id % 70 = 0). ``ord`` is the file-order key."""
