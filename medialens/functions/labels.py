@@ -92,6 +92,13 @@ def map_sentiment(c) -> Column:
     return e.otherwise(F.lit("unknown"))
 
 
+def title_score(c) -> Column:
+    """L3 followed by L7 in one CASE: Left -1, Center 0, Right 1 after strip + title-case."""
+    s = F.lower(ws_trim(_c(c)))
+    return (F.when(s == "left", F.lit(-1)).when(s == "center", F.lit(0))
+             .when(s == "right", F.lit(1)))
+
+
 def label_score(c) -> Column:
     """Left -1, Center 0, Right 1, else null (applied after L3)."""
     e = F.when(F.lit(False), F.lit(None).cast("int"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes all whitespace; Spark's trim() only spaces.
-_WS_EDGES = r"^\s+|\s+$"
+# Python's str.strip() removes all whitespace; Spark's one-argument trim() only spaces.
+# The character-set form of trim is a plain scan (no regex), same set as regex \s.
+WS_CHARS = " \t\n\x0b\f\r"
 
 # Word-token classes (Unicode letters/digits/underscore). Spelled out so the same
 # pattern means the same thing in Java regex and in RE2.
@@ -20,7 +21,7 @@ def _c(c) -> Column:
 
 def ws_trim(c) -> Column:
     """Strip leading/trailing whitespace of any kind (Python ``str.strip``)."""
-    return F.regexp_replace(_c(c), _WS_EDGES, "")
+    return F.trim(_c(c), F.lit(WS_CHARS))
 
 
 def compose_text(*cols, sep: str = " ") -> Column:

@@ -28,12 +28,19 @@ def resolve_date_column(columns: Sequence[str], candidates: Sequence[str] = DATE
     raise ValueError("no date column found")
 
 
-def parseable_counts(df: DataFrame, formats: Sequence[str] = PROBE_FORMATS) -> DataFrame:
+ISO_SHAPE = r"^\s*\d{4}-\d{2}-\d{2}"
+
+
+def parseable_counts(df: DataFrame, formats: Sequence[str] = PROBE_FORMATS,
+                     shape: str | None = ISO_SHAPE) -> DataFrame:
     """D2 (data part): for every column, how many values parse as a timestamp. One global
     aggregate over the data, returned long as (column_name, ordinal, n_parseable)."""
     def parsed(c):
         s = F.col(c).cast("string")
-        return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+        p = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+        # a cheap shape test first (failed parses are costly and most columns are not
+        # dates); pass shape=None for formats that do not start with yyyy-MM-dd
+        return F.when(s.rlike(shape), p) if shape else p
     wide = df.agg(*[F.count(parsed(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"),
                                F.col(f"c{i}").alias("n_parseable")) for i, c in enumerate(df.columns)])

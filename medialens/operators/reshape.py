@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import label_score, norm_title
+from ..functions.labels import title_score
 
 
 def unpivot_labels(df: DataFrame, ids: Sequence[str], label_cols: dict[str, str],
@@ -66,7 +66,7 @@ def spine_fill(spine: DataFrame, facts: DataFrame, keys: Sequence[str], fill: di
 
 def score_long(df: DataFrame, label_col: str = "raw_label") -> DataFrame:
     """L3 then L7: rows with a mappable label get an integer score; others are dropped."""
-    return (df.withColumn("score", label_score(norm_title(F.col(label_col))))
+    return (df.withColumn("score", title_score(F.col(label_col)))
               .filter(F.col("score").isNotNull()))
 
 

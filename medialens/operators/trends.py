@@ -35,48 +35,88 @@ def monthly_class_counts(df: DataFrame, by: Sequence[str], label: str, ts: str,
                   F.count(F.lit(1)).alias("total")))
 
 
-def month_spine(facts: DataFrame, range_by: Sequence[str], series: Sequence[str],
-                month_col: str = "month_start") -> DataFrame:
-    """All months between the joint min and max of ``range_by`` groups (R5), crossed with
-    every series seen in that group. Built from already aggregated facts."""
-    rng = (facts.groupBy(*range_by)
-                .agg(F.min(month_col).alias("_lo"), F.max(month_col).alias("_hi"))
-                .select(*range_by, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month")))
-                        .alias(month_col)))
-    ser = facts.select(*range_by, *series).distinct()
-    return rng.join(ser, list(range_by))
+def complete_calendar(facts: DataFrame, series: Sequence[str], period: str, values: Sequence[str],
+                      step: Column, range_by: Sequence[str] | None = None, mode: str = "range",
+                      keep_range: bool = False) -> DataFrame:
+    """Give every series a complete period axis in ONE pass over the aggregated facts.
+
+    ``mode='range'``: every period from the first to the last of its ``range_by`` group
+    (default: the series itself), stepping by ``step`` (R5/R6). ``mode='union'``: the
+    distinct periods seen anywhere in the ``range_by`` group (J9). Values of absent
+    periods are null.
+
+    Each series' facts are packed into one map (period -> values) and the axis is
+    exploded against it: the packed row is bounded by the calendar length (months or
+    weeks), never by the raw row count, since facts are aggregated first. No join and
+    no second scan of the input.
+    """
+    rb = list(range_by or series)
+    f = facts
+    if mode == "union":
+        f = f.withColumn("_axis", F.collect_set(period).over(Window.partitionBy(*rb)))
+        axis = F.array_sort(F.first("_axis"))
+    elif rb != list(series):
+        w = Window.partitionBy(*rb)
+        f = f.withColumn("_lo", F.min(period).over(w)).withColumn("_hi", F.max(period).over(w))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col(period), F.struct(*values))))
+    if mode == "union":
+        packed = f.groupBy(*series).agg(axis.alias("_axis"), entries.alias("_m"))
+        ex = packed.select(*series, "_m", F.explode("_axis").alias(period))
+    else:
+        lo = F.first("_lo") if rb != list(series) else F.min(period)
+        hi = F.first("_hi") if rb != list(series) else F.max(period)
+        packed = f.groupBy(*series).agg(lo.alias("_lo"), hi.alias("_hi"), entries.alias("_m"))
+        ex = packed.select(*series, "_m", "_lo", "_hi", F.explode(F.sequence("_lo", "_hi", step)).alias(period))
+    out = ex.select(*series, period, *(["_lo", "_hi"] if keep_range and mode == "range" else []),
+                    *[F.try_element_at("_m", F.col(period)).getField(v).alias(v) for v in values])
+    return out
 
 
 def month_spine_fill(facts: DataFrame, range_by: Sequence[str], series: Sequence[str],
-                     month_col: str = "month_start", fill_cols: Sequence[str] = ()) -> DataFrame:
-    """Complete month axis per series; absent months get zero counts."""
-    spine = month_spine(facts, range_by, series, month_col)
-    out = spine.join(facts, [*range_by, *series, month_col], "left")
+                     month_col: str = "month_start", fill_cols: Sequence[str] = (),
+                     keep_range: bool = False) -> DataFrame:
+    """J1 + R5: complete month axis (joint range of the ``range_by`` group) per series;
+    absent months get zero counts."""
+    out = complete_calendar(facts, [*range_by, *series], month_col, list(fill_cols),
+                            F.expr("interval 1 month"), range_by=range_by, keep_range=keep_range)
     return out.na.fill(0, subset=list(fill_cols))
 
 
-def month_segments(spine_months: DataFrame, by: Sequence[str], k: int = 6,
-                   month_col: str = "month_start") -> DataFrame:
-    """Split each ordered month axis into k consecutive blocks (first n mod k one longer),
-    labelled 'first ~ last'. Input is one row per (by..., month): a calendar, not data."""
-    w = Window.partitionBy(*by).orderBy(month_col)
-    seg = spine_months.select(*by, month_col).distinct().withColumn("segment", F.ntile(k).over(w))
-    ws = Window.partitionBy(*by, "segment")
-    lab = F.concat(F.date_format(F.min(month_col).over(ws), "yyyy-MM"), F.lit(" ~ "),
-                   F.date_format(F.max(month_col).over(ws), "yyyy-MM"))
-    return seg.withColumn("segment_label", lab)
+def segment_of(month: Column, lo: Column, hi: Column, k: int = 6) -> tuple[Column, Column]:
+    """W3 in closed form: split the months lo..hi into k consecutive blocks, the first
+    n mod k one longer (numpy.array_split); returns (1-based segment, 'first ~ last')."""
+    n = F.months_between(hi, lo).cast("int") + 1
+    i = F.months_between(month, lo).cast("int")
+    q, r = F.floor(n / k).cast("int"), (n % k)
+    big = r * (q + 1)
+    seg0 = F.when(i < big, F.floor(i / (q + 1))).otherwise(r + F.floor((i - big) / F.greatest(q, F.lit(1)))).cast("int")
+    first = F.when(seg0 < r, seg0 * (q + 1)).otherwise(big + (seg0 - r) * q)
+    size = F.when(seg0 < r, q + 1).otherwise(q)
+    label = F.concat(F.date_format(F.add_months(lo, first), "yyyy-MM"), F.lit(" ~ "),
+                     F.date_format(F.add_months(lo, first + size - 1), "yyyy-MM"))
+    return (seg0 + 1), label
+
+
+def month_segments(facts: DataFrame, by: Sequence[str], k: int = 6, month_col: str = "month_start") -> DataFrame:
+    """W3 over the joint month range of each ``by`` group: one row per (by..., month)."""
+    rng = facts.groupBy(*by).agg(F.min(month_col).alias("_lo"), F.max(month_col).alias("_hi"))
+    sp = rng.select(*by, "_lo", "_hi", F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias(month_col))
+    seg, lab = segment_of(F.col(month_col), F.col("_lo"), F.col("_hi"), k)
+    return sp.select(*by, month_col, seg.alias("segment"), lab.alias("segment_label"))
 
 
-def segment_means(filled: DataFrame, segs: DataFrame, by: Sequence[str], series: Sequence[str],
-                  classes: Sequence[str] = CLASSES, weighted: bool = True,
+def segment_means(filled: DataFrame, by: Sequence[str], series: Sequence[str],
+                  classes: Sequence[str] = CLASSES, weighted: bool = True, k: int = 6,
                   month_col: str = "month_start") -> DataFrame:
     """Per (by..., segment, series...) the class means over the segment's months.
 
-    Weighted: sum(count)/sum(total), exact from integers (equals the total-weighted mean
-    of monthly shares). Simple: plain mean of monthly shares, a zero-filled month counting
-    as 0. N is the summed total. The segment table is a small calendar joined on keys.
+    ``filled`` comes from :func:`month_spine_fill` with ``keep_range=True``. Weighted:
+    sum(count)/sum(total), exact from integers (equals the total-weighted mean of monthly
+    shares). Simple: plain mean of monthly shares, a zero-filled month counting as 0.
+    N is the summed total. One aggregation over the (small) filled calendar.
     """
-    j = filled.join(segs, [*by, month_col])
+    seg, lab = segment_of(F.col(month_col), F.col("_lo"), F.col("_hi"), k)
+    j = filled.withColumn("segment", seg).withColumn("segment_label", lab)
     grp = [*by, "segment", "segment_label", *series]
     if weighted:
         aggs = [F.sum(f"n_{_key(k)}").alias(f"_s_{_key(k)}") for k in classes]
@@ -97,19 +137,25 @@ def weekly_mean(df: DataFrame, by: Sequence[str], ts: str, score: str) -> DataFr
 
 def centred_rolling(weekly: DataFrame, by: Sequence[str], width: int = 3, value: str = "idx",
                     out: str = "smoothed", digits: int | None = 9) -> DataFrame:
-    """W2 over a dense week spine (R6): per series, every week between its first and last;
+    """W2 over a dense week axis (R6): per series, every week between its first and last;
     the centred mean of ``width`` weeks is null unless all of them have a value.
 
-    The window is partitioned by series, so no single task sees more than one series'
-    calendar (a few hundred weeks per year of data)."""
-    rng = (weekly.groupBy(*by).agg(F.min("week").alias("_lo"), F.max("week").alias("_hi"))
-                 .select(*by, F.explode(F.sequence("_lo", "_hi", F.expr("interval 7 days"))).alias("week")))
-    dense = rng.join(weekly, [*by, "week"], "left")
+    Each series' weekly means are packed into one map (bounded by its number of weeks)
+    and the neighbours are looked up by date, so no window sort and no second scan."""
     half = width // 2
-    w = Window.partitionBy(*by).orderBy("week").rowsBetween(-half, half)
-    mean = F.avg(value).over(w)
-    sm = F.when(F.count(value).over(w) == width, F.round(mean, digits) if digits is not None else mean)
-    return dense.withColumn(out, sm)
+    packed = weekly.groupBy(*by).agg(F.min("week").alias("_lo"), F.max("week").alias("_hi"),
+                                     F.map_from_entries(F.collect_list(F.struct("week", value))).alias("_m"))
+    ex = packed.select(*by, "_m", F.explode(F.sequence("_lo", "_hi", F.expr("interval 7 days"))).alias("week"))
+    nb = [F.try_element_at("_m", F.date_add("week", 7 * j)) for j in range(-half, half + 1)]
+    total = nb[0]
+    for v in nb[1:]:
+        total = total + v
+    mean = total / F.lit(float(width))
+    full = F.lit(True)
+    for v in nb:
+        full = full & v.isNotNull()
+    sm = F.when(full, F.round(mean, digits) if digits is not None else mean)
+    return ex.select(*by, "week", nb[half].alias(value), sm.alias(out))
 
 
 def combine_series(smoothed: DataFrame, by: Sequence[str], value: str = "smoothed") -> DataFrame:

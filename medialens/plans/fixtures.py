@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reshape import unpivot_labels
+from ..sources.files import read_parquet
 
 # Fixed values of the fixture (FIXTURES.md B1).
 FX_CUTOFFS = {"RU": "1997-02-24", "IP": "1999-10-07"}
@@ -25,7 +26,7 @@ FX_LABEL_COLUMNS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _mod(c: str, m: int) -> Column:

@@ -133,9 +133,7 @@ def month_spine_fill(spark, sf):
 @query("month_segments", f"""{WITH}, {_mf_sql()}, {SPINE_SQL}
 SELECT topic, strftime(ms, '%Y-%m') AS month, segment, segment_label FROM segs""")
 def month_segments(spark, sf):
-    f = _facts(spark, sf)
-    spine = T.month_spine(f, ["topic"], [])
-    return T.month_segments(spine, ["topic"], 6).select("topic", _month(), "segment", "segment_label")
+    return T.month_segments(_facts(spark, sf), ["topic"], 6).select("topic", _month(), "segment", "segment_label")
 
 
 def _segment_sql(weighted: bool, gapped: bool) -> str:
@@ -151,11 +149,9 @@ GROUP BY f.topic, segment, segment_label, outlet, model"""
 
 
 def _segment_trend(spark, sf, weighted: bool, gapped: bool) -> DataFrame:
-    f = _facts(spark, sf, gapped)
-    filled = T.month_spine_fill(f, ["topic"], ["outlet", "model"],
-                                fill_cols=["n_left", "n_centre", "n_right", "total"])
-    segs = T.month_segments(T.month_spine(f, ["topic"], []), ["topic"], 6)
-    return T.segment_means(filled, segs, ["topic"], ["outlet", "model"], weighted=weighted)
+    filled = T.month_spine_fill(_facts(spark, sf, gapped), ["topic"], ["outlet", "model"],
+                                fill_cols=["n_left", "n_centre", "n_right", "total"], keep_range=True)
+    return T.segment_means(filled, ["topic"], ["outlet", "model"], weighted=weighted)
 
 
 @query("segment_trend", _segment_sql(True, False))
@@ -177,10 +173,7 @@ LEFT JOIN mf ON mf.topic = ser.topic AND mf.outlet = ser.outlet AND mf.model = s
 def monthly_rl_aligned(spark, sf):
     """Both outlets on the union of their months; a month one outlet lacks is null."""
     f = _rl(_facts(spark, sf, gapped=True))
-    months = f.select("topic", "month_start").distinct()
-    ser = f.select(*SER).distinct()
-    axis = months.join(ser, "topic")
-    out = axis.join(f.select(*SER, "month_start", "rl_diff"), [*SER, "month_start"], "left")
+    out = T.complete_calendar(f, SER, "month_start", ["rl_diff"], None, range_by=["topic"], mode="union")
     return out.select("topic", "model", "outlet", _month(), "rl_diff")
 
 
