@@ -54,14 +54,16 @@ def with_fallback(primary: Scorer, backup: Scorer, final: str = "Unknown") -> Sc
 
 def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: ScorerFactory,
              batch_size: int = 16, out: str = "label", error_label: str = "error",
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, skip: str | None = None) -> DataFrame:
     """Label every row with the scorer, ``batch_size`` rows per call.
 
     ``partitions`` caps the number of concurrent scorer instances (external rate limits);
-    by default the input's partitioning is kept (no shuffle).
+    by default the input's partitioning is kept (no shuffle). Rows whose boolean ``skip``
+    column is true are not sent to the scorer and get ``error_label``.
     """
     keys = list(keys)
-    src = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text))
+    extra = [F.col(skip).alias("_skip")] if skip else []
+    src = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text), *extra)
     if partitions:
         src = src.repartition(partitions)
     key_fields = [f for f in src.schema.fields if f.name in keys]
@@ -70,18 +72,20 @@ def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: Scor
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for pdf in batches:
-            labels: list[str] = []
-            for i in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[i:i + batch_size]
+            labels = pd.Series(error_label, index=pdf.index, dtype=object)
+            todo = pdf[~pdf["_skip"].astype(bool)] if skip else pdf
+            todo = todo[[*keys, text]]
+            for i in range(0, len(todo), batch_size):
+                chunk = todo.iloc[i:i + batch_size]
                 try:
                     res = list(scorer(chunk))
                     if len(res) != len(chunk):
                         raise ValueError("scorer returned a wrong number of labels")
                 except Exception:
                     res = [error_label] * len(chunk)
-                labels.extend(res)
+                labels.loc[chunk.index] = res
             outp = pdf[keys].copy()
-            outp[out] = labels
+            outp[out] = labels.values
             yield outp
 
     return src.mapInPandas(run, schema)
@@ -96,14 +100,11 @@ def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFact
     only if all its windows failed); ``'article'`` makes any failed window fail the article.
     Articles without tokens are ``error``.
     """
-    w = token_windows(df, key, tokens, size, stride, with_tokens=True) \
-        .withColumn("window_text", F.array_join("window", " ")).drop("window")
-    lab = classify(w, [key, "pos"], "window_text", scorer_factory, batch_size)
-    voted = majority_vote(lab, key, "label", "pos", ignore=ignore)
-    if error_scope == "article":
-        failed = lab.groupBy(key).agg(F.max(F.col("label") == "error").alias("_failed"))
-        voted = voted.join(failed, key).select(
-            key, F.when(F.col("_failed"), F.lit("error")).otherwise(F.col("label")).alias("label"), "n_votes")
-    keys = df.select(key)
-    return keys.join(voted, key, "left").select(key, F.coalesce("label", F.lit("error")).alias("label"),
-                                                 F.coalesce("n_votes", F.lit(0).cast("long")).alias("n_votes"))
+    w = (token_windows(df, key, tokens, size, stride, with_tokens=True, keep_empty=True)
+         .withColumn("window_text", F.array_join(F.coalesce("window", F.array()), " "))
+         .withColumn("_empty", F.col("pos") < 0).drop("window"))
+    lab = classify(w, [key, "pos"], "window_text", scorer_factory, batch_size, skip="_empty")
+    # one pass over the scored windows: the vote (and the article-scope failure flag)
+    # come out of the same aggregation, so the scorer never runs twice
+    return majority_vote(lab, key, "label", "pos", ignore=ignore,
+                         fail_label="error" if error_scope == "article" else None)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def drop_exact_duplicates(df: DataFrame, cols: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
@@ -26,5 +27,11 @@ def dedup_first(df: DataFrame, key: Sequence[str] | str, order: Sequence[str] |
     """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
-    w = Window.partitionBy(*key).orderBy(*order)
+    # Long text keys (whole article bodies) sort slowly; a leading 64-bit hash makes the
+    # sort compare a fixed-width prefix first. The key itself stays in the partition spec,
+    # so two texts with equal hashes are still kept apart (exact).
+    parts = [F.col(k) for k in key]
+    if any(isinstance(df.schema[k].dataType, StringType) for k in key):
+        parts = [F.xxhash64(*key)] + parts
+    w = Window.partitionBy(*parts).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")

@@ -20,15 +20,22 @@ POS_BITS = 24
 
 
 def token_windows(df: DataFrame, key: str, tokens: Column, size: int = 512, stride: int = 256,
-                  with_tokens: bool = False) -> DataFrame:
+                  with_tokens: bool = False, keep_empty: bool = False) -> DataFrame:
     """Windows start at 0, stride, 2*stride, ... and stop once a window reaches the end.
 
     Count = 1 if 0 < n <= size else ceil((n - size) / stride) + 1; an empty text has none.
-    Output (key, pos, start, end[, window]) with end exclusive.
+    Output (key, pos, start, end[, window]) with end exclusive. ``keep_empty`` gives an
+    empty text one placeholder row with pos = -1 (so a later vote can see it).
     """
     d = df.select(key, tokens.alias("_tok")).withColumn("_n", F.size("_tok"))
     last = F.ceil(F.greatest(F.col("_n") - size, F.lit(0)) / F.lit(stride)).cast("int")
-    d = d.filter(F.col("_n") > 0).select(key, "_tok", "_n", F.posexplode(F.sequence(F.lit(0), last)).alias("pos", "_i"))
+    if keep_empty:
+        seq = F.when(F.col("_n") > 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(-1)))
+        d = d.select(key, "_tok", "_n", F.posexplode(seq).alias("pos", "_i"))
+        d = d.withColumn("pos", F.when(F.col("_i") < 0, F.lit(-1)).otherwise(F.col("pos")))
+    else:
+        d = d.filter(F.col("_n") > 0).select(key, "_tok", "_n",
+                                             F.posexplode(F.sequence(F.lit(0), last)).alias("pos", "_i"))
     start = F.col("_i") * stride
     cols = [key, "pos", start.alias("start"), F.least(start + size, F.col("_n")).alias("end")]
     if with_tokens:
@@ -37,9 +44,10 @@ def token_windows(df: DataFrame, key: str, tokens: Column, size: int = 512, stri
 
 
 def majority_vote(df: DataFrame, key: str, label: str, pos: str, ignore: Sequence[str] = ("error", "unknown"),
-                  none_label: str = "error") -> DataFrame:
+                  none_label: str = "error", fail_label: str | None = None) -> DataFrame:
     """T4: most common label per key; ties go to the label seen first; ignored labels never
-    win; a key with only ignored labels gets ``none_label``.
+    win; a key with only ignored labels gets ``none_label``. With ``fail_label``, a key
+    having any row with that label gets ``none_label`` (article-scope errors).
 
     One aggregate to (key, label, n, first_pos) - partial aggregation keeps a hot key cheap -
     then ``row_number() = 1`` over the aggregated rows (WindowGroupLimit).
@@ -47,10 +55,15 @@ def majority_vote(df: DataFrame, key: str, label: str, pos: str, ignore: Sequenc
     ign = F.col(label).isin(list(ignore)) | F.col(label).isNull()
     g = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n_votes"), F.min(pos).alias("_first"),
                                    F.max(ign).alias("_ign"))
-    w = Window.partitionBy(key).orderBy(F.col("_ign").asc(), F.col("n_votes").desc(), F.col("_first").asc())
+    order = [F.col("_ign").asc(), F.col("n_votes").desc(), F.col("_first").asc()]
+    bad = F.col("_ign")
+    if fail_label is not None:
+        g = g.withColumn("_fail", F.max(F.col(label) == fail_label).over(Window.partitionBy(key)))
+        bad = bad | F.coalesce(F.col("_fail"), F.lit(False))
+    w = Window.partitionBy(key).orderBy(*order)
     top = g.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    return top.select(key, F.when(F.col("_ign"), F.lit(none_label)).otherwise(F.col(label)).alias("label"),
-                      F.when(F.col("_ign"), F.lit(0)).otherwise(F.col("n_votes")).cast("long").alias("n_votes"))
+    return top.select(key, F.when(bad, F.lit(none_label)).otherwise(F.col(label)).alias("label"),
+                      F.when(bad, F.lit(0)).otherwise(F.col("n_votes")).cast("long").alias("n_votes"))
 
 
 def clean_tokens(text: Column, stopwords: Sequence[str] = (), lemmas: dict[str, str] | None = None,

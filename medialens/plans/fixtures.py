@@ -84,15 +84,23 @@ def fx_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx plus exact copies (art_id % 50 = 0) and same-url rows with null labels and an
-    earlier order key (art_id % 70 = 0). ``ord`` is the file-order key."""
-    fx = fx_labels(spark, sf_dir).withColumn("ord", F.col("art_id") * 2 + 1)
-    exact = fx.filter(_mod("art_id", 50) == 0).withColumn("ord", F.col("art_id") * 2 + 2)
-    early = (fx.filter(_mod("art_id", 70) == 0)
-               .withColumn("ord", F.col("art_id") * 2)
-               .withColumns({c: F.lit(None).cast("string") for c in
-                             ["predicted_label_bert", "predicted_label_deepseek",
-                              "predicted_label_gemini", "leaning"]}))
-    return fx.unionByName(exact).unionByName(early)
+    earlier order key (art_id % 70 = 0). ``ord`` is the file-order key.
+
+    One scan: every row fans out to its 1-3 variants with a generator."""
+    fx = fx_labels(spark, sf_dir)
+    labels = ["predicted_label_bert", "predicted_label_deepseek", "predicted_label_gemini", "leaning"]
+    k = F.col("art_id")
+    null = F.lit(None).cast("string")
+
+    def variant(keep, ord_, blank):
+        return F.struct(keep.alias("keep"), ord_.alias("ord"),
+                        *[(null if blank else F.col(c)).alias(c) for c in labels])
+    variants = F.array(variant(F.lit(True), k * 2 + 1, False),
+                       variant(k % 50 == 0, k * 2 + 2, False),
+                       variant(k % 70 == 0, k * 2, True))
+    base = [c for c in fx.columns if c not in labels]
+    out = fx.select(*base, F.inline(F.filter(variants, lambda v: v["keep"])))
+    return out.select(*base, *labels, "ord")
 
 
 def docs_with_na(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import (CLASSES, WAR_DISPLAY, display_name, norm_capitalize,
@@ -146,7 +146,7 @@ def period_share_valid(spark, sf):
 @query("model_outlet_period_dist", f"""{WITH}, b AS (SELECT *, {PERIOD_SQL} AS period FROM fxl
   WHERE published_ts IS NOT NULL),
 s AS ({_share_sql('topic, outlet, model, period', S.l1('raw_label'), 'lab IS NOT NULL', 'b')}),
-common AS (SELECT topic, model FROM fxl GROUP BY topic, model HAVING COUNT(DISTINCT outlet) = 2)
+common AS (SELECT topic, model FROM b GROUP BY topic, model HAVING COUNT(DISTINCT outlet) = 2)
 SELECT s.topic, s.model, outlet, period, v.label, v.share
 FROM s JOIN common ON s.topic = common.topic AND s.model = common.model
 CROSS JOIN LATERAL (VALUES ('Left', share_left), ('Centre', share_centre), ('Right', share_right)) v(label, share)""")
@@ -154,8 +154,11 @@ def model_outlet_period_dist(spark, sf):
     fl = _l1_long(spark, sf)
     shares = stats.period_shares(fl, "label", "period", ["topic", "outlet", "model"],
                                  denominator="valid", empty=0.0)
-    common = common_models_df(fx_long(spark, sf))
-    long = shares.join(common, ["topic", "model"], "left_semi").unpivot(
+    # common models decided on the aggregated rows (a window over <= #outlets x #periods
+    # rows per model), so the input is scanned once
+    n_out = F.size(F.collect_set("outlet").over(Window.partitionBy("topic", "model")))
+    shares = shares.withColumn("_n_out", n_out).filter(F.col("_n_out") == 2).drop("_n_out")
+    long = shares.unpivot(
         ["topic", "model", "outlet", "period"], ["share_left", "share_centre", "share_right"],
         "label", "share")
     lab = (F.when(F.col("label") == "share_left", "Left").when(F.col("label") == "share_centre", "Centre")
