@@ -57,7 +57,8 @@ def word_tokens(c, pattern: str = WORD_OR_PUNCT) -> Column:
 
 
 def token_count(c, pattern: str = WORD_OR_PUNCT) -> Column:
-    return F.size(word_tokens(c, pattern))
+    """Number of regex tokens, counted without materialising the token array."""
+    return F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(pattern))
 
 
 def null_tokens(c, tokens) -> Column:

@@ -79,9 +79,14 @@ def keyword_topics(df: DataFrame, text: Column, topics: dict[str, Sequence[str]]
     return df.withColumn(out, F.explode(F.filter(hits, lambda x: x.isNotNull())))
 
 
-def max_tokens(df: DataFrame, col: str, limit: int = 10000, counter=token_count) -> DataFrame:
-    """P10: null -> '' then keep rows with at most ``limit`` tokens (inclusive)."""
-    return df.filter(counter(F.coalesce(F.col(col), F.lit(""))) <= limit)
+def max_tokens(df: DataFrame, col: str, limit: int = 10000, counter=token_count,
+               out: str | None = None) -> DataFrame:
+    """P10: null -> '' then keep rows with at most ``limit`` tokens (inclusive). With
+    ``out`` the count is kept as a column (computed once, used by the filter)."""
+    n = counter(F.coalesce(F.col(col), F.lit("")))
+    if out:
+        return df.withColumn(out, n).filter(F.col(out) <= limit)
+    return df.filter(n <= limit)
 
 
 def truncate_tokens(df: DataFrame, col: str, n: int = 512, out: str = "truncated") -> DataFrame:

@@ -20,14 +20,17 @@ POS_BITS = 24
 
 
 def token_windows(df: DataFrame, key: str, tokens: Column, size: int = 512, stride: int = 256,
-                  with_tokens: bool = False, keep_empty: bool = False) -> DataFrame:
+                  with_tokens: bool = False, keep_empty: bool = False, n_tokens: Column | None = None) -> DataFrame:
     """Windows start at 0, stride, 2*stride, ... and stop once a window reaches the end.
 
     Count = 1 if 0 < n <= size else ceil((n - size) / stride) + 1; an empty text has none.
     Output (key, pos, start, end[, window]) with end exclusive. ``keep_empty`` gives an
     empty text one placeholder row with pos = -1 (so a later vote can see it).
     """
-    d = df.select(key, tokens.alias("_tok")).withColumn("_n", F.size("_tok"))
+    if n_tokens is not None and not with_tokens:  # bounds only: count, do not materialise
+        d = df.select(key, F.lit(None).alias("_tok"), n_tokens.alias("_n"))
+    else:
+        d = df.select(key, tokens.alias("_tok")).withColumn("_n", F.size("_tok"))
     last = F.ceil(F.greatest(F.col("_n") - size, F.lit(0)) / F.lit(stride)).cast("int")
     if keep_empty:
         seq = F.when(F.col("_n") > 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(-1)))

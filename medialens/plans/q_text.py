@@ -51,7 +51,7 @@ def keyword_topics(spark, sf):
   len(regexp_extract_all(COALESCE(text, ''), '{TOK_SQL}')) AS n_tokens FROM documents) t WHERE n_tokens <= 500""")
 def max_tokens(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return C.max_tokens(d, "text", 500).select("doc_id", token_count("text").alias("n_tokens"))
+    return C.max_tokens(d, "text", 500, out="n_tokens").select("doc_id", "n_tokens")
 
 
 @query("truncate_tokens", f"""SELECT doc_id, array_to_string(regexp_extract_all(COALESCE(text, ''), '{TOK_SQL}')[1:512], ' ')
@@ -66,7 +66,7 @@ w AS (SELECT doc_id, n, unnest(generate_series(0, CAST(ceil(greatest(n - 512, 0)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(pos * 256 AS INTEGER) AS start, CAST(least(pos * 256 + 512, n) AS INTEGER) AS "end" FROM w""")
 def token_windows(spark, sf):
     d = table(spark, sf, "documents")
-    return X.token_windows(d, "doc_id", word_tokens("text"), 512, 256)
+    return X.token_windows(d, "doc_id", word_tokens("text"), 512, 256, n_tokens=token_count("text"))
 
 
 # --- T1 -------------------------------------------------------------------------------------
