@@ -23,7 +23,9 @@ def _c(c) -> Column:
 
 
 def ts_lit(value: str) -> Column:
-    return F.lit(dt.datetime.fromisoformat(value)).cast("timestamp_ntz")
+    """A wall-clock timestamp literal, independent of the session and Python time zones."""
+    dt.datetime.fromisoformat(value)  # validate
+    return F.lit(value).cast("timestamp_ntz")
 
 
 def cutoff_for(topic, cutoffs: dict[str, str]) -> Column:

@@ -84,11 +84,24 @@ def max_tokens(df: DataFrame, col: str, limit: int = 10000, counter=token_count,
     """P10: null -> '' then keep rows with at most ``limit`` tokens (inclusive). With
     ``out`` the count is kept as a column (computed once, used by the filter)."""
     n = counter(F.coalesce(F.col(col), F.lit("")))
-    if out:
-        return df.withColumn(out, n).filter(F.col(out) <= limit)
-    return df.filter(n <= limit)
+    name = out or "_n_tokens"
+    # Generating the count (a one-element inline) keeps the optimizer from copying the
+    # regex into the pushed-down filter, so each text is tokenised once, not twice.
+    counted = df.select("*", F.inline(F.array(F.struct(n.alias(name)))))
+    kept = counted.filter(F.col(name) <= limit)
+    return kept if out else kept.drop(name)
 
 
 def truncate_tokens(df: DataFrame, col: str, n: int = 512, out: str = "truncated") -> DataFrame:
     """Keep the first ``n`` tokens (re-joined by a space)."""
     return df.withColumn(out, F.array_join(F.slice(word_tokens(col), 1, n), " "))
+
+
+def keep_values(df: DataFrame, col: str, values, exclude: bool = False) -> DataFrame:
+    """Keep (or drop) rows whose value is in a list. Short lists are an IN predicate
+    (pushed to the scan); a DataFrame of values is a left-semi / left-anti join."""
+    if isinstance(values, DataFrame):
+        vals = values.select(F.col(values.columns[0]).alias(col))
+        return df.join(vals, col, "left_anti" if exclude else "left_semi")
+    cond = F.col(col).isin(list(values))
+    return df.filter(~cond if exclude else cond)

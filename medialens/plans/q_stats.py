@@ -12,7 +12,7 @@ from ..functions.periods import (PERIOD_NAMES, cutoff_for, id0_for, period_from_
 from ..operators import stats
 from ..operators.reshape import score_long, score_matrix
 from . import sqlfx as S
-from .fixtures import FX_CUTOFFS, FX_URL_ID0, fx_labels, fx_long
+from .fixtures import FX_CUTOFFS, FX_URL_ID0, fx_labels, fx_long, table
 from .registry import query
 
 WITH = f"WITH {S.FX}, {S.FXL}"
@@ -322,3 +322,22 @@ def radar_table(spark, sf):
     aggs = [F.avg(F.when((F.col("outlet") == m) & (F.col("war") == w), F.col("score"))).alias(n)
             for n, (m, w) in RADAR_COLUMNS.items()]
     return s.groupBy("model").agg(*aggs)
+
+
+# --- J2 --------------------------------------------------------------------------------------
+@query("merge_model_labels", """WITH l AS (
+  SELECT doc_id, 'quality' AS model, CAST(quality AS VARCHAR) AS label FROM labels
+  UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels
+  UNION ALL SELECT doc_id, 'lang', lang FROM documents)
+SELECT doc_id, MAX(label) FILTER (WHERE model = 'quality') AS label_quality,
+  MAX(label) FILTER (WHERE model = 'toxic') AS label_toxic, MAX(label) FILTER (WHERE model = 'lang') AS label_lang
+FROM l GROUP BY doc_id""")
+def merge_model_labels_q(spark, sf):
+    """Per-model label tables (one row per key each) merged into one wide row per key."""
+    from ..operators.reshape import merge_model_labels
+    lab = table(spark, sf, "labels")
+    docs = table(spark, sf, "documents")
+    tables = {"quality": lab.select("doc_id", F.col("quality").alias("label")),
+              "toxic": lab.select("doc_id", F.col("toxic").alias("label")),
+              "lang": docs.select("doc_id", F.col("lang").alias("label"))}
+    return merge_model_labels(tables, "doc_id")

@@ -29,9 +29,11 @@ def read_articles_csv(spark: SparkSession, path: str, columns: Sequence[str] | N
 
     With ``columns`` an explicit all-string schema is used (no inference pass over the data).
     A UTF-8 byte-order mark is dropped by the reader; other encodings are passed explicitly.
+    Edge whitespace is kept; an empty field reads as NULL (as pandas reads it).
     """
     r = (spark.read.option("header", header).option("multiLine", True).option("escape", '"')
-              .option("quote", '"').option("encoding", encoding).option("mode", "PERMISSIVE"))
+              .option("quote", '"').option("encoding", encoding).option("mode", "PERMISSIVE")
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if columns:
         r = r.schema(StructType([StructField(c, StringType()) for c in columns]))
     else:
@@ -56,7 +58,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"').option("quote", '"')
+        # keep edge whitespace (the writer trims it by default) and quote embedded newlines
+        w = (w.option("header", True).option("escape", '"').option("quote", '"')
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
         if bom:
             w = w.option("encoding", "UTF-8")
     w.format(fmt).save(path)
