@@ -54,15 +54,20 @@ def with_fallback(primary: Scorer, backup: Scorer, final: str = "Unknown") -> Sc
 
 def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: ScorerFactory,
              batch_size: int = 16, out: str = "label", error_label: str = "error",
-             partitions: int | None = None, skip: str | None = None) -> DataFrame:
+             partitions: int | None = None, skip: str | None = None,
+             blank_as_error: bool = True) -> DataFrame:
     """Label every row with the scorer, ``batch_size`` rows per call.
 
     ``partitions`` caps the number of concurrent scorer instances (external rate limits);
     by default the input's partitioning is kept (no shuffle). Rows whose boolean ``skip``
-    column is true are not sent to the scorer and get ``error_label``.
+    column is true are not sent to the scorer and get ``error_label``; so are missing or
+    blank texts unless ``blank_as_error=False`` (P13: one null-text policy).
     """
     keys = list(keys)
-    extra = [F.col(skip).alias("_skip")] if skip else []
+    sk = F.col(skip) if skip else F.lit(False)
+    if blank_as_error:
+        sk = sk | (F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r")) == "")
+    extra = [sk.alias("_skip")]
     src = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text), *extra)
     if partitions:
         src = src.repartition(partitions)
@@ -73,7 +78,7 @@ def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: Scor
         scorer = scorer_factory()
         for pdf in batches:
             labels = pd.Series(error_label, index=pdf.index, dtype=object)
-            todo = pdf[~pdf["_skip"].astype(bool)] if skip else pdf
+            todo = pdf[~pdf["_skip"].astype(bool)]
             todo = todo[[*keys, text]]
             for i in range(0, len(todo), batch_size):
                 chunk = todo.iloc[i:i + batch_size]
@@ -103,8 +108,39 @@ def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFact
     w = (token_windows(df, key, tokens, size, stride, with_tokens=True, keep_empty=True)
          .withColumn("window_text", F.array_join(F.coalesce("window", F.array()), " "))
          .withColumn("_empty", F.col("pos") < 0).drop("window"))
-    lab = classify(w, [key, "pos"], "window_text", scorer_factory, batch_size, skip="_empty")
+    keys = [key] if isinstance(key, str) else list(key)
+    lab = classify(w, [*keys, "pos"], "window_text", scorer_factory, batch_size, skip="_empty")
     # one pass over the scored windows: the vote (and the article-scope failure flag)
     # come out of the same aggregation, so the scorer never runs twice
-    return majority_vote(lab, key, "label", "pos", ignore=ignore,
+    return majority_vote(lab, keys, "label", "pos", ignore=ignore,
                          fail_label="error" if error_scope == "article" else None)
+
+
+def classify_sources(spark, paths: dict[str, str], key: str, text: str, scorer_factory: ScorerFactory,
+                     out_path: str | None = None, fmt: str = "parquet", **window_args) -> DataFrame:
+    """One job over several labelled files: every file that exists is read (a missing
+    one is reported and skipped), blank texts are dropped (P7), each article is classified
+    over its token windows with article-scope errors (T5), and the result carries a
+    ``source`` column (written partitioned by it when ``out_path`` is given)."""
+    import os
+    import warnings
+
+    from ..functions.text import word_tokens
+    from .clean import drop_blank
+    parts = []
+    for name, path in paths.items():
+        if not os.path.exists(path):
+            warnings.warn(f"missing input skipped: {path}")
+            continue
+        parts.append(spark.read.format(fmt).load(path).select(key, text).withColumn("source", F.lit(name)))
+    if not parts:
+        raise FileNotFoundError("no input file exists")
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    df = drop_blank(df, text)
+    args = {"error_scope": "article", **window_args}
+    res = classify_windows(df, ["source", key], word_tokens(text), scorer_factory, **args)
+    if out_path:
+        res.write.mode("overwrite").partitionBy("source").format(fmt).save(out_path)
+    return res

@@ -80,3 +80,15 @@ def score_matrix(scored: DataFrame, columns: dict[str, tuple[str, str]],
     aggs = [F.avg(F.when((F.col("war") == w) & (F.col("period") == p), F.col(value))).alias(name)
             for name, (w, p) in columns.items()]
     return scored.groupBy(*index).agg(*aggs)
+
+
+def order_by_values(df: DataFrame, orders: dict[str, list], *then: str) -> DataFrame:
+    """O3: sort a small final result by fixed category orders (values not listed last),
+    then by ``then`` columns. Use on final, already aggregated results only."""
+    keys = []
+    for col, values in orders.items():
+        e = F.when(F.lit(False), F.lit(0))
+        for i, v in enumerate(values):
+            e = e.when(F.col(col) == v, F.lit(i))
+        keys.append(e.otherwise(F.lit(len(values))))
+    return df.orderBy(*keys, *then)

@@ -27,20 +27,21 @@ def token_windows(df: DataFrame, key: str, tokens: Column, size: int = 512, stri
     Output (key, pos, start, end[, window]) with end exclusive. ``keep_empty`` gives an
     empty text one placeholder row with pos = -1 (so a later vote can see it).
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if n_tokens is not None and not with_tokens:  # bounds only: count, do not materialise
-        d = df.select(key, F.lit(None).alias("_tok"), n_tokens.alias("_n"))
+        d = df.select(*keys, F.lit(None).alias("_tok"), n_tokens.alias("_n"))
     else:
-        d = df.select(key, tokens.alias("_tok")).withColumn("_n", F.size("_tok"))
+        d = df.select(*keys, tokens.alias("_tok")).withColumn("_n", F.size("_tok"))
     last = F.ceil(F.greatest(F.col("_n") - size, F.lit(0)) / F.lit(stride)).cast("int")
     if keep_empty:
         seq = F.when(F.col("_n") > 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(-1)))
-        d = d.select(key, "_tok", "_n", F.posexplode(seq).alias("pos", "_i"))
+        d = d.select(*keys, "_tok", "_n", F.posexplode(seq).alias("pos", "_i"))
         d = d.withColumn("pos", F.when(F.col("_i") < 0, F.lit(-1)).otherwise(F.col("pos")))
     else:
-        d = d.filter(F.col("_n") > 0).select(key, "_tok", "_n",
+        d = d.filter(F.col("_n") > 0).select(*keys, "_tok", "_n",
                                              F.posexplode(F.sequence(F.lit(0), last)).alias("pos", "_i"))
     start = F.col("_i") * stride
-    cols = [key, "pos", start.alias("start"), F.least(start + size, F.col("_n")).alias("end")]
+    cols = [*keys, "pos", start.alias("start"), F.least(start + size, F.col("_n")).alias("end")]
     if with_tokens:
         cols.append(F.slice("_tok", start + 1, size).alias("window"))
     return d.select(*cols)
@@ -55,17 +56,18 @@ def majority_vote(df: DataFrame, key: str, label: str, pos: str, ignore: Sequenc
     One aggregate to (key, label, n, first_pos) - partial aggregation keeps a hot key cheap -
     then ``row_number() = 1`` over the aggregated rows (WindowGroupLimit).
     """
+    keys = [key] if isinstance(key, str) else list(key)
     ign = F.col(label).isin(list(ignore)) | F.col(label).isNull()
-    g = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n_votes"), F.min(pos).alias("_first"),
+    g = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n_votes"), F.min(pos).alias("_first"),
                                    F.max(ign).alias("_ign"))
     order = [F.col("_ign").asc(), F.col("n_votes").desc(), F.col("_first").asc()]
     bad = F.col("_ign")
     if fail_label is not None:
-        g = g.withColumn("_fail", F.max(F.col(label) == fail_label).over(Window.partitionBy(key)))
+        g = g.withColumn("_fail", F.max(F.col(label) == fail_label).over(Window.partitionBy(*keys)))
         bad = bad | F.coalesce(F.col("_fail"), F.lit(False))
-    w = Window.partitionBy(key).orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(*order)
     top = g.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    return top.select(key, F.when(bad, F.lit(none_label)).otherwise(F.col(label)).alias("label"),
+    return top.select(*keys, F.when(bad, F.lit(none_label)).otherwise(F.col(label)).alias("label"),
                       F.when(bad, F.lit(0)).otherwise(F.col("n_votes")).cast("long").alias("n_votes"))
 
 

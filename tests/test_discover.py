@@ -67,3 +67,10 @@ def test_keyword_topics_fan_out(spark):
     assert got == [(1, "A"), (2, "B"), (4, "B")]
     esc = C.keyword_topics(df, F.col("t"), {"A": ["w.r"]}, escape=True)
     assert esc.count() == 0
+
+
+def test_order_by_values(spark):
+    from medialens.operators.reshape import order_by_values
+    df = spark.createDataFrame([("Gemini", 1), ("BERT", 2), ("Other", 0), ("DeepSeek", 3)], "model string, x int")
+    got = [r.model for r in order_by_values(df, {"model": ["BERT", "DeepSeek", "Gemini"]}).collect()]
+    assert got == ["BERT", "DeepSeek", "Gemini", "Other"]

@@ -92,8 +92,9 @@ def test_classify_batches_and_errors(spark):
     got = {r["doc_id"]: r["label"] for r in K.classify(df, ["doc_id"], "text", factory, batch_size=16).collect()}
     assert set(got) == {i for i, _ in rows}
     assert got[101] == "error" and got[202] == "error"
+    assert all(got[i] == "error" for i, t in rows if not t)  # blank text is never scored
     ok = [i for i, _ in rows if got[i] != "error"]
-    assert len(ok) >= len(rows) - 32
+    assert len(ok) >= len([t for _, t in rows if t]) - 32
     assert all(got[i] == str((i % 7) % 3) for i in ok)
 
 
@@ -135,3 +136,31 @@ def test_classify_windows_error_scope(spark):
                                                              batch_size=1, error_scope="article").collect()}
     assert w == {1: "Left", 2: "error", 3: "Left"}
     assert a == {1: "error", 2: "error", 3: "Left"}
+
+
+def test_classify_sources_skips_missing(spark, tmp_path):
+    a = str(tmp_path / "a")
+    spark.createDataFrame([(1, "x y z"), (2, "  ")], "doc_id long, text string").write.parquet(a)
+
+    def factory():
+        return lambda b: ["Left"] * len(b)
+
+    with pytest.warns(UserWarning):
+        res = K.classify_sources(spark, {"A": a, "B": str(tmp_path / "missing")}, "doc_id", "text", factory,
+                                 out_path=str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in res.select("source", "doc_id", "label").collect()) == [("A", 1, "Left")]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_blank_text_is_error_without_scoring(spark):
+    df = spark.createDataFrame([(1, "a"), (2, " \n"), (3, None)], "doc_id long, text string")
+    seen = []
+
+    def factory():
+        def score(b):
+            if (b["text"].str.strip() == "").any():
+                raise AssertionError("blank text reached the scorer")
+            return ["Right"] * len(b)
+        return score
+    got = {r.doc_id: r.label for r in K.classify(df, ["doc_id"], "text", factory).collect()}
+    assert got == {1: "Right", 2: "error", 3: "error"} and seen == []
