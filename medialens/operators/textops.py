@@ -108,15 +108,22 @@ def clean_tokens_join(df: DataFrame, key: str, text: str, lemma_table: DataFrame
 def ngrams(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[str] = (),
            pattern: str = WORD2) -> DataFrame:
     """Exploded n-grams (key, pos, gram) of the lower-cased text; n-grams never cross texts;
-    an n-gram containing a stopword is dropped (its neighbours are not joined across it)."""
+    an n-gram containing a stopword is dropped (its neighbours are not joined across it).
+
+    The n tokens are read by index (no per-n-gram array slice) and the stopword test is
+    one hash-set IN per token."""
     tok = word_tokens(F.lower(text), pattern)
     d = df.select(key, tok.alias("_tok"))
     starts = F.sequence(F.lit(1), F.size("_tok") - n + 1)
     d = d.filter(F.size("_tok") >= n).select(key, "_tok", F.explode(starts).alias("_i"))
-    parts = F.slice("_tok", F.col("_i"), n)
+    parts = [F.element_at("_tok", F.col("_i") + j) for j in range(n)]
     if stopwords:
-        d = d.filter(~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in stopwords])))
-    return d.select(key, (F.col("_i") - 1).alias("pos"), F.array_join(parts, " ").alias("gram"))
+        hit = None
+        for p in parts:
+            c = p.isin(list(stopwords))
+            hit = c if hit is None else (hit | c)
+        d = d.filter(~hit)
+    return d.select(key, (F.col("_i") - 1).alias("pos"), F.concat_ws(" ", *parts).alias("gram"))
 
 
 def ngram_topk(df: DataFrame, key: str, text: Column, n: int, k: int = 10,

@@ -24,7 +24,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.ui.enabled", "false"))
+          .config("spark.ui.enabled", "false")
+          # Python call-site capture walks the stack on every Column call; a job that builds
+          # plans with hundreds of expressions pays seconds for it on the driver
+          .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
