@@ -108,6 +108,9 @@ def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFact
     w = (token_windows(df, key, tokens, size, stride, with_tokens=True, keep_empty=True)
          .withColumn("window_text", F.array_join(F.coalesce("window", F.array()), " "))
          .withColumn("_empty", F.col("pos") < 0).drop("window"))
+    # one long article yields many windows inside one task; rebalancing spreads the model
+    # calls over all tasks (AQE sizes the partitions) before scoring
+    w = w.hint("rebalance")
     keys = [key] if isinstance(key, str) else list(key)
     lab = classify(w, [*keys, "pos"], "window_text", scorer_factory, batch_size, skip="_empty")
     # one pass over the scored windows: the vote (and the article-scope failure flag)

@@ -1,4 +1,4 @@
-"""Reshaping: unpivot/pivot of label tables, spines and matrices."""
+"""Reshaping: unpivot/pivot of label tables, score matrices and fixed orders."""
 
 from __future__ import annotations
 
@@ -54,16 +54,6 @@ def merge_model_labels(tables: dict[str, DataFrame], key: str, label_col: str =
     return long.groupBy(key).agg(*aggs)
 
 
-def spine_fill(spine: DataFrame, facts: DataFrame, keys: Sequence[str], fill: dict | None = None) -> DataFrame:
-    """Left equi-join of a complete key spine to aggregated facts, absent -> fill.
-
-    The spine is a small calendar (months x groups); the facts are already aggregated,
-    so both sides are bounded by the number of groups, not by the raw data.
-    """
-    out = spine.join(facts, list(keys), "left")
-    return out.na.fill(fill) if fill else out
-
-
 def score_long(df: DataFrame, label_col: str = "raw_label") -> DataFrame:
     """L3 then L7: rows with a mappable label get an integer score; others are dropped."""
     return (df.withColumn("score", title_score(F.col(label_col)))

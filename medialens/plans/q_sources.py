@@ -106,10 +106,10 @@ def events_json_field(spark, sf):
 
 @query("api_pages_stream")
 def api_pages_stream(spark, sf):
-    """The API landing consumed as a file stream (one file per trigger) into a parquet table."""
+    """The API landing consumed as a file stream (four files per trigger) into a parquet table."""
     from ..streaming.api_stream import start_api_ingest
     landing = land_api_pages(spark, sf)
     out = _tmp(spark, "stream-out")
-    q = start_api_ingest(spark, landing, out, checkpoint=_tmp(spark, "stream-ckpt"), max_files_per_trigger=1)
+    q = start_api_ingest(spark, landing, out, checkpoint=_tmp(spark, "stream-ckpt"), max_files_per_trigger=4)
     q.awaitTermination()
     return spark.read.parquet(out).drop("epoch")
