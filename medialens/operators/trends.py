@@ -51,25 +51,26 @@ def complete_calendar(facts: DataFrame, series: Sequence[str], period: str, valu
     no second scan of the input.
     """
     rb = list(range_by or series)
-    f = facts
-    if mode == "union":
-        f = f.withColumn("_axis", F.collect_set(period).over(Window.partitionBy(*rb)))
-        axis = F.array_sort(F.first("_axis"))
-    elif rb != list(series):
-        w = Window.partitionBy(*rb)
-        f = f.withColumn("_lo", F.min(period).over(w)).withColumn("_hi", F.max(period).over(w))
     entries = F.map_from_entries(F.collect_list(F.struct(F.col(period), F.struct(*values))))
+    packed = facts.groupBy(*series).agg(entries.alias("_m"))
+    keys = F.map_keys("_m")
+    if rb != list(series) or mode == "union":
+        # the group's axis from the packed rows: one row per series, not per period
+        w = Window.partitionBy(*rb)
+        if mode == "union":
+            packed = packed.withColumn("_axis", F.array_sort(F.array_distinct(
+                F.flatten(F.collect_list(keys).over(w)))))
+        else:
+            packed = (packed.withColumn("_lo", F.min(F.array_min(keys)).over(w))
+                            .withColumn("_hi", F.max(F.array_max(keys)).over(w)))
+    else:
+        packed = packed.withColumn("_lo", F.array_min(keys)).withColumn("_hi", F.array_max(keys))
     if mode == "union":
-        packed = f.groupBy(*series).agg(axis.alias("_axis"), entries.alias("_m"))
         ex = packed.select(*series, "_m", F.explode("_axis").alias(period))
     else:
-        lo = F.first("_lo") if rb != list(series) else F.min(period)
-        hi = F.first("_hi") if rb != list(series) else F.max(period)
-        packed = f.groupBy(*series).agg(lo.alias("_lo"), hi.alias("_hi"), entries.alias("_m"))
         ex = packed.select(*series, "_m", "_lo", "_hi", F.explode(F.sequence("_lo", "_hi", step)).alias(period))
-    out = ex.select(*series, period, *(["_lo", "_hi"] if keep_range and mode == "range" else []),
-                    *[F.try_element_at("_m", F.col(period)).getField(v).alias(v) for v in values])
-    return out
+    return ex.select(*series, period, *(["_lo", "_hi"] if keep_range and mode == "range" else []),
+                     *[F.try_element_at("_m", F.col(period)).getField(v).alias(v) for v in values])
 
 
 def month_spine_fill(facts: DataFrame, range_by: Sequence[str], series: Sequence[str],
