@@ -165,15 +165,15 @@ def segment_trend_simple(spark, sf):
 
 
 @query("monthly_rl_aligned", f"""{WITH}, {_mf_sql(gapped=True)},
-months AS (SELECT DISTINCT topic, ms FROM mf), ser AS (SELECT DISTINCT topic, outlet, model FROM mf)
+months AS (SELECT DISTINCT topic, model, ms FROM mf), ser AS (SELECT DISTINCT topic, outlet, model FROM mf)
 SELECT ser.topic, ser.model, ser.outlet, strftime(months.ms, '%Y-%m') AS month,
   {S.ratio('mf.n_right - mf.n_left', 'mf.total')} AS rl_diff
-FROM months JOIN ser ON months.topic = ser.topic
+FROM months JOIN ser ON months.topic = ser.topic AND months.model = ser.model
 LEFT JOIN mf ON mf.topic = ser.topic AND mf.outlet = ser.outlet AND mf.model = ser.model AND mf.ms = months.ms""")
 def monthly_rl_aligned(spark, sf):
-    """Both outlets on the union of their months; a month one outlet lacks is null."""
+    """Per model, both outlets on the union of their months; a month one outlet lacks is null."""
     f = _rl(_facts(spark, sf, gapped=True))
-    out = T.complete_calendar(f, SER, "month_start", ["rl_diff"], None, range_by=["topic"], mode="union")
+    out = T.complete_calendar(f, SER, "month_start", ["rl_diff"], None, range_by=["topic", "model"], mode="union")
     return out.select("topic", "model", "outlet", _month(), "rl_diff")
 
 
