@@ -22,17 +22,19 @@ def _key(k: str) -> str:
 
 
 def monthly_class_counts(df: DataFrame, by: Sequence[str], label: str, ts: str,
-                         classes: Sequence[str] = CLASSES) -> DataFrame:
+                         classes: Sequence[str] = CLASSES, valid_only: bool = True) -> DataFrame:
     """Per (by..., month): zero-filled counts of each class and the valid total.
 
-    Rows without a date or a recognised label are dropped, so months without any
-    valid label are absent (they are added back by :func:`month_spine_fill`).
+    Rows without a date are dropped. With ``valid_only`` rows without a recognised label
+    are dropped too, so months without any valid label are absent; without it such
+    months stay with a zero total (they still count for the month range).
     """
     lab = F.col(label)
-    d = df.filter(F.col(ts).isNotNull() & lab.isin(list(classes)))
+    valid = lab.isin(list(classes))
+    d = df.filter(F.col(ts).isNotNull() & valid) if valid_only else df.filter(F.col(ts).isNotNull())
     return (d.groupBy(*by, F.trunc(F.col(ts), "month").alias("month_start"))
              .agg(*[F.count_if(lab == k).alias(f"n_{_key(k)}") for k in classes],
-                  F.count(F.lit(1)).alias("total")))
+                  F.count_if(valid).alias("total")))
 
 
 def complete_calendar(facts: DataFrame, series: Sequence[str], period: str, values: Sequence[str],

@@ -258,12 +258,12 @@ SCORED_SQL = f"""{WITH}, sc AS (
 
 
 @query("avg_bias_score", f"""{SCORED_SQL}
-SELECT outlet, war, period, model, AVG(score) AS avg_score, COUNT(*) AS n, war || ' ' || period AS scenario
+SELECT outlet, war, period, model, AVG(score) AS avg_score, COUNT(*) AS n, war || chr(10) || period AS scenario
 FROM sc WHERE score IS NOT NULL GROUP BY outlet, war, period, model""")
 def avg_bias_score(spark, sf):
     return (scored_long(spark, sf).groupBy("outlet", "war", "period", "model")
             .agg(F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("n"))
-            .withColumn("scenario", F.concat_ws(" ", "war", "period")))
+            .withColumn("scenario", F.concat_ws("\n", "war", "period")))
 
 
 @query("avg_score_grouping_sets", f"""{SCORED_SQL}

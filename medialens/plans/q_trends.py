@@ -34,13 +34,14 @@ def _l1(spark, sf, gapped=False) -> DataFrame:
 GAP_SQL = "NOT ((outlet = 'BBC' AND month(published_ts) = 3) OR (outlet = 'Guardian' AND month(published_ts) = 7))"
 
 
-def _mf_sql(gapped=False) -> str:
+def _mf_sql(gapped=False, all_months=False) -> str:
     where = "published_ts IS NOT NULL" + (f" AND {GAP_SQL}" if gapped else "")
+    valid = "TRUE" if all_months else "lab IS NOT NULL"
     return f"""mf AS (SELECT topic, outlet, model, date_trunc('month', published_ts) AS ms,
     COUNT(*) FILTER (WHERE lab = 'Left') AS n_left, COUNT(*) FILTER (WHERE lab = 'Centre') AS n_centre,
-    COUNT(*) FILTER (WHERE lab = 'Right') AS n_right, COUNT(*) AS total
+    COUNT(*) FILTER (WHERE lab = 'Right') AS n_right, COUNT(lab) AS total
   FROM (SELECT *, {S.l1('raw_label')} AS lab FROM fxl WHERE {where}) t
-  WHERE lab IS NOT NULL GROUP BY topic, outlet, model, date_trunc('month', published_ts))"""
+  WHERE {valid} GROUP BY topic, outlet, model, date_trunc('month', published_ts))"""
 
 
 SPINE_SQL = """rng AS (SELECT topic, MIN(ms) AS lo, MAX(ms) AS hi FROM mf GROUP BY topic),
@@ -57,8 +58,11 @@ segs AS (SELECT topic, ms, segment,
   FROM (SELECT topic, ms, ntile(6) OVER (PARTITION BY topic ORDER BY ms) AS segment FROM sp) x)"""
 
 
-def _facts(spark, sf, gapped=False) -> DataFrame:
-    return T.monthly_class_counts(_l1(spark, sf, gapped), SER, "label", "published_ts")
+def _facts(spark, sf, gapped=False, all_months=False) -> DataFrame:
+    """Monthly class counts; ``all_months`` keeps dated months without a valid label (the
+    segment and spine queries take their month range from every dated row)."""
+    return T.monthly_class_counts(_l1(spark, sf, gapped), SER, "label", "published_ts",
+                                  valid_only=not all_months)
 
 
 # --- A11 ---------------------------------------------------------------------------------
@@ -121,19 +125,19 @@ def distinct_months(spark, sf):
         .select(F.date_format("published_ts", "yyyy-MM").alias("month")).distinct()
 
 
-@query("month_spine_fill", f"""{WITH}, {_mf_sql(gapped=True)}, {SPINE_SQL}
+@query("month_spine_fill", f"""{WITH}, {_mf_sql(gapped=True, all_months=True)}, {SPINE_SQL}
 SELECT topic, outlet, model, strftime(ms, '%Y-%m') AS month, n_left, n_centre, n_right, total FROM filled""")
 def month_spine_fill(spark, sf):
-    f = _facts(spark, sf, gapped=True)
+    f = _facts(spark, sf, gapped=True, all_months=True)
     filled = T.month_spine_fill(f, ["topic"], ["outlet", "model"],
                                 fill_cols=["n_left", "n_centre", "n_right", "total"])
     return filled.select(*SER, _month(), "n_left", "n_centre", "n_right", "total")
 
 
-@query("month_segments", f"""{WITH}, {_mf_sql()}, {SPINE_SQL}
+@query("month_segments", f"""{WITH}, {_mf_sql(all_months=True)}, {SPINE_SQL}
 SELECT topic, strftime(ms, '%Y-%m') AS month, segment, segment_label FROM segs""")
 def month_segments(spark, sf):
-    return T.month_segments(_facts(spark, sf), ["topic"], 6).select("topic", _month(), "segment", "segment_label")
+    return T.month_segments(_facts(spark, sf, all_months=True), ["topic"], 6).select("topic", _month(), "segment", "segment_label")
 
 
 def _segment_sql(weighted: bool, gapped: bool) -> str:
@@ -142,14 +146,14 @@ def _segment_sql(weighted: bool, gapped: bool) -> str:
     else:
         sel = ", ".join(f"round(AVG({S.ratio(f'n_{k}', 'total', '0.0')}), 9) AS share_{k}"
                         for k in ("left", "centre", "right"))
-    return f"""{WITH}, {_mf_sql(gapped)}, {SPINE_SQL}
+    return f"""{WITH}, {_mf_sql(gapped, all_months=True)}, {SPINE_SQL}
 SELECT f.topic, segment, segment_label, outlet, model, {sel}, CAST(SUM(total) AS BIGINT) AS n
 FROM filled f JOIN segs s ON f.topic = s.topic AND f.ms = s.ms
 GROUP BY f.topic, segment, segment_label, outlet, model"""
 
 
 def _segment_trend(spark, sf, weighted: bool, gapped: bool) -> DataFrame:
-    filled = T.month_spine_fill(_facts(spark, sf, gapped), ["topic"], ["outlet", "model"],
+    filled = T.month_spine_fill(_facts(spark, sf, gapped, all_months=True), ["topic"], ["outlet", "model"],
                                 fill_cols=["n_left", "n_centre", "n_right", "total"], keep_range=True)
     return T.segment_means(filled, ["topic"], ["outlet", "model"], weighted=weighted)
 
