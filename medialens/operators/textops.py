@@ -135,6 +135,10 @@ def ngram_topk(df: DataFrame, key: str, text: Column, n: int, k: int = 10,
     gram -> final aggregate -> TakeOrderedAndProject (per-partition top k, then merge).
     """
     g = ngrams(df, key, text, n, stopwords, pattern)
-    first = F.col(key).cast("long") * F.lit(1 << POS_BITS) + F.col("pos")
+    kid = F.col(key).cast("long")
+    in_range = (kid >= 0) & (kid < F.lit(1 << (63 - POS_BITS))) & (F.col("pos") < F.lit(1 << POS_BITS))
+    # out-of-range keys fail loudly instead of silently breaking the tie order
+    first = F.when(in_range, kid * F.lit(1 << POS_BITS) + F.col("pos")).otherwise(
+        F.raise_error(F.lit("ngram_topk: key or position outside the packed first-seen range")))
     agg = g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("_first"))
     return agg.orderBy(F.col("n").desc(), F.col("_first").asc()).limit(k).select("gram", "n")
