@@ -66,6 +66,13 @@ def url_prefix(df: DataFrame, col: str = "url", prefix: str = "http") -> DataFra
     return df.filter(F.col(col).startswith(prefix))
 
 
+# The conflict keyword lists used to route articles to topics.
+CONFLICT_KEYWORDS = {
+    "RU": ["ukraine", "russia", "putin", "zelensky", "donbas", "kyiv", "moscow"],
+    "IP": ["israel", "palestine", "gaza", "hamas", "idf", "west bank", "netanyahu"],
+}
+
+
 def keyword_pattern(keywords: Sequence[str], escape: bool = False) -> str:
     """Case-insensitive substring alternation (no word boundary, as the reference)."""
     parts = [f"\\Q{k}\\E" if escape else k for k in keywords]
