@@ -43,6 +43,28 @@ def read_articles_csv(spark: SparkSession, path: str, columns: Sequence[str] | N
     return r.csv(path)
 
 
+def read_any(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+             encodings: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """Try encodings in order. Spark's reader never fails on a wrong encoding (bad bytes
+    become U+FFFD), so each candidate is checked with one aggregate: the first encoding
+    whose read has no replacement character wins. A UTF-8 BOM is dropped by the UTF-8
+    reader, which covers the 'utf-8-sig' case. Parquet paths are read as parquet."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path)
+    df = None
+    for enc in encodings:
+        df = read_articles_csv(spark, path, columns, encoding=enc)
+        strings = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+        if not strings:
+            return df
+        bad = F.lit(False)
+        for c in strings:
+            bad = bad | F.coalesce(F.col(c).contains("\ufffd"), F.lit(False))
+        if df.filter(bad).limit(1).count() == 0:
+            return df
+    return df
+
+
 def apply_na_tokens(df: DataFrame, cols: Sequence[str] | None = None,
                     tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
     """S3: pandas-style NA strings -> NULL on the string columns."""

@@ -73,3 +73,12 @@ def test_read_parquet_spreads_single_split(spark):
     assert df.rdd.getNumPartitions() == 4
     assert sorted(r.id for r in df.collect()) == list(range(100))
     assert F is not None
+
+
+def test_read_any_falls_back_to_latin1(spark, tmp_path):
+    u = tmp_path / "u.csv"
+    u.write_bytes("title\ncafé\n".encode("utf-8-sig"))
+    lat = tmp_path / "l.csv"
+    lat.write_bytes("title\ncafé\n".encode("ISO-8859-1"))
+    assert S.read_any(spark, str(u), ["title"]).first().title == "café"
+    assert S.read_any(spark, str(lat), ["title"]).first().title == "café"
