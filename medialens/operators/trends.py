@@ -49,8 +49,9 @@ def complete_calendar(facts: DataFrame, series: Sequence[str], period: str, valu
 
     Each series' facts are packed into one map (period -> values) and the axis is
     exploded against it: the packed row is bounded by the calendar length (months or
-    weeks), never by the raw row count, since facts are aggregated first. No join and
-    no second scan of the input.
+    weeks), never by the raw row count, since facts are aggregated first. The group axis
+    is a window over the packed rows (one row per series of the group). No join and no
+    second scan of the input.
     """
     rb = list(range_by or series)
     entries = F.map_from_entries(F.collect_list(F.struct(F.col(period), F.struct(*values))))

@@ -6,6 +6,11 @@ to the first row per url (tag order, page, position). Urls already written by ea
 batches are removed with a left-anti join against the output table, so the output holds
 each url once, as the batch job would. Each batch writes its own ``epoch=<id>``
 partition with overwrite, so a retried epoch replaces its own output (idempotent).
+
+Cost: the anti-join reads the url column of the output so far once per micro-batch; for
+an article archive (millions of urls) that is a small column scan. A watermark-bounded
+``dropDuplicatesWithinWatermark(url)`` would bound state instead, at the price of
+missing duplicates that arrive later than the watermark.
 """
 
 from __future__ import annotations
