@@ -106,16 +106,17 @@ def clean_tokens_join(df: DataFrame, key: str, text: str, lemma_table: DataFrame
 
 
 def ngrams(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[str] = (),
-           pattern: str = WORD2) -> DataFrame:
+           pattern: str = WORD2, carry: Sequence[str] = ()) -> DataFrame:
     """Exploded n-grams (key, pos, gram) of the lower-cased text; n-grams never cross texts;
     an n-gram containing a stopword is dropped (its neighbours are not joined across it).
 
     The n tokens are read by index (no per-n-gram array slice) and the stopword test is
     one hash-set IN per token."""
+    carry = list(carry)
     tok = word_tokens(F.lower(text), pattern)
-    d = df.select(key, tok.alias("_tok"))
+    d = df.select(key, *carry, tok.alias("_tok"))
     starts = F.sequence(F.lit(1), F.size("_tok") - n + 1)
-    d = d.filter(F.size("_tok") >= n).select(key, "_tok", F.explode(starts).alias("_i"))
+    d = d.filter(F.size("_tok") >= n).select(key, *carry, "_tok", F.explode(starts).alias("_i"))
     parts = [F.element_at("_tok", F.col("_i") + j) for j in range(n)]
     if stopwords:
         hit = None
@@ -123,22 +124,29 @@ def ngrams(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[st
             c = p.isin(list(stopwords))
             hit = c if hit is None else (hit | c)
         d = d.filter(~hit)
-    return d.select(key, (F.col("_i") - 1).alias("pos"), F.concat_ws(" ", *parts).alias("gram"))
+    return d.select(key, *carry, (F.col("_i") - 1).alias("pos"), F.concat_ws(" ", *parts).alias("gram"))
 
 
 def ngram_topk(df: DataFrame, key: str, text: Column, n: int, k: int = 10,
-               stopwords: Sequence[str] = (), pattern: str = WORD2) -> DataFrame:
-    """Total count of every n-gram over the corpus, top k by count, ties to the
-    n-gram seen first (smallest (key, position)). ``key`` must be a non-negative integer.
+               stopwords: Sequence[str] = (), pattern: str = WORD2, by: Sequence[str] = ()) -> DataFrame:
+    """Total count of every n-gram over the corpus (or per ``by`` group), top k by
+    count, ties to the n-gram seen first (smallest (key, position)). ``key`` must be a
+    non-negative integer.
 
     Plan: explode -> partial HashAggregate(count, min(packed first-seen)) -> shuffle by
-    gram -> final aggregate -> TakeOrderedAndProject (per-partition top k, then merge).
+    gram -> final aggregate -> TakeOrderedAndProject (global), or a row_number <= k window
+    planned with WindowGroupLimit (per group).
     """
-    g = ngrams(df, key, text, n, stopwords, pattern)
+    by = list(by)
+    g = ngrams(df, key, text, n, stopwords, pattern, carry=by)
     kid = F.col(key).cast("long")
     in_range = (kid >= 0) & (kid < F.lit(1 << (63 - POS_BITS))) & (F.col("pos") < F.lit(1 << POS_BITS))
     # out-of-range keys fail loudly instead of silently breaking the tie order
     first = F.when(in_range, kid * F.lit(1 << POS_BITS) + F.col("pos")).otherwise(
         F.raise_error(F.lit("ngram_topk: key or position outside the packed first-seen range")))
-    agg = g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("_first"))
-    return agg.orderBy(F.col("n").desc(), F.col("_first").asc()).limit(k).select("gram", "n")
+    agg = g.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("_first"))
+    if not by:
+        return agg.orderBy(F.col("n").desc(), F.col("_first").asc()).limit(k).select("gram", "n")
+    w = Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col("_first").asc())
+    top = agg.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
+    return top.select(*by, "gram", "n")

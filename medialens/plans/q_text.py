@@ -114,39 +114,48 @@ def _clean_sql() -> str:
     s1 = f"list_filter({toks}, lambda t: NOT list_contains({_sql_list(ENGLISH_STOPWORDS)}, t))"
     s2 = f"list_transform({s1}, lambda t: CASE t {lem} ELSE t END)"
     s3 = f"list_filter({s2}, lambda t: NOT list_contains({_sql_list(NGRAM_STOPWORDS)}, t))"
-    return f"SELECT doc_id, array_to_string({s3}, ' ') AS cleaned FROM documents WHERE lang = 'en'"
+    return f"SELECT doc_id, array_to_string({s3}, ' ') AS cleaned FROM documents"
 
 
 @query("clean_tokens", _clean_sql())
 def clean_tokens(spark, sf):
-    d = table(spark, sf, "documents").filter(F.col("lang") == "en")
+    d = table(spark, sf, "documents")
     toks = X.clean_tokens(F.col("text"), ENGLISH_STOPWORDS, LEMMAS, NGRAM_STOPWORDS)
     return d.select("doc_id", F.array_join(toks, " ").alias("cleaned"))
 
 
 # --- A23 -----------------------------------------------------------------------------------------
-def _ngram_sql(n: int, lang: str, k: int = 10) -> str:
-    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{W2_SQL}') AS tok FROM documents WHERE lang = '{lang}'),
-s AS (SELECT doc_id, tok, unnest(generate_series(1, len(tok) - {n} + 1)) AS i FROM t WHERE len(tok) >= {n}),
-g AS (SELECT doc_id, i, tok[i:i + {n - 1}] AS parts FROM s)
-SELECT array_to_string(parts, ' ') AS gram, COUNT(*) AS n FROM g
+def _ngram_sql(n: int, lang: str | None, k: int = 10) -> str:
+    """Top k per language over the whole table (lang=None), or the top k of one language."""
+    where = f"WHERE lang = '{lang}'" if lang else ""
+    grp = "" if lang else "lang, "
+    tail = (f"ORDER BY n DESC, MIN(doc_id * {1 << X.POS_BITS} + i - 1) ASC LIMIT {k}" if lang else
+            f"QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, MIN(doc_id * {1 << X.POS_BITS} + i - 1) ASC) <= {k}")
+    return f"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{W2_SQL}') AS tok FROM documents {where}),
+s AS (SELECT doc_id, lang, tok, unnest(generate_series(1, len(tok) - {n} + 1)) AS i FROM t WHERE len(tok) >= {n}),
+g AS (SELECT doc_id, lang, i, tok[i:i + {n - 1}] AS parts FROM s)
+SELECT {grp}array_to_string(parts, ' ') AS gram, COUNT(*) AS n FROM g
 WHERE NOT list_has_any(parts, {_sql_list(NGRAM_STOPWORDS)})
-GROUP BY array_to_string(parts, ' ')
-ORDER BY n DESC, MIN(doc_id * {1 << X.POS_BITS} + i - 1) ASC LIMIT {k}"""
+GROUP BY {grp}array_to_string(parts, ' ')
+{tail}"""
 
 
-def _ngram_query(name: str, n: int, lang: str):
+def _ngram_query(name: str, n: int, lang: str | None):
     @query(name, _ngram_sql(n, lang))
     def q(spark, sf):
-        d = table(spark, sf, "documents").filter(F.col("lang") == lang).select("doc_id", "text")
-        return X.ngram_topk(d, "doc_id", F.col("text"), n, 10, NGRAM_STOPWORDS)
+        d = table(spark, sf, "documents")
+        if lang:
+            d = d.filter(F.col("lang") == lang)
+            return X.ngram_topk(d, "doc_id", F.col("text"), n, 10, NGRAM_STOPWORDS)
+        return X.ngram_topk(d, "doc_id", F.col("text"), n, 10, NGRAM_STOPWORDS, by=["lang"])
     q.__name__ = name
     return q
 
 
-_ngram_query("ngram_top1", 1, "en")
-_ngram_query("ngram_top2", 2, "en")
-_ngram_query("ngram_top3", 3, "en")
+# whole table, top 10 per language; plus one single-language report
+_ngram_query("ngram_top1", 1, None)
+_ngram_query("ngram_top2", 2, None)
+_ngram_query("ngram_top3", 3, None)
 _ngram_query("ngram_top2_fr", 2, "fr")
 
 

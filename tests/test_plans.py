@@ -43,14 +43,15 @@ def test_single_hash_shuffle(spark, name):
     assert len(needed) == 1, p
 
 
-@pytest.mark.parametrize("name", ["ngram_top1", "ngram_top2", "ngram_top3"])
-def test_topk_is_take_ordered(spark, name):
+@pytest.mark.parametrize("name,op", [("ngram_top1", "WindowGroupLimit"), ("ngram_top2", "WindowGroupLimit"),
+                                     ("ngram_top3", "WindowGroupLimit"), ("ngram_top2_fr", "TakeOrderedAndProject")])
+def test_topk_is_bounded(spark, name, op):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         p = Q[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert "TakeOrderedAndProject" in p
+    assert op in p
     assert "HashAggregate" in p and "SortAggregate" not in p
 
 
