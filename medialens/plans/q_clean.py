@@ -140,6 +140,19 @@ def corpus_stats(spark, sf):
     return stats.corpus_stats(table(spark, sf, "documents"), "text", "doc_id", None, "text")
 
 
+@query("corpus_stats_articles", f"""WITH {FXC}
+SELECT COUNT(*) AS rows_before, COUNT(DISTINCT COALESCE(url, '')) AS rows_after,
+  AVG(length(title)) AS mean_chars, strftime(MIN(published_ts), '%Y-%m-%d %H:%M:%S') AS min_date,
+  strftime(MAX(published_ts), '%Y-%m-%d %H:%M:%S') AS max_date FROM fxc""")
+def corpus_stats_articles(spark, sf):
+    """A20 on the article fixture: rows before/after url dedup, date range as text, mean title length."""
+    d = fx_with_copies(spark, sf)
+    st = stats.corpus_stats(d, "url", "ord", F.col("published_ts"), "title")
+    return st.select("rows_before", "rows_after", "mean_chars",
+                     F.date_format("min_date", "yyyy-MM-dd HH:mm:ss").alias("min_date"),
+                     F.date_format("max_date", "yyyy-MM-dd HH:mm:ss").alias("max_date"))
+
+
 # --- S3 / P7 / P8 -------------------------------------------------------------------------------
 @query("na_tokens", f"""WITH {DOCS_NA} SELECT doc_id, {_na_sql('lang')} AS lang, {_na_sql('source')} AS source FROM dna""")
 def na_tokens(spark, sf):

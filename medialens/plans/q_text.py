@@ -214,3 +214,27 @@ def classify_windows_stub(spark, sf):
 def classify_fallback_stub(spark, sf):
     d = table(spark, sf, "documents")
     return K.classify(d, ["doc_id"], "text", fallback_factory, batch_size=16)
+
+
+@query("classify_sources_stub")
+def classify_sources_stub(spark, sf):
+    """Per-language files landed from `documents`, one listed file missing; every file
+    that exists is labelled over its token windows in one job."""
+    import os
+    import uuid
+    import warnings
+
+    from ..session import scratch_dir
+    from ..sources.files import write_table
+    base = scratch_dir(spark, f"sources-{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    write_table(docs, base, partition_by=["lang"])
+    paths = {lang: os.path.join(base, f"lang={lang}") for lang in ("en", "fr", "de", "es")}
+    paths["missing"] = os.path.join(base, "lang=none")
+
+    def factory():
+        s = stub_scorer_factory()
+        return lambda b: s(b.rename(columns={"window_text": "text"}))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return K.classify_sources(spark, paths, "doc_id", "text", factory)

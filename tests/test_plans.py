@@ -8,7 +8,8 @@ from medialens.plans.registry import queries
 from .conftest import SF_SMALL
 
 Q = queries()
-PY_QUERIES = {"classify_stub", "classify_windows_stub", "classify_fallback_stub", "html_corpus_text", "api_articles"}
+PY_QUERIES = {"classify_stub", "classify_windows_stub", "classify_fallback_stub", "classify_sources_stub",
+              "html_corpus_text", "api_articles"}
 
 
 def plan_of(spark, name):
