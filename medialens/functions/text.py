@@ -56,6 +56,14 @@ def word_tokens(c, pattern: str = WORD_OR_PUNCT) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(pattern), 0)
 
 
+def word2_tokens(c) -> Column:
+    """Tokens of two or more word characters (the WORD2 pattern), by splitting on non-word
+    runs and dropping pieces shorter than two: the same tokens, found faster than by
+    extracting every regex match."""
+    parts = F.split(F.coalesce(_c(c), F.lit("")), r"[^\p{L}\p{N}_]+")
+    return F.filter(parts, lambda x: F.length(x) >= 2)
+
+
 def token_count(c, pattern: str = WORD_OR_PUNCT) -> Column:
     """Number of regex tokens, counted without materialising the token array."""
     return F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(pattern))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD2, word_tokens
+from ..functions.text import WORD2, word2_tokens, word_tokens
 
 # first-seen keys pack (doc_id, position) into one long so the n-gram aggregate keeps a
 # fixed-width buffer (HashAggregate); bounds: doc_id < 2^39, positions < 2^24 per text.
@@ -113,7 +113,7 @@ def ngrams(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[st
     The n tokens are read by index (no per-n-gram array slice) and the stopword test is
     one hash-set IN per token."""
     carry = list(carry)
-    tok = word_tokens(F.lower(text), pattern)
+    tok = word2_tokens(F.lower(text)) if pattern == WORD2 else word_tokens(F.lower(text), pattern)
     d = df.select(key, *carry, tok.alias("_tok"))
     starts = F.sequence(F.lit(1), F.size("_tok") - n + 1)
     d = d.filter(F.size("_tok") >= n).select(key, *carry, "_tok", F.explode(starts).alias("_i"))
