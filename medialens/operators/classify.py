@@ -9,13 +9,19 @@ every row of that batch ``error``. Rows carry their key; no order is relied upon
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import word_tokens
+from ..session import scratch_dir
+from .clean import drop_blank
 from .textops import majority_vote, token_windows
 
 Scorer = Callable[[pd.DataFrame], Sequence[str]]
@@ -98,12 +104,15 @@ def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: Scor
 
 def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFactory, size: int = 512,
                      stride: int = 256, batch_size: int = 16, error_scope: str = "window",
-                     ignore: Sequence[str] = ("error",)) -> DataFrame:
+                     ignore: Sequence[str] = ("error",), stage_path: str | None = None) -> DataFrame:
     """T5: token windows -> classify each window -> majority vote per article.
 
     ``error_scope='window'`` drops failed windows from the vote (an article is ``error``
     only if all its windows failed); ``'article'`` makes any failed window fail the article.
-    Articles without tokens are ``error``.
+    Articles without tokens are ``error``. With ``stage_path`` (a folder in the shared
+    checkpoint area) the scored windows are written there and the vote reads them back:
+    the lineage is cut after the model calls, so a lost executor during the vote does not
+    make the model score anything twice.
     """
     w = (token_windows(df, key, tokens, size, stride, with_tokens=True, keep_empty=True)
          .withColumn("window_text", F.array_join(F.coalesce("window", F.array()), " "))
@@ -113,6 +122,9 @@ def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFact
     w = w.hint("rebalance")
     keys = [key] if isinstance(key, str) else list(key)
     lab = classify(w, [*keys, "pos"], "window_text", scorer_factory, batch_size, skip="_empty")
+    if stage_path:
+        lab.write.mode("overwrite").parquet(stage_path)
+        lab = lab.sparkSession.read.parquet(stage_path)
     # one pass over the scored windows: the vote (and the article-scope failure flag)
     # come out of the same aggregation, so the scorer never runs twice
     return majority_vote(lab, keys, "label", "pos", ignore=ignore,
@@ -125,11 +137,6 @@ def classify_sources(spark, paths: dict[str, str], key: str, text: str, scorer_f
     one is reported and skipped), blank texts are dropped (P7), each article is classified
     over its token windows with article-scope errors (T5), and the result carries a
     ``source`` column (written partitioned by it when ``out_path`` is given)."""
-    import os
-    import warnings
-
-    from ..functions.text import word_tokens
-    from .clean import drop_blank
     parts = []
     for name, path in paths.items():
         if not os.path.exists(path):
@@ -142,6 +149,8 @@ def classify_sources(spark, paths: dict[str, str], key: str, text: str, scorer_f
     for p in parts[1:]:
         df = df.unionByName(p)
     df = drop_blank(df, text)
+    if "stage_path" not in window_args:
+        window_args["stage_path"] = scratch_dir(spark, f"scored-{uuid.uuid4().hex}")
     args = {"error_scope": "article", **window_args}
     res = classify_windows(df, ["source", key], word_tokens(text), scorer_factory, **args)
     if out_path:

@@ -8,12 +8,25 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Sizing for a large cluster (hundreds of executors, tens of TB): splits and shuffle
+# partitions of ~256 MB, a generous initial shuffle partition count that AQE coalesces,
+# and AQE skew splitting for joins and rebalances.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.shuffle.partitions": "8192",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "medialens") -> SparkSession:
+                  app_name: str = "medialens", cluster: bool = False) -> SparkSession:
     """Create (or reuse) a session configured the way every operator here expects.
 
-    On a cluster pass ``master=None`` and leave the partition count to the cluster
-    defaults / AQE; locally tests pass ``local[*]`` and a small partition count.
+    Locally tests pass ``local[*]`` and a small partition count; on a cluster pass
+    ``cluster=True`` for :data:`CLUSTER_CONF` (AQE then sizes the shuffles at run time).
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -28,6 +41,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           # Python call-site capture walks the stack on every Column call; a job that builds
           # plans with hundreds of expressions pays seconds for it on the driver
           .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
+    if cluster:
+        for k, v in CLUSTER_CONF.items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
