@@ -25,21 +25,35 @@ def union_partitions(parts: Sequence[DataFrame], required: Sequence[str]) -> Dat
 def read_month_partitions(spark: SparkSession, base: str, months: Sequence[str] | None = None,
                           required: Sequence[str] = (), fmt: str = "parquet",
                           partition_col: str = "month") -> DataFrame:
-    """Read ``base/month=YYYY-MM`` partitions.
-
-    When every partition has the same schema, one scan with partition pruning on
-    ``month`` is used. With drifting schemas, each partition's schema (footer metadata)
-    is checked on the driver and the readable ones are unioned by name; a partition
-    that fails to load is skipped, as the reference skips a month it cannot read.
+    """Read ``base/month=YYYY-MM`` partitions whose schemas drift over time.
+
+    Each partition's schema is checked on the driver from file metadata only; a month
+    lacking a required column, or one that cannot be read, is skipped (as the reference
+    skips a month it cannot use). The kept months are then read as ONE scan with merged
+    schemas (a column a month lacks reads as null, like ``unionByName(allowMissingColumns)``)
+    and partition pruning on ``month`` - one plan node however many months there are.
+    Parquet only for the single scan; other formats, or schemas that cannot merge, fall
+    back to a by-name union of the kept months.
     """
     if months is None:
         months = sorted(d.split("=", 1)[1] for d in os.listdir(base) if d.startswith(f"{partition_col}="))
-    parts = []
+    keep = []
     for m in months:
-        path = os.path.join(base, f"{partition_col}={m}")
         try:
-            df = spark.read.format(fmt).load(path)
+            cols = spark.read.format(fmt).load(os.path.join(base, f"{partition_col}={m}")).columns
         except Exception:  # unreadable month: skipped
             continue
-        parts.append(df.withColumn(partition_col, F.lit(m)))
+        if all(c in cols for c in required):
+            keep.append(m)
+    if not keep:
+        raise ValueError("no partition has the required columns")
+    if fmt == "parquet":
+        try:
+            df = (spark.read.option("mergeSchema", "true").option("basePath", base)
+                       .parquet(*[os.path.join(base, f"{partition_col}={m}") for m in keep]))
+            return df.withColumn(partition_col, F.col(partition_col).cast("string"))
+        except Exception:  # incompatible types across months: union by name instead
+            pass
+    parts = [spark.read.format(fmt).load(os.path.join(base, f"{partition_col}={m}"))
+                  .withColumn(partition_col, F.lit(m)) for m in keep]
     return union_partitions(parts, required)
