@@ -99,9 +99,17 @@ def max_tokens(df: DataFrame, col: str, limit: int = 10000, counter=token_count,
     return kept if out else kept.drop(name)
 
 
-def truncate_tokens(df: DataFrame, col: str, n: int = 512, out: str = "truncated") -> DataFrame:
-    """Keep the first ``n`` tokens (re-joined by a space)."""
-    return df.withColumn(out, F.array_join(F.slice(word_tokens(col), 1, n), " "))
+def truncate_tokens(df: DataFrame, col: str, n: int = 512, out: str = "truncated",
+                    count_out: str | None = None) -> DataFrame:
+    """Keep the first ``n`` tokens (re-joined by a space) - truncation is the operator's
+    purpose (a fixed model input); ``count_out`` also reports the whole text's length from
+    the same token array."""
+    tok = word_tokens(col)
+    if count_out:
+        staged = df.select("*", F.inline(F.array(F.struct(tok.alias("_tok")))))
+        return (staged.withColumn(count_out, F.size("_tok"))
+                      .withColumn(out, F.array_join(F.slice("_tok", 1, n), " ")).drop("_tok"))
+    return df.withColumn(out, F.array_join(F.slice(tok, 1, n), " "))
 
 
 def keep_values(df: DataFrame, col: str, values, exclude: bool = False) -> DataFrame:

@@ -68,11 +68,13 @@ def max_tokens(spark, sf):
     return C.max_tokens(d, "text", 500, out="n_tokens").select("doc_id", "n_tokens")
 
 
-@query("truncate_tokens", f"""SELECT doc_id, array_to_string(regexp_extract_all(COALESCE(text, ''), '{TOK_SQL}')[1:512], ' ')
-  AS truncated FROM documents""")
+@query("truncate_tokens", f"""SELECT doc_id, len(tok) AS n_tokens, array_to_string(tok[1:512], ' ') AS truncated
+FROM (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '{TOK_SQL}') AS tok FROM documents) t""")
 def truncate_tokens(spark, sf):
+    """The model input cut to its first 512 tokens (truncation is the operator); the whole
+    text is tokenised and its full length reported next to it (T2 windows cover all of it)."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return C.truncate_tokens(d, "text", 512).select("doc_id", "truncated")
+    return C.truncate_tokens(d, "text", 512, count_out="n_tokens").select("doc_id", "n_tokens", "truncated")
 
 
 @query("token_windows", f"""WITH t AS (SELECT doc_id, len(regexp_extract_all(COALESCE(text, ''), '{TOK_SQL}')) AS n FROM documents),
