@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.periods import parse_ts
+from ..functions.periods import PERIOD_NAMES, parse_ts, period_strict
 from ..functions.text import token_count, word_tokens, ws_trim
 
 
@@ -120,3 +120,13 @@ def keep_values(df: DataFrame, col: str, values, exclude: bool = False) -> DataF
         return df.join(vals, col, "left_anti" if exclude else "left_semi")
     cond = F.col(col).isin(list(values))
     return df.filter(~cond if exclude else cond)
+
+
+def split_by_cutoff(df: DataFrame, ts: str, cutoff: Column, names=PERIOD_NAMES, out: str = "period",
+                    path: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Tag rows before / from the cutoff; rows without a date go to neither. With
+    ``path`` the two outputs are written as one table partitioned by the period."""
+    tagged = df.withColumn(out, period_strict(ts, cutoff, names)).filter(F.col(out).isNotNull())
+    if path:
+        tagged.write.mode("overwrite").partitionBy(out).format(fmt).save(path)
+    return tagged

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.periods import (cutoff_for, id0_for, period_from_url, period_lenient,
-                                 period_strict)
+from ..functions.periods import cutoff_for, id0_for, period_from_url, period_lenient
 from ..functions.text import PANDAS_NA_TOKENS, compose_text as compose, null_tokens, slug as slug_fn
 from ..operators import clean as C
 from ..operators import dedup as U
@@ -206,8 +204,8 @@ PERIOD_SQL = ("CASE WHEN published_ts < {c} THEN 'Pre-war' WHEN published_ts >=
 SELECT topic, period, COUNT(*) AS n FROM (SELECT topic, {PERIOD_SQL} AS period FROM fx) t
 WHERE period IS NOT NULL GROUP BY topic, period""")
 def split_by_cutoff(spark, sf):
-    d = fx_labels(spark, sf).withColumn("period", period_strict("published_ts", cutoff_for("topic", FX_CUTOFFS)))
-    return d.filter(F.col("period").isNotNull()).groupBy("topic", "period").agg(F.count(F.lit(1)).alias("n"))
+    d = C.split_by_cutoff(fx_labels(spark, sf), "published_ts", cutoff_for("topic", FX_CUTOFFS))
+    return d.groupBy("topic", "period").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("period_lenient", f"""{WITH}

@@ -6,7 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD_OR_PUNCT, build_prompt as prompt_fn, token_count, word_tokens
+from ..functions.text import build_prompt as prompt_fn, token_count, word_tokens
 from ..operators import classify as K
 from ..operators import clean as C
 from ..operators import textops as X
