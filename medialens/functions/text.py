@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Python's str.strip() removes all whitespace; Spark's one-argument trim() only spaces.
-# The character-set form of trim is a plain scan (no regex), same set as regex \s.
-WS_CHARS = " \t\n\x0b\f\r"
+# The character-set form of trim is a plain scan (no regex); the set is Python's own
+# definition of whitespace, built by rule.
+WS_CHARS = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 
 # Word-token classes (Unicode letters/digits/underscore). Spelled out so the same
 # pattern means the same thing in Java regex and in RE2.

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import word_tokens
+from ..functions.text import word_tokens, ws_trim
 from ..session import scratch_dir
 from .clean import drop_blank
 from .textops import majority_vote, token_windows
@@ -72,7 +72,7 @@ def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: Scor
     keys = list(keys)
     sk = F.col(skip) if skip else F.lit(False)
     if blank_as_error:
-        sk = sk | (F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r")) == "")
+        sk = sk | (ws_trim(F.coalesce(F.col(text), F.lit(""))) == "")
     extra = [sk.alias("_skip")]
     src = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text), *extra)
     if partitions:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, IntegerType, StringType, StructField, StructType)
 
+from ..functions.text import ws_trim
 from .html import extract_html_text
 
 API_PAGE_SCHEMA = StructType([
@@ -51,6 +52,6 @@ def api_articles(pages: DataFrame) -> DataFrame:
     (tag order, page, position) order."""
     from ..operators.dedup import dedup_first
     art = extract_html_text(explode_api_pages(pages), "body_html", "body_text").drop("body_html")
-    art = art.filter(F.regexp_replace("body_text", r"^\s+|\s+$", "") != "")
+    art = art.filter(ws_trim("body_text") != "")
     return dedup_first(art, "url", ["tag_ord", "page", "pos"]).select(
         "title", "body_text", "published_at", "url", "tag")

@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from ..operators.dedup import dedup_first
 from ..session import scratch_dir
 from ..sources.api_pages import API_PAGE_SCHEMA, explode_api_pages
+from ..functions.text import ws_trim
 from ..sources.html import extract_html_text
 
 
 def _articles(batch: DataFrame) -> DataFrame:
     art = extract_html_text(explode_api_pages(batch), "body_html", "body_text").drop("body_html")
-    art = art.filter(F.trim("body_text", F.lit(" \t\n\x0b\f\r")) != "")
+    art = art.filter(ws_trim("body_text") != "")
     return dedup_first(art, "url", ["tag_ord", "page", "pos"]).select(
         "title", "body_text", "published_at", "url", "tag")
 
