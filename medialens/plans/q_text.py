@@ -110,13 +110,17 @@ def majority_vote(spark, sf):
 
 
 # --- T8 -------------------------------------------------------------------------------------
-def _clean_sql() -> str:
+def _cleaned_expr() -> str:
     lem = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEMMAS.items())
     toks = "regexp_extract_all(lower(COALESCE(text, '')), '\\p{L}+')"
     s1 = f"list_filter({toks}, lambda t: NOT list_contains({_sql_list(ENGLISH_STOPWORDS)}, t))"
     s2 = f"list_transform({s1}, lambda t: CASE t {lem} ELSE t END)"
     s3 = f"list_filter({s2}, lambda t: NOT list_contains({_sql_list(NGRAM_STOPWORDS)}, t))"
-    return f"SELECT doc_id, array_to_string({s3}, ' ') AS cleaned FROM documents"
+    return f"array_to_string({s3}, ' ')"
+
+
+def _clean_sql() -> str:
+    return f"SELECT doc_id, {_cleaned_expr()} AS cleaned FROM documents"
 
 
 @query("clean_tokens", _clean_sql())
@@ -127,13 +131,13 @@ def clean_tokens(spark, sf):
 
 
 # --- A23 -----------------------------------------------------------------------------------------
-def _ngram_sql(n: int, lang: str | None, k: int = 10) -> str:
+def _ngram_sql(n: int, lang: str | None, k: int = 10, text: str = "text") -> str:
     """Top k per language over the whole table (lang=None), or the top k of one language."""
     where = f"WHERE lang = '{lang}'" if lang else ""
     grp = "" if lang else "lang, "
     tail = (f"ORDER BY n DESC, MIN(doc_id * {1 << X.POS_BITS} + i - 1) ASC LIMIT {k}" if lang else
             f"QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, MIN(doc_id * {1 << X.POS_BITS} + i - 1) ASC) <= {k}")
-    return f"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{W2_SQL}') AS tok FROM documents {where}),
+    return f"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower({text}), '{W2_SQL}') AS tok FROM documents {where}),
 s AS (SELECT doc_id, lang, tok, unnest(generate_series(1, len(tok) - {n} + 1)) AS i FROM t WHERE len(tok) >= {n}),
 g AS (SELECT doc_id, lang, i, tok[i:i + {n - 1}] AS parts FROM s)
 SELECT {grp}array_to_string(parts, ' ') AS gram, COUNT(*) AS n FROM g
@@ -161,6 +165,15 @@ _ngram_query("ngram_top3", 3, None)
 _ngram_query("ngram_top2_fr", 2, "fr")
 
 
+@query("ngram_top3_cleaned", _ngram_sql(3, None, text=_cleaned_expr()))
+def ngram_top3_cleaned(spark, sf):
+    """The whole n-gram flow: T8 token cleaning (stopwords, lemmas, custom stopwords), then
+    A23 trigram top 10 per language over the cleaned texts."""
+    d = table(spark, sf, "documents")
+    cleaned = F.array_join(X.clean_tokens(F.col("text"), ENGLISH_STOPWORDS, LEMMAS, NGRAM_STOPWORDS), " ")
+    return X.ngram_topk(d, "doc_id", cleaned, 3, 10, NGRAM_STOPWORDS, by=["lang"])
+
+
 # --- T3 / T5 / T6 (stub scorer; rows-only for the driver, exact content in unit tests) ----------
 STUB_LABELS = ["Left", "Centre", "Right"]
 
