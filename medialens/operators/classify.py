@@ -156,3 +156,24 @@ def classify_sources(spark, paths: dict[str, str], key: str, text: str, scorer_f
     if out_path:
         res.write.mode("overwrite").partitionBy("source").format(fmt).save(out_path)
     return res
+
+
+def label_with_replies(df: DataFrame, keys: Sequence[str], text: str, primary: ScorerFactory,
+                       backup: ScorerFactory, parse, stage_path: str, batch_size: int = 16,
+                       final: str = "Unknown") -> DataFrame:
+    """E1 as Spark jobs: free-text model replies parsed natively (L5); rows whose primary
+    reply fails or cannot be parsed get the backup prompt; what still fails is ``final``.
+
+    The primary replies are written to ``stage_path`` (shared folder) before the backup
+    pass reads the failed subset, so no primary call is ever repeated by lineage.
+    """
+    keys = list(keys)
+    first = classify(df, keys, text, primary, batch_size, out="reply", error_label="")
+    first.write.mode("overwrite").parquet(stage_path)
+    first = df.sparkSession.read.parquet(stage_path).withColumn("label", parse(F.col("reply")))
+    ok = first.filter(F.col("label").isNotNull()).select(*keys, "label", F.lit(1).alias("attempts"))
+    retry = first.filter(F.col("label").isNull()).select(*keys).join(df.select(*keys, text), keys)
+    second = classify(retry, keys, text, backup, batch_size, out="reply", error_label="")
+    second = second.select(*keys, F.coalesce(parse(F.col("reply")), F.lit(final)).alias("label"),
+                           F.lit(2).alias("attempts"))
+    return ok.unionByName(second)

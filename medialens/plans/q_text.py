@@ -253,3 +253,35 @@ def classify_sources_stub(spark, sf):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         return K.classify_sources(spark, paths, "doc_id", "text", factory)
+
+
+def reply_primary_factory():
+    """Stub model replies in free text; an empty reply (len % 5 == 0) must go to the backup."""
+    def score(b: pd.DataFrame):
+        out = []
+        for t in b[b.columns[-1]]:
+            r = len(t) % 5
+            out.append(["", "The article is Left.", "right", "Centre-ish, neutral", "no idea"][r])
+        return out
+    return score
+
+
+def reply_backup_factory():
+    def score(b: pd.DataFrame):
+        if (b["doc_id"] % 3 == 0).any():
+            raise RuntimeError("backup failed")
+        return ["Center"] * len(b)
+    return score
+
+
+@query("label_archive_stub")
+def label_archive_stub(spark, sf):
+    """Token limit (P10) -> model replies -> native reply parsing (L5) -> backup prompt
+    for empty replies -> Unknown; the Unknown rows are the S9 second output."""
+    import uuid
+
+    from ..functions.labels import parse_reply
+    from ..session import scratch_dir
+    d = C.max_tokens(table(spark, sf, "documents"), "text", 10000)
+    return K.label_with_replies(d, ["doc_id"], "text", reply_primary_factory, reply_backup_factory,
+                                parse_reply, scratch_dir(spark, f"replies-{uuid.uuid4().hex}"))

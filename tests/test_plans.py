@@ -9,7 +9,7 @@ from .conftest import SF_SMALL
 
 Q = queries()
 PY_QUERIES = {"classify_stub", "classify_windows_stub", "classify_fallback_stub", "classify_sources_stub",
-              "html_corpus_text", "api_articles"}
+              "html_corpus_text", "api_articles", "label_archive_stub"}
 
 
 def plan_of(spark, name):

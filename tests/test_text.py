@@ -164,3 +164,25 @@ def test_blank_text_is_error_without_scoring(spark):
         return score
     got = {r.doc_id: r.label for r in K.classify(df, ["doc_id"], "text", factory).collect()}
     assert got == {1: "Right", 2: "error", 3: "error"} and seen == []
+
+
+def test_label_with_replies(spark, tmp_path):
+    from medialens.functions.labels import parse_reply
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "ccc"), (4, "dddd")], "doc_id long, text string")
+
+    def primary():
+        def score(b):
+            return [{"a": "Left.", "bb": "", "ccc": "no idea", "dddd": ""}[t] for t in b["text"]]
+        return score
+
+    def backup():
+        def score(b):
+            if (b["doc_id"] == 4).any():
+                raise RuntimeError("down")
+            return ["Right"] * len(b)
+        return score
+
+    got = {r.doc_id: (r.label, r.attempts) for r in
+           K.label_with_replies(df, ["doc_id"], "text", primary, backup, parse_reply, str(tmp_path / "s"),
+                                batch_size=1).collect()}
+    assert got == {1: ("Left", 1), 2: ("Right", 2), 3: ("Unknown", 1), 4: ("Unknown", 2)}
