@@ -37,9 +37,9 @@ def token_windows(df: DataFrame, key: str, tokens: Column, size: int = 512, stri
         seq = F.when(F.col("_n") > 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(-1)))
         d = d.select(*keys, "_tok", "_n", F.posexplode(seq).alias("pos", "_i"))
         d = d.withColumn("pos", F.when(F.col("_i") < 0, F.lit(-1)).otherwise(F.col("pos")))
-    else:
-        d = d.filter(F.col("_n") > 0).select(*keys, "_tok", "_n",
-                                             F.posexplode(F.sequence(F.lit(0), last)).alias("pos", "_i"))
+    else:  # empty start list rather than a row filter (see ngrams)
+        seq = F.when(F.col("_n") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        d = d.select(*keys, "_tok", "_n", F.posexplode(seq).alias("pos", "_i"))
     start = F.col("_i") * stride
     cols = [*keys, "pos", start.alias("start"), F.least(start + size, F.col("_n")).alias("end")]
     if with_tokens:
@@ -115,8 +115,11 @@ def ngrams(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[st
     carry = list(carry)
     tok = word2_tokens(F.lower(text)) if pattern == WORD2 else word_tokens(F.lower(text), pattern)
     d = df.select(key, *carry, tok.alias("_tok"))
-    starts = F.sequence(F.lit(1), F.size("_tok") - n + 1)
-    d = d.filter(F.size("_tok") >= n).select(key, *carry, "_tok", F.explode(starts).alias("_i"))
+    # an empty start list (not a row filter) for texts shorter than n: a filter here would be
+    # pushed below the projection and tokenise every text a second time
+    starts = F.when(F.size("_tok") >= n, F.sequence(F.lit(1), F.size("_tok") - n + 1)) \
+              .otherwise(F.array().cast("array<int>"))
+    d = d.select(key, *carry, "_tok", F.explode(starts).alias("_i"))
     parts = [F.element_at("_tok", F.col("_i") + j) for j in range(n)]
     if stopwords:
         hit = None
