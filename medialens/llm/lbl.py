@@ -60,11 +60,6 @@ def _bucket(word: str) -> int:
     return 1 + TOP_WORDS + zlib.crc32(word[-TAIL_CHARS:].encode()) % TAILS
 
 
-def _bucket_column(word: Column) -> Column:
-    # right(word, n) by characters, as in _bucket
-    return (F.crc32(F.expr(f"right(word, {TAIL_CHARS})").cast("binary")) % TAILS + 1 + TOP_WORDS).cast("int")
-
-
 def train(pairs: np.ndarray) -> np.ndarray:
     """log10 probabilities [context, target] of a model fitted to counts of class pairs."""
     n = pairs.shape[0]
@@ -106,19 +101,20 @@ def score(df: DataFrame, train_on: Column, keys: list[str], text: str = "text")
     learn = tb.fresh(df, "_learn")
     rows = df.withColumn(learn, F.coalesce(train_on, F.lit(False)))
     made = bk.blocks(rows, [*keys, learn], text, _split, "lm-blocks")
-    vocabulary = stage(_train_counts(made, learn), "lm-words")
+    replies = stage(_count_words(made, learn), "lm-words")
     n_end = made.select(F.explode(f"keys.{learn}").alias("t")).agg(F.coalesce(F.sum(F.col("t").cast("bigint")), F.lit(0))).first()[0]
-    seen = vocabulary.filter("c > 0")
-    n_words, n_distinct = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = n_words + n_end, n_distinct + (n_end > 0)
-    # TOP_WORDS rows at most
-    top = {r.word: i + 1 for i, r in enumerate(seen.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect())}
+    # TAILS rows at most
+    tails = replies.filter("word is null and block is null").groupBy("kind").agg(F.sum("words"), F.sum("c")).collect()
     rest = np.zeros((N_CLASSES, 2))
-    # one row per bucket
-    rare = seen.filter(~F.col("word").isin(list(top))) if top else seen
-    for b, words, tokens in rare.groupBy(_bucket_column(F.col("word"))).agg(F.count("*"), F.sum("c")).collect():
-        rest[b] = words, tokens
-    facts = bk.word_rows(made).join(vocabulary, "word").select("block", "place", "c")
+    for kind, words, tokens in tails:
+        rest[kind] = words, tokens
+    n, v = int(rest[:, 1].sum()) + n_end, int(rest[:, 0].sum()) + (n_end > 0)
+    # TOP_WORDS rows
+    frequent = replies.filter("word is not null").orderBy(F.desc("c"), "word").limit(TOP_WORDS).select("word", "c").collect()
+    top = {r.word: i + 1 for i, r in enumerate(frequent)}
+    for r in frequent:
+        rest[_bucket(r.word)] -= 1, r.c
+    facts = replies.filter("block is not null").select("block", "places", "counts")
     keyed = made.schema["keys"].dataType.elementType.fields
     schema = StructType([StructField("keys", made.schema["keys"].dataType), *StructType.fromDDL(
         "n_tokens array<bigint>, n_known array<bigint>, base array<double>, tail array<double>, classes binary").fields])
@@ -129,10 +125,10 @@ def score(df: DataFrame, train_on: Column, keys: list[str], text: str = "text")
 
         out = []
         for row in range(block.num_rows):
-            words = block.column("words")[row].as_py()
-            where = bk.by_place(facts, len(words))
+            words = [w.decode("utf-8") for w in bk.unpack_words(block.column("words")[row].as_py())]
             counts = np.zeros(len(words))
-            counts[where >= 0] = facts.column("c").to_numpy()[where[where >= 0]]
+            for reply in facts.to_pylist():
+                counts[bk.unpack(reply["places"])] = bk.unpack(reply["counts"], 8)
             kinds = np.array([top[w] if w in top else _bucket(w) for w in words], np.int64)
             in_bucket = rest[kinds]
             base = np.log10((counts + SMOOTH) / (n + SMOOTH * (v + 1)))
@@ -203,20 +199,37 @@ def _neighbours(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.arange(len(lengths)), lengths), context, target
 
 
-def _train_counts(made: DataFrame, learn: str) -> DataFrame:
-    """(word, c): how often each word of the corpus occurs in training texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                words = batch.column("words")[row].values
-                places = bk.unpack(batch.column("places")[row].as_py())
-                lengths = np.asarray(batch.column("lengths")[row].values, dtype=np.int64)
-                taught = batch.column("taught")[row].values.to_numpy(zero_copy_only=False).astype(bool)
-                counts = np.bincount(places[np.repeat(taught, lengths)], minlength=len(words))
-                yield pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64())], names=["word", "c"])
+def _count_words(made: DataFrame, learn: str) -> DataFrame:
+    """What the training texts hold, counted in word buckets. Three kinds of rows:
 
-    return made.select("words", "places", "lengths", F.col(f"keys.{learn}").alias("taught")) \
-        .mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    (block, places, counts): how often the words at some places of a block occur;
+    (word, c): the ``TOP_WORDS`` most frequent words of a bucket;
+    (kind, words, c): distinct words and occurrences by class of ending.
+    """
+    def note(row: dict) -> np.ndarray:
+        taught = np.repeat([k[learn] for k in row["keys"]], row["lengths"])
+        return np.bincount(bk.unpack(row["places"])[taught.astype(bool)], minlength=row["n_distinct"])
+
+    def work(table: pa.Table) -> pa.Table:
+        lists = [bk.unpack_words(w.as_py()) for w in table.column("words")]
+        distinct, which = bk.gather(lists)
+        counts = np.bincount(which, np.concatenate([bk.unpack(x.as_py()) for x in table.column("notes")]),
+                             len(distinct)).astype(np.int64)
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        rows = [{"block": block.as_py(), "places": places.as_py(), "counts": bk.pack(counts[which[a:b]], 8)}
+                for block, places, a, b in zip(table.column("block"), table.column("places"), bounds[:-1], bounds[1:], strict=True)]
+        seen = sorted(((-c, w.decode("utf-8")) for w, c in zip(distinct, counts.tolist(), strict=True) if c > 0))
+        rows += [{"word": w, "c": -c} for c, w in seen[:TOP_WORDS]]
+        kinds = np.array([_bucket(w) for _, w in seen], np.int64)
+        tokens = np.bincount(kinds, [-c for c, _ in seen], N_CLASSES).astype(np.int64) if seen else np.zeros(N_CLASSES, np.int64)
+        words = np.bincount(kinds, minlength=N_CLASSES)
+        rows += [{"kind": int(k), "words": int(words[k]), "c": int(tokens[k])} for k in np.flatnonzero(words)]
+        return pa.Table.from_pylist(rows, schema=pa.schema([
+            ("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("word", pa.string()),
+            ("kind", pa.int32()), ("words", pa.int64()), ("c", pa.int64())]))
+
+    return bk.ask(made, work, "block bigint, places binary, counts binary, word string, kind int, words bigint, c bigint",
+                  ("keys", "lengths", "places", "n_distinct"), note)
 
 
 def _class_pairs(coded: DataFrame, learn: str) -> DataFrame:

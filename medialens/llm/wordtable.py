@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a table of distinct words (operator 7).
 
-Texts are split into words in Spark (numpy byte spans, kept as blocks); each distinct word of
-the corpus is encoded once; a join with the tokenizer's id-to-piece table decodes it; ids and
-pieces come back to every occurrence by block and place and are strung together in text order.
+Texts are split into words in Spark (numpy byte spans, kept as blocks); the blocks' distinct
+words meet in hash buckets, where each distinct word of the corpus is encoded once; the ids come
+back to every occurrence by block and place and are strung together in text order; a join of
+the ids with the tokenizer's id-to-piece table (as large as its vocabulary) decodes them.
 
 A word here is a run of text that the tokenizer never joins with its neighbours: it ends at
 ASCII white space, and between an ASCII letter or digit and ASCII punctuation other than the
@@ -15,8 +16,6 @@ text is its own id, as the library has it; repeated rows give repeated rows; nul
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,86 +71,85 @@ def _specials(spec: str) -> list[bytes]:
     return [t["content"].encode() for t in json.loads(spec)["added_tokens"]]
 
 
-def encode_words(words: DataFrame, spec) -> DataFrame:
-    """(word, ids) of each row of ``words``; ``spec`` is a broadcast tokenizer file."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _piece_table(spec: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tokenizer's pieces by id: their bytes and offsets."""
+    table = json.loads(spec)
+    named = {**{i: p for p, i in table["model"]["vocab"].items()}, **{t["id"]: t["content"] for t in table["added_tokens"]}}
+    spelled = [named.get(i, "").encode() for i in range(max(named) + 1)]
+    return np.frombuffer(b"".join(spelled), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in spelled])))
+
+
+def encode_words(made: DataFrame, spec) -> DataFrame:
+    """(block, places, sizes, ids): the packed ids of the words at some places of a block.
+
+    ``spec`` is a broadcast tokenizer file. Every distinct word of all blocks is encoded once.
+    """
+    def work(table: pa.Table) -> pa.Table:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        for batch in batches:
-            done = tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([e.ids for e in done], pa.list_(pa.int32()))],
-                                             names=["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+        lists = [bk.unpack_words(w.as_py()) for w in table.column("words")]
+        distinct, which = bk.gather(lists)
+        done = tokenizer.encode_batch([w.decode("utf-8") for w in distinct], add_special_tokens=False)
+        sizes = np.array([len(e.ids) for e in done], np.int64)
+        off = np.concatenate(([0], np.cumsum(sizes)))
+        ids = np.fromiter((i for e in done for i in e.ids), np.uint32, int(off[-1]))
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        own = [which[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table({"block": table.column("block"), "places": table.column("places"),
+                         "sizes": pa.array([bk.pack(sizes[x]) for x in own], pa.binary()),
+                         "ids": pa.array([bk.pack(ids[bk.take_runs(off, x)[0]]) for x in own], pa.binary())})
 
-
-def pieces(spark, spec: str) -> DataFrame:
-    """The tokenizer's (id, piece) table: as many rows as its vocabulary."""
-    table = json.loads(spec)
-    rows = {**{i: p for p, i in table["model"]["vocab"].items()}, **{t["id"]: t["content"] for t in table["added_tokens"]}}
-    return spark.createDataFrame(sorted(rows.items()), "id int, piece string")
+    return bk.ask(made, work, "block bigint, places binary, sizes binary, ids binary")
 
 
 def encode_decode(df: DataFrame, tokenizer_path: str, keys: list[str], text: str = "text") -> DataFrame:
-    """The key columns of each row, its ids (little-endian unsigned 32-bit) and its decoded text."""
-    spark = df.sparkSession
+    """The key columns of each row, n_tokens, ids (little-endian unsigned 32-bit) and decoded text."""
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = file.read()
+    context = df.sparkSession.sparkContext
     # as large as the tokenizer's vocabulary, whatever the corpus
-    sent = spark.sparkContext.broadcast(spec)
+    sent, pieces = context.broadcast(spec), context.broadcast(_piece_table(spec))
     specials = _specials(spec)
     made = bk.blocks(df, keys, text, lambda column: split(column, specials), "bpe-blocks")
-    rows = bk.word_rows(made)
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = encode_words(rows.select("word").distinct(), sent).repartition(spread, "word")
-    table = encoded.select("word", F.posexplode("ids").alias("at", "id")) \
-        .join(F.broadcast(pieces(spark, spec)), "id") \
-        .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("t")) \
-        .select("word", F.col("t.id").alias("ids"), F.array_join("t.piece", " ").alias("pieces"))
-    facts = rows.join(table, "word").select("block", "place", "ids", "pieces")
     schema = StructType([*made.schema["keys"].dataType.elementType.fields,
                          *StructType.fromDDL("n_tokens bigint, ids binary, decoded string").fields])
 
-    def string_together(block: pa.Table, facts: pa.Table) -> pa.Table:
+    def string_together(block: pa.Table, answers: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = []
         for row in range(block.num_rows):
-            places = bk.unpack(block.column("places")[row].as_py())
-            where = bk.by_place(facts, int(places.max()) + 1 if len(places) else 0)
-            ids, id_off = _flat(facts.column("ids"), np.uint32)
-            text, text_off = _flat(facts.column("pieces"), np.uint8)
-            lengths = np.asarray(block.column("lengths")[row].values, dtype=np.int64)
-            word_end = np.cumsum(lengths)
-            known = where[places] >= 0
-            which = where[places][known]
-            bounds = np.concatenate(([0], np.cumsum(known)))[np.concatenate(([0], word_end))]
-            columns: list[list] = [[], [], []]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                own = ids[bk.take_runs(id_off, which[a:b])[0]]
-                columns[0].append(len(own))
-                columns[1].append(own.astype("<u4").tobytes())
-                columns[2].append(_joined(text, text_off, which[a:b]))
+            sizes, ids = np.zeros(block.column("n_distinct")[row].as_py() + 1, np.int64), []
+            order = []
+            for answer in answers.to_pylist():
+                at = bk.unpack(answer["places"])
+                sizes[at] = bk.unpack(answer["sizes"])
+                order.append(at)
+                ids.append(bk.unpack(answer["ids"]))
+            # where each place's ids lie in the concatenation of all answers
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            told = np.concatenate(order).astype(np.int64) if order else np.zeros(0, np.int64)
+            first = np.zeros(len(sizes), np.int64)
+            first[told] = np.cumsum(sizes[told]) - sizes[told]
+            places = bk.unpack(block.column("places")[row].as_py()).astype(np.int64)
+            length = sizes[places]
+            end = np.cumsum(length)
+            total = int(end[-1]) if len(end) else 0
+            tokens = flat[np.arange(total) + np.repeat(first[places] - (end - length), length)]
+            word_end = np.cumsum(np.asarray(block.column("lengths")[row].values, dtype=np.int64))
+            bounds = np.concatenate(([0], end))[np.concatenate(([0], word_end))]
+            spelled, off = pieces.value
+            own = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            columns = [np.diff(bounds), [x.astype("<u4").tobytes() for x in own], [_joined(spelled, off, x) for x in own]]
             keys = block.column("keys")[row].values
             out.append(pa.Table.from_arrays([*keys.flatten(), *map(pa.array, columns)], names=schema.names)
                        .cast(to_arrow_schema(schema)))
         return pa.concat_tables(out) if out else to_arrow_schema(schema).empty_table()
 
-    return bk.per_block(made, facts, string_together, schema)
-
-
-def _flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list or string column of a facts table, and its offsets."""
-    column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        return tb.view(column)
-    off = np.asarray(column.offsets, dtype=np.int64)
-    return np.asarray(column.values).astype(kind), off
+    return bk.per_block(made, encode_words(made, sent), string_together, schema, ("keys", "lengths", "n_distinct", "places"))
 
 
 def _joined(text: np.ndarray, off: np.ndarray, which: np.ndarray) -> str:
@@ -169,6 +167,3 @@ def digests(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in ("ids", "decoded")],
                      F.sha2("ids", 256).alias("ids_sha256"),
                      F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
-
-
-
