@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from . import textbytes as tb
 from .scratch import stage
 
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_200_000
 BUCKET_WORDS = 400_000
 
 Split = Callable[[pa.Array], tuple[np.ndarray, tb.Spans]]
@@ -50,6 +50,37 @@ def unpack(data: bytes, width: int = 4) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
+def pack_rising(values: np.ndarray) -> bytes:
+    """Ascending integers, as their differences."""
+    return pack(np.diff(values, prepend=0))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data).astype(np.int64))
+
+
+#: Bytes of the first stream of a packed sequence that stand for a word that occurs once, and for a rarer word.
+_ONCE, _RARE = 254, 255
+
+
+def pack_sequence(places: np.ndarray, n_often: int) -> bytes:
+    """Word places in text order. Places from ``n_often`` on occur once, in ascending order."""
+    once = places >= n_often
+    rare = ~once & (places >= _ONCE)
+    first = squeeze(np.where(once, _ONCE, np.where(rare, _RARE, places)).astype(np.uint8).tobytes())
+    return len(first).to_bytes(4, "little") + n_often.to_bytes(4, "little") + first + pack(places[rare])
+
+
+def unpack_sequence(data: bytes) -> np.ndarray:
+    size, n_often = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    first = np.frombuffer(unsqueeze(data[8:8 + size]), np.uint8)
+    out = first.astype(np.int32)
+    once = first == _ONCE
+    out[once] = n_often + np.arange(int(once.sum()))
+    out[first == _RARE] = unpack(data[8 + size:])
+    return out
+
+
 def pack_words(words: list[bytes]) -> bytes:
     """Words without line feeds as one compressed string."""
     return squeeze(b"\n".join(words))
@@ -81,8 +112,9 @@ class _Block:
         self.n += len(hashes)
 
     def row(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
-        distinct, inverse, counts = np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
-        order = np.lexsort((distinct, -counts))
+        distinct, first, inverse, counts = np.unique(np.concatenate(self.hashes), return_index=True,
+                                                     return_inverse=True, return_counts=True)
+        order = np.lexsort((first, -counts))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         keys = pa.concat_arrays(self.keys)
@@ -91,7 +123,7 @@ class _Block:
         words = pack_words([self.words[h] for h in distinct[order].tolist()])
         columns = [pa.array([number], pa.int64()), one(keys, len(keys)), one(pa.array(lengths), len(lengths)),
                    pa.array([len(order)], pa.int64()), pa.array([words], pa.binary()),
-                   pa.array([pack(rank[inverse])], pa.binary())]
+                   pa.array([pack_sequence(rank[inverse], int((counts > 1).sum()))], pa.binary())]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
@@ -149,7 +181,7 @@ def ask(made: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str, colu
                 for b in np.flatnonzero(np.diff(bounds)).tolist():
                     at = order[bounds[b]:bounds[b + 1]]
                     yield pa.RecordBatch.from_pylist([{
-                        "bucket": b, "block": row["block"], "places": pack(at), "words": pack_words(words[at].tolist()),
+                        "bucket": b, "block": row["block"], "places": pack_rising(at), "words": pack_words(words[at].tolist()),
                         "notes": pack(noted[at])}])
 
     dealt = made.select("block", "words", *columns).mapInArrow(

@@ -128,13 +128,13 @@ def score(df: DataFrame, train_on: Column, keys: list[str], text: str = "text")
             words = [w.decode("utf-8") for w in bk.unpack_words(block.column("words")[row].as_py())]
             counts = np.zeros(len(words))
             for reply in facts.to_pylist():
-                counts[bk.unpack(reply["places"])] = bk.unpack(reply["counts"], 8)
+                counts[bk.unpack_rising(reply["places"])] = bk.unpack(reply["counts"], 8)
             kinds = np.array([top[w] if w in top else _bucket(w) for w in words], np.int64)
             in_bucket = rest[kinds]
             base = np.log10((counts + SMOOTH) / (n + SMOOTH * (v + 1)))
             tail = np.where(kinds >= floor, np.log10(
                 (counts + SMOOTH) / (in_bucket[:, 1] + SMOOTH * (in_bucket[:, 0] + 1))), 0.0)
-            places = bk.unpack(block.column("places")[row].as_py())
+            places = bk.unpack_sequence(block.column("places")[row].as_py())
             lengths = np.asarray(block.column("lengths")[row].values, dtype=np.int64)
             bounds = np.concatenate(([0], np.cumsum(lengths)))
             total = lambda x: _sums(x[places], bounds)  # noqa: B023, E731
@@ -208,7 +208,7 @@ def _count_words(made: DataFrame, learn: str) -> DataFrame:
     """
     def note(row: dict) -> np.ndarray:
         taught = np.repeat([k[learn] for k in row["keys"]], row["lengths"])
-        return np.bincount(bk.unpack(row["places"])[taught.astype(bool)], minlength=row["n_distinct"])
+        return np.bincount(bk.unpack_sequence(row["places"])[taught.astype(bool)], minlength=row["n_distinct"])
 
     def work(table: pa.Table) -> pa.Table:
         lists = [bk.unpack_words(w.as_py()) for w in table.column("words")]

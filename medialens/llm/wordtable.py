@@ -25,6 +25,9 @@ from pyspark.sql.types import StructType
 from . import blocks as bk
 from . import textbytes as tb
 
+#: Distinct words handed to the tokenizer at once.
+ENCODED_AT_ONCE = 10_000
+
 _WORDLIKE = np.zeros(256, bool)
 _WORDLIKE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: Punctuation that a word boundary may touch: ASCII, neither white space nor the quote.
@@ -92,10 +95,14 @@ def encode_words(made: DataFrame, spec) -> DataFrame:
         tokenizer.no_padding()
         lists = [bk.unpack_words(w.as_py()) for w in table.column("words")]
         distinct, which = bk.gather(lists)
-        done = tokenizer.encode_batch([w.decode("utf-8") for w in distinct], add_special_tokens=False)
-        sizes = np.array([len(e.ids) for e in done], np.int64)
+        sizes, parts = [], []
+        for at in range(0, len(distinct), ENCODED_AT_ONCE):
+            done = tokenizer.encode_batch([w.decode("utf-8") for w in distinct[at:at + ENCODED_AT_ONCE]],
+                                          add_special_tokens=False)
+            sizes += [len(e.ids) for e in done]
+            parts.append(np.fromiter((i for e in done for i in e.ids), np.uint32))
+        sizes, ids = np.array(sizes, np.int64), np.concatenate(parts)
         off = np.concatenate(([0], np.cumsum(sizes)))
-        ids = np.fromiter((i for e in done for i in e.ids), np.uint32, int(off[-1]))
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
         own = [which[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table({"block": table.column("block"), "places": table.column("places"),
@@ -122,30 +129,33 @@ def encode_decode(df: DataFrame, tokenizer_path: str, keys: list[str], text: str
 
         out = []
         for row in range(block.num_rows):
-            sizes, ids = np.zeros(block.column("n_distinct")[row].as_py() + 1, np.int64), []
+            sizes, ids = np.zeros(block.column("n_distinct")[row].as_py() + 1, np.int32), []
             order = []
             for answer in answers.to_pylist():
-                at = bk.unpack(answer["places"])
+                at = bk.unpack_rising(answer["places"])
                 sizes[at] = bk.unpack(answer["sizes"])
                 order.append(at)
                 ids.append(bk.unpack(answer["ids"]))
             # where each place's ids lie in the concatenation of all answers
             flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
             told = np.concatenate(order).astype(np.int64) if order else np.zeros(0, np.int64)
-            first = np.zeros(len(sizes), np.int64)
+            first = np.zeros(len(sizes), np.int32)
             first[told] = np.cumsum(sizes[told]) - sizes[told]
-            places = bk.unpack(block.column("places")[row].as_py()).astype(np.int64)
+            places = bk.unpack_sequence(block.column("places")[row].as_py())
             length = sizes[places]
-            end = np.cumsum(length)
+            end = np.cumsum(length, dtype=np.int64)
             total = int(end[-1]) if len(end) else 0
-            tokens = flat[np.arange(total) + np.repeat(first[places] - (end - length), length)]
+            tokens = flat[np.arange(total) + np.repeat(first[places] - (end - length), length)].astype("<u4")
+            del first, length, flat, ids
             word_end = np.cumsum(np.asarray(block.column("lengths")[row].values, dtype=np.int64))
             bounds = np.concatenate(([0], end))[np.concatenate(([0], word_end))]
             spelled, off = pieces.value
-            own = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = [np.diff(bounds), [x.astype("<u4").tobytes() for x in own], [_joined(spelled, off, x) for x in own]]
+            raw = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [
+                None, pa.py_buffer((4 * bounds).astype(np.int64)), pa.py_buffer(tokens.tobytes())])
+            text = pa.array((_joined(spelled, off, tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)),
+                            pa.string())
             keys = block.column("keys")[row].values
-            out.append(pa.Table.from_arrays([*keys.flatten(), *map(pa.array, columns)], names=schema.names)
+            out.append(pa.Table.from_arrays([*keys.flatten(), pa.array(np.diff(bounds)), raw, text], names=schema.names)
                        .cast(to_arrow_schema(schema)))
         return pa.concat_tables(out) if out else to_arrow_schema(schema).empty_table()
 
