@@ -25,8 +25,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from . import textbytes as tb
 from .scratch import stage
 
-BLOCK_WORDS = 1_200_000
-BUCKET_WORDS = 400_000
+BLOCK_WORDS = 1_000_000
+BUCKET_WORDS = 150_000
 
 Split = Callable[[pa.Array], tuple[np.ndarray, tb.Spans]]
 
@@ -200,6 +200,7 @@ def per_block(made: DataFrame, answers: DataFrame, work: Callable[[pa.Table, pa.
               schema: StructType | str, columns: tuple[str, ...]) -> DataFrame:
     """Bring answers to their blocks: ``work(block table, answers)`` gives rows of ``schema``."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         return work(left, right)
 
     left = made.select(F.col("block").alias("home"), *columns)

@@ -2,9 +2,10 @@
 
 1. Star: in every bucket each member is verified against the smallest member only.
 2. Verified links join members into classes (connected components).
-3. Where a bucket still holds several classes, its members are dealt into blocks of at most
-   ``BLOCK_ITEMS`` members, and blocks are compared two by two inside tasks; only the links
-   that join different classes come out. Then step 2 again.
+3. Where the other members of a bucket are still of several classes, they are compared: as
+   pairs of different classes in buckets of up to ``SMALL`` members; in larger ones as blocks of
+   about ``BLOCK_ITEMS / 2`` members, two by two inside tasks, of which only the links that
+   join different classes come out. Then step 2 again.
 
 Every candidate pair is so either verified, or already in one class by links that were: no
 partner is capped and no link lost. Rows that are shuffled or made stay in proportion to bucket
@@ -25,6 +26,7 @@ from . import textbytes as tb
 from .scratch import stage
 
 BLOCK_ITEMS = 512
+SMALL = 16
 #: Columns of one dense product when blocks are compared by overlap.
 PRODUCT_COLUMNS = 4096
 
@@ -69,11 +71,16 @@ def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike)
     right = texts.select(F.col("node").alias("b"), F.col("body").alias("right"))
     links = stage(_verify(stars.join(left, "a").join(right, "b"), alike), "links")
     roots = stage(components(links), "roots")
-    known = full.select("key", "node").join(roots, "node", "left") \
-        .select("key", "node", F.coalesce("root", "node").alias("root"))
+    known = stage(full.filter("node != low").select("key", "node").join(roots, "node", "left")
+                  .select("key", "node", F.coalesce("root", "node").alias("root")), "unresolved")
     spread = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")) \
         .filter("low != high").select("key", "n")
-    more = stage(_block_links(known.join(spread, "key"), texts, alike), "links")
+    open_ = stage(known.join(spread, "key"), "unresolved")
+    few = open_.filter(F.col("n") <= SMALL)
+    pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node and x.root != y.root") \
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    more = stage(_verify(pairs.join(left, "a").join(right, "b"), alike)
+                 .unionByName(_block_links(open_.filter(F.col("n") > SMALL), texts, alike)), "links")
     all_links = links.unionByName(more).distinct()
     final = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     degree = all_links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

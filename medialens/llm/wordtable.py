@@ -145,8 +145,9 @@ def encode_decode(df: DataFrame, tokenizer_path: str, keys: list[str], text: str
             length = sizes[places]
             end = np.cumsum(length, dtype=np.int64)
             total = int(end[-1]) if len(end) else 0
-            tokens = flat[np.arange(total) + np.repeat(first[places] - (end - length), length)].astype("<u4")
-            del first, length, flat, ids
+            start = (first[places] - (end - length)).astype(np.int32)
+            tokens = flat[np.arange(total, dtype=np.int32) + np.repeat(start, length)].astype("<u4")
+            del first, start, length, flat, ids
             word_end = np.cumsum(np.asarray(block.column("lengths")[row].values, dtype=np.int64))
             bounds = np.concatenate(([0], end))[np.concatenate(([0], word_end))]
             spelled, off = pieces.value
