@@ -36,8 +36,8 @@ def compose_text(*cols, sep: str = " ") -> Column:
 
 
 def slug(c) -> Column:
-    """Non-word runs -> '_', trimmed of '_', lower-cased."""
-    s = F.regexp_replace(_c(c), r"[^\p{L}\p{N}_]+", "_")
+    """Runs of anything but ASCII letters and digits -> '_', trimmed of '_', lower-cased."""
+    s = F.regexp_replace(_c(c), r"[^A-Za-z0-9]+", "_")
     return F.lower(F.regexp_replace(s, r"^_+|_+$", ""))
 
 

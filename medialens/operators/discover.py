@@ -12,34 +12,34 @@ DATE_CANDIDATES = ["published_date", "time_std", "time", "date", "datetime", "pu
 DATE_FRAGMENTS = ["date", "time", "publish", "datetime", "created", "updated"]
 LABEL_MODEL_KEYS = {"BERT": ["bert"], "DeepSeek": ["deepseek", "deep-seek"], "Gemini": ["gemini"],
                     "Claude": ["claude"]}
-PROBE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+PROBE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]"]
 
 
 def resolve_date_column(columns: Sequence[str], candidates: Sequence[str] = DATE_CANDIDATES,
                         fragments: Sequence[str] = DATE_FRAGMENTS) -> str:
-    """Exact candidates in order (case-insensitive), then the first name containing a fragment."""
-    lower = {c.lower(): c for c in columns}
-    for cand in candidates:
-        if cand in lower:
-            return lower[cand]
-    for c in columns:
-        if any(f in c.lower() for f in fragments):
-            return c
-    raise ValueError("no date column found")
-
-
-ISO_SHAPE = r"^\s*\d{4}-\d{2}-\d{2}"
+    """The column of the best rank: candidates by their order (the last of columns that differ
+    in case), then names holding a fragment by position."""
+    order = {c: i for i, c in enumerate(candidates)}
+    ranks = []
+    for at, name in enumerate(columns):
+        folded = name.lower()
+        if folded in order:
+            ranks.append((0, order[folded], -at, name))
+        elif any(f in folded for f in fragments):
+            ranks.append((1, at, 0, name))
+    if not ranks:
+        raise ValueError("no date column found")
+    return min(ranks)[-1]
 
 
 def parseable_counts(df: DataFrame, formats: Sequence[str] = PROBE_FORMATS,
-                     shape: str | None = ISO_SHAPE) -> DataFrame:
+                     shape: str | None = None) -> DataFrame:
     """D2 (data part): for every column, how many values parse as a timestamp. One global
-    aggregate over the data, returned long as (column_name, ordinal, n_parseable)."""
+    aggregate over the data, returned long as (column_name, ordinal, n_parseable). ``shape``, a
+    pattern that every value of ``formats`` matches, spares failed parses of other values."""
     def parsed(c):
         s = F.col(c).cast("string")
         p = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
-        # a cheap shape test first (failed parses are costly and most columns are not
-        # dates); pass shape=None for formats that do not start with yyyy-MM-dd
         return F.when(s.rlike(shape), p) if shape else p
     wide = df.agg(*[F.count(parsed(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"),
@@ -60,22 +60,16 @@ def probe_date_column(df: DataFrame, formats: Sequence[str] = PROBE_FORMATS) ->
 
 def detect_label_columns(columns: Sequence[str], model_keys: dict[str, Sequence[str]] = LABEL_MODEL_KEYS,
                          also: Sequence[str] = (), fallback_first: bool = False) -> dict[str, str]:
-    """D3: model -> column; a name containing 'label' (or any of ``also``), not url/title;
-    the last matching column wins."""
-    found: dict[str, str] = {}
-    for c in columns:
-        lc = c.lower()
-        if not ("label" in lc or any(a in lc for a in also)):
-            continue
-        if "url" in lc or "title" in lc:
-            continue
-        for model, keys in model_keys.items():
-            if any(k in lc for k in keys):
-                found[model] = c
-                break
-    if fallback_first and "BERT" not in found:
-        for c in columns:
-            if "predicted_label" in c.lower():
-                found["BERT"] = c
-                break
+    """D3: model -> column, from a table of (model, position): the latest label column that names
+    the model. ``also`` widens what counts as a label column."""
+    marks = {"label", *also}
+    named = [(at, c, c.lower()) for at, c in enumerate(columns)]
+    labels = [(at, c, low) for at, c, low in named
+              if any(m in low for m in marks) and not {"url", "title"} & {w for w in ("url", "title") if w in low}]
+    owner = {at: next((m for m, keys in model_keys.items() if any(k in low for k in keys)), None) for at, _, low in labels}
+    latest = {m: max((at for at in owner if owner[at] == m), default=None) for m in model_keys}
+    found = {m: columns[at] for m, at in sorted(latest.items(), key=lambda x: (x[1] is None, x[1])) if at is not None}
+    first = next((c for _, c, low in named if "predicted_label" in low), None)
+    if fallback_first and "BERT" not in found and first is not None:
+        found["BERT"] = first
     return found

@@ -171,7 +171,7 @@ def url_prefix(spark, sf):
 
 
 @query("slug", """SELECT doc_id, lower(regexp_replace(regexp_replace(source || ' / ' || lang,
-  '[^\\p{L}\\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM documents""")
+  '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM documents""")
 def slug(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", slug_fn(F.concat("source", F.lit(" / "), "lang")).alias("slug"))

@@ -11,18 +11,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.text import PANDAS_NA_TOKENS, null_tokens
 
 
-def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    """Parquet scan (pruning and pushdown as usual). When the scan yields fewer splits than
-    twice the cluster's cores - a small file with a single row group - the rows are spread
-    by a hash of the leading column so CPU-heavy text work downstream runs on every core. Large inputs already
-    have far more splits than cores and are left alone (no extra shuffle)."""
-    df = spark.read.parquet(path)
-    want = min_partitions or 2 * spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        # hash on the leading column (an id in these tables): deterministic under task
-        # retries without the local sort a round-robin repartition needs
-        df = df.repartition(want, df.columns[0])
-    return df
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Plain Parquet scan: pruning and pushdown as usual, the same plan at every input size."""
+    return spark.read.parquet(path)
 
 
 def read_articles_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,

@@ -22,27 +22,30 @@ def union_partitions(parts: Sequence[DataFrame], required: Sequence[str]) -> Dat
     return out
 
 
+def _folders(spark: SparkSession, base: str) -> list[str]:
+    """Names below a path of any file system that Spark can read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return [f.getPath().getName() for f in found]
+
+
 def read_month_partitions(spark: SparkSession, base: str, months: Sequence[str] | None = None,
                           required: Sequence[str] = (), fmt: str = "parquet",
                           partition_col: str = "month") -> DataFrame:
     """Read ``base/month=YYYY-MM`` partitions whose schemas drift over time.
 
     Each partition's schema is checked on the driver from file metadata only; a month
-    lacking a required column, or one that cannot be read, is skipped (as the reference
-    skips a month it cannot use). The kept months are then read as ONE scan with merged
+    lacking a required column is skipped, one that cannot be read raises. The kept months are then read as ONE scan with merged
     schemas (a column a month lacks reads as null, like ``unionByName(allowMissingColumns)``)
     and partition pruning on ``month`` - one plan node however many months there are.
     Parquet only for the single scan; other formats, or schemas that cannot merge, fall
     back to a by-name union of the kept months.
     """
     if months is None:
-        months = sorted(d.split("=", 1)[1] for d in os.listdir(base) if d.startswith(f"{partition_col}="))
+        months = sorted(d.split("=", 1)[1] for d in _folders(spark, base) if d.startswith(f"{partition_col}="))
     keep = []
     for m in months:
-        try:
-            cols = spark.read.format(fmt).load(os.path.join(base, f"{partition_col}={m}")).columns
-        except Exception:  # unreadable month: skipped
-            continue
+        cols = spark.read.format(fmt).load(os.path.join(base, f"{partition_col}={m}")).columns
         if all(c in cols for c in required):
             keep.append(m)
     if not keep:

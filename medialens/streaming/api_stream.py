@@ -47,11 +47,10 @@ def start_api_ingest(spark: SparkSession, landing: str, output: str, checkpoint:
     def process(batch: DataFrame, epoch_id: int) -> None:
         s = batch.sparkSession
         arts = _articles(batch)
-        try:
+        path = s._jvm.org.apache.hadoop.fs.Path(output)
+        if path.getFileSystem(s._jsc.hadoopConfiguration()).exists(path):  # not before the first epoch
             seen = s.read.parquet(output).filter(F.col("epoch") < epoch_id).select("url")
             arts = arts.join(seen, "url", "left_anti")
-        except Exception:  # no output yet (first epoch)
-            pass
         (arts.withColumn("epoch", F.lit(epoch_id).cast("long"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("epoch").parquet(output))

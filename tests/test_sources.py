@@ -66,13 +66,10 @@ def test_split_failures(spark):
     assert not os.path.exists(os.path.join(d, "u2"))
 
 
-def test_read_parquet_spreads_single_split(spark):
-    d = tempfile.mkdtemp(prefix="ml-pq-")
+def test_parquet_scan_has_no_exchange(spark):
+    d = tempfile.mkdtemp(prefix="ml-scan-")
     spark.range(100).coalesce(1).write.parquet(os.path.join(d, "t"))
-    df = S.read_parquet(spark, os.path.join(d, "t"), min_partitions=4)
-    assert df.rdd.getNumPartitions() == 4
-    assert sorted(r.id for r in df.collect()) == list(range(100))
-    assert F is not None
+    assert "Exchange" not in S.read_parquet(spark, os.path.join(d, "t"))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_read_any_falls_back_to_latin1(spark, tmp_path):
