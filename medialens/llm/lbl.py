@@ -45,6 +45,8 @@ DIM = 32
 NOISE = 25
 STEPS = 400
 RATE = 0.05
+#: Weight of the Gaussian prior on class vectors, in observed pairs: small corpora stay near the unigram.
+PRIOR = 40.0
 SMOOTH = 0.1
 N_CLASSES = 1 + TOP_WORDS + TAILS
 END = 0
@@ -81,7 +83,8 @@ def train(pairs: np.ndarray) -> np.ndarray:
         sure = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
         slope = noise * sure - data * (1 - sure)
         sq = slope @ q
-        grads = [sq @ m.T, r.T @ sq, slope.T @ rm, slope.sum(0)]
+        shrink = PRIOR / total
+        grads = [sq @ m.T + shrink * r, r.T @ sq, slope.T @ rm + shrink * q, slope.sum(0)]
         rate = RATE * (1 - (step - 1) / STEPS)
         for w, g, u, v in zip(weights, grads, first, second, strict=True):
             u += 0.1 * (g - u)
