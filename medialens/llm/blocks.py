@@ -25,8 +25,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from . import textbytes as tb
 from .scratch import stage
 
-BLOCK_WORDS = 1_000_000
-BUCKET_WORDS = 150_000
+BLOCK_WORDS = 1_200_000
+BUCKET_WORDS = 250_000
 
 Split = Callable[[pa.Array], tuple[np.ndarray, tb.Spans]]
 

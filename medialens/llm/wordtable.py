@@ -15,6 +15,7 @@ text is its own id, as the library has it; repeated rows give repeated rows; nul
 
 from __future__ import annotations
 
+import functools
 import json
 import numpy as np
 import pyarrow as pa
@@ -82,17 +83,24 @@ def _piece_table(spec: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(spelled), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in spelled])))
 
 
+@functools.lru_cache(1)
+def _tokenizer(spec: str):
+    """The library's tokenizer, built once per worker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def encode_words(made: DataFrame, spec) -> DataFrame:
     """(block, places, sizes, ids): the packed ids of the words at some places of a block.
 
     ``spec`` is a broadcast tokenizer file. Every distinct word of all blocks is encoded once.
     """
     def work(table: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _tokenizer(spec.value)
         lists = [bk.unpack_words(w.as_py()) for w in table.column("words")]
         distinct, which = bk.gather(lists)
         sizes, parts = [], []
