@@ -3,13 +3,13 @@
 The model call is pluggable: a *scorer factory* is shipped to the executors and called
 once per partition; the scorer takes a pandas DataFrame batch (the key columns and the
 text) and returns one label per row. Batches come from Arrow (``mapInPandas``) and are
-re-sliced to ``batch_size`` rows, as the model's own batch size. A failing batch labels
-every row of that batch ``error``. Rows carry their key; no order is relied upon.
+re-sliced to ``batch_size`` rows, as the model's own batch size. The rows of a failing batch
+are scored singly, and only those that fail again are labelled ``error``: the result does not
+depend on partitioning. Rows carry their key; no order is relied upon.
 """
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 import warnings
@@ -46,15 +46,21 @@ def with_retry(scorer: Scorer, tries: int = 3, backoff: Callable[[int], float] =
 
 
 def with_fallback(primary: Scorer, backup: Scorer, final: str = "Unknown") -> Scorer:
-    """On failure try the backup prompt/scorer; if that fails too, label ``final``."""
+    """A row that fails gets the backup prompt/scorer; if that fails too, ``final``. After a
+    failed batch each of its rows is tried on its own, so no row pays for another's failure."""
+    def single(row: pd.DataFrame) -> str:
+        for scorer in (primary, backup):
+            try:
+                return list(scorer(row))[0]
+            except Exception:
+                continue
+        return final
+
     def run(batch: pd.DataFrame) -> Sequence[str]:
         try:
             return primary(batch)
         except Exception:
-            try:
-                return backup(batch)
-            except Exception:
-                return [final] * len(batch)
+            return [single(batch.iloc[i:i + 1]) for i in range(len(batch))]
     return run
 
 
@@ -80,6 +86,17 @@ def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: Scor
     key_fields = [f for f in src.schema.fields if f.name in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields) + f", `{out}` string"
 
+    def scored(scorer: Scorer, rows: pd.DataFrame) -> list[str]:
+        try:
+            res = list(scorer(rows))
+            if len(res) != len(rows):
+                raise ValueError("scorer returned a wrong number of labels")
+            return res
+        except Exception:
+            if len(rows) == 1:
+                return [error_label]
+            return [x for i in range(len(rows)) for x in scored(scorer, rows.iloc[i:i + 1])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for pdf in batches:
@@ -88,13 +105,7 @@ def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: Scor
             todo = todo[[*keys, text]]
             for i in range(0, len(todo), batch_size):
                 chunk = todo.iloc[i:i + batch_size]
-                try:
-                    res = list(scorer(chunk))
-                    if len(res) != len(chunk):
-                        raise ValueError("scorer returned a wrong number of labels")
-                except Exception:
-                    res = [error_label] * len(chunk)
-                labels.loc[chunk.index] = res
+                labels.loc[chunk.index] = scored(scorer, chunk)
             outp = pdf[keys].copy()
             outp[out] = labels.values
             yield outp
@@ -139,7 +150,8 @@ def classify_sources(spark, paths: dict[str, str], key: str, text: str, scorer_f
     ``source`` column (written partitioned by it when ``out_path`` is given)."""
     parts = []
     for name, path in paths.items():
-        if not os.path.exists(path):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             warnings.warn(f"missing input skipped: {path}")
             continue
         parts.append(spark.read.format(fmt).load(path).select(key, text).withColumn("source", F.lit(name)))
@@ -165,14 +177,16 @@ def label_with_replies(df: DataFrame, keys: Sequence[str], text: str, primary: S
     reply fails or cannot be parsed get the backup prompt; what still fails is ``final``.
 
     The primary replies are written to ``stage_path`` (shared folder) before the backup
-    pass reads the failed subset, so no primary call is ever repeated by lineage.
+    pass reads the failed subset, so no primary call is ever repeated by lineage. Failed rows
+    carry their text in the stage: nothing is joined back, so null and repeated keys keep their rows.
     """
     keys = list(keys)
-    first = classify(df, keys, text, primary, batch_size, out="reply", error_label="")
-    first.write.mode("overwrite").parquet(stage_path)
-    first = df.sparkSession.read.parquet(stage_path).withColumn("label", parse(F.col("reply")))
+    first = classify(df.withColumn("_body", F.col(text)), [*keys, "_body"], text, primary, batch_size,
+                     out="reply", error_label="").withColumn("label", parse(F.col("reply")))
+    first.withColumn("_body", F.when(F.col("label").isNull(), F.col("_body"))).write.mode("overwrite").parquet(stage_path)
+    first = df.sparkSession.read.parquet(stage_path)
     ok = first.filter(F.col("label").isNotNull()).select(*keys, "label", F.lit(1).alias("attempts"))
-    retry = first.filter(F.col("label").isNull()).select(*keys).join(df.select(*keys, text), keys)
+    retry = first.filter(F.col("label").isNull()).select(*keys, F.col("_body").alias(text))
     second = classify(retry, keys, text, backup, batch_size, out="reply", error_label="")
     second = second.select(*keys, F.coalesce(parse(F.col("reply")), F.lit(final)).alias("label"),
                            F.lit(2).alias("attempts"))

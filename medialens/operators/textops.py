@@ -71,37 +71,48 @@ def majority_vote(df: DataFrame, key: str, label: str, pos: str, ignore: Sequenc
                       F.when(bad, F.lit(0)).otherwise(F.col("n_votes")).cast("long").alias("n_votes"))
 
 
+#: A word that is all letters: not part of a run with digits or underscores, without a clitic
+#: (``n't`` or what follows an apostrophe).
+ALPHABETIC = (r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}_]['’])\p{L}+?"
+              r"(?=n['’]t(?!['’]?[\p{L}\p{N}_])|['’]|(?![\p{L}\p{N}_]))")
+
+
+def alphabetic_tokens(text: Column) -> Column:
+    """Lower-cased all-letter words in text order: ``covid19`` has none, ``don't`` gives ``do``."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ALPHABETIC), 0)
+
+
 def clean_tokens(text: Column, stopwords: Sequence[str] = (), lemmas: dict[str, str] | None = None,
                  custom_stopwords: Sequence[str] = ()) -> Column:
     """T8 for small lists: alphabetic tokens, lower-cased; drop stopwords (on the token),
     map to lemmas (identity if absent), drop custom stopwords (on the lemma). Position
     order is kept; all of it is one expression (no explode, no shuffle)."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), 0)
+    toks = alphabetic_tokens(text)
     if stopwords:
-        stops = F.array(*[F.lit(s) for s in stopwords])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stops, t))
+        toks = F.filter(toks, lambda t: ~t.isin(list(stopwords)))
     if lemmas:
         m = F.create_map(*[F.lit(x) for kv in lemmas.items() for x in kv])
         toks = F.transform(toks, lambda t: F.coalesce(F.element_at(m, t), t))
     if custom_stopwords:
-        cs = F.array(*[F.lit(s) for s in custom_stopwords])
-        toks = F.filter(toks, lambda t: ~F.array_contains(cs, t))
+        toks = F.filter(toks, lambda t: ~t.isin(list(custom_stopwords)))
     return toks
 
 
 def clean_tokens_join(df: DataFrame, key: str, text: str, lemma_table: DataFrame,
                       stopwords: Sequence[str] = (), custom_stopwords: Sequence[str] = ()) -> DataFrame:
     """T8 for a large lemma table: explode -> left join to (token, lemma) -> regroup in
-    position order. The regroup is one text's tokens, bounded by the text itself."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}+"), 0)
-    ex = df.select(key, F.posexplode(toks).alias("pos", "token"))
+    position order. The regroup is one text's tokens, bounded by the text itself; a text
+    without any left has an empty list."""
+    ex = df.select(key, F.posexplode(alphabetic_tokens(F.col(text))).alias("pos", "token"))
     if stopwords:
         ex = ex.filter(~F.col("token").isin(list(stopwords)))
     j = ex.join(lemma_table.select("token", "lemma"), "token", "left") \
           .withColumn("lemma", F.coalesce("lemma", "token"))
     if custom_stopwords:
         j = j.filter(~F.col("lemma").isin(list(custom_stopwords)))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("_t"))
+    every = df.select(key, F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("lemma"))
+    kept = F.when(F.col("lemma").isNotNull(), F.struct("pos", "lemma"))
+    g = j.select(key, "pos", "lemma").unionByName(every).groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("_t"))
     return g.select(key, F.transform("_t", lambda s: s["lemma"]).alias("tokens"))
 
 

@@ -112,7 +112,10 @@ def majority_vote(spark, sf):
 # --- T8 -------------------------------------------------------------------------------------
 def _cleaned_expr() -> str:
     lem = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEMMAS.items())
-    toks = "regexp_extract_all(lower(COALESCE(text, '')), '\\p{L}+')"
+    # word runs with their clitics; the clitics off; all-letter words stay
+    runs = "regexp_extract_all(lower(COALESCE(text, '')), '[\\p{L}\\p{N}_]+(?:[''’][\\p{L}\\p{N}_]+)*')"
+    bare = f"list_transform({runs}, lambda t: regexp_replace(regexp_replace(t, '(\\p{{L}})n[''’]t$', '\\1'), '[''’].*$', ''))"
+    toks = f"list_filter({bare}, lambda t: regexp_full_match(t, '\\p{{L}}+'))"
     s1 = f"list_filter({toks}, lambda t: NOT list_contains({_sql_list(ENGLISH_STOPWORDS)}, t))"
     s2 = f"list_transform({s1}, lambda t: CASE t {lem} ELSE t END)"
     s3 = f"list_filter({s2}, lambda t: NOT list_contains({_sql_list(NGRAM_STOPWORDS)}, t))"
@@ -180,7 +183,7 @@ STUB_LABELS = ["Left", "Centre", "Right"]
 
 def stub_scorer_factory():
     """Deterministic stand-in for a model: label from len(text) % 3; a batch containing a
-    doc_id divisible by 101 raises."""
+    doc_id divisible by 101 raises, and of its rows scored singly that one alone fails."""
     def score(batch: pd.DataFrame):
         if "doc_id" in batch and (batch["doc_id"] % 101 == 0).any():
             raise RuntimeError("stub failure")

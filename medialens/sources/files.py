@@ -67,8 +67,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
                 mode: str = "overwrite", bom: bool = False) -> None:
     """Write a table; CSV keeps a header and quotes embedded newlines.
 
-    ``partition_by`` replaces the reference's one-sheet-per-group workbook (S8).
+    ``partition_by`` replaces the reference's one-sheet-per-group workbook (S8). With ``bom``
+    every CSV file starts with a UTF-8 byte-order mark (written as part of its header).
     """
+    if bom and fmt == "csv":
+        first = next(c for c in df.columns if c not in partition_by)
+        df = df.withColumnRenamed(first, "﻿" + first)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -76,8 +80,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         # keep edge whitespace (the writer trims it by default) and quote embedded newlines
         w = (w.option("header", True).option("escape", '"').option("quote", '"')
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-        if bom:
-            w = w.option("encoding", "UTF-8")
     w.format(fmt).save(path)
 
 

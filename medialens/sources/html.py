@@ -7,6 +7,7 @@ entities are unescaped. Non-string input gives ''.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,27 +16,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
 _HIDDEN = {"script", "style", "template"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _TextCollector(HTMLParser):
+    """Text up to the next tag or comment is one piece; an element left open ends with the one around it."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
-        self._hidden = 0
+        self._piece: list[str] = []
+        self._stack: list[str] = []
+        self._open: Counter[str] = Counter()
+
+    def _end_piece(self) -> None:
+        text = "".join(self._piece).strip()
+        if text:
+            self.parts.append(text)
+        self._piece = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in _HIDDEN:
-            self._hidden += 1
+        self._end_piece()
+        if tag not in _VOID:
+            self._stack.append(tag)
+            self._open[tag] += 1
 
     def handle_endtag(self, tag):
-        if tag in _HIDDEN and self._hidden:
-            self._hidden -= 1
+        self._end_piece()
+        while self._open[tag]:
+            last = self._stack.pop()
+            self._open[last] -= 1
+            if last == tag:
+                break
+
+    def handle_comment(self, data):
+        self._end_piece()
 
     def handle_data(self, data):
-        if not self._hidden:
-            s = data.strip()
-            if s:
-                self.parts.append(s)
+        if not any(self._open[tag] for tag in _HIDDEN):
+            self._piece.append(data)
+
+    def close(self):
+        super().close()
+        self._end_piece()
 
 
 def html_to_text(html: object, sep: str = "\n") -> str:
