@@ -79,3 +79,13 @@ def test_read_any_falls_back_to_latin1(spark, tmp_path):
     lat.write_bytes("title\ncafé\n".encode("ISO-8859-1"))
     assert S.read_any(spark, str(u), ["title"]).first().title == "café"
     assert S.read_any(spark, str(lat), ["title"]).first().title == "café"
+
+
+def test_csv_with_byte_order_mark(spark, tmp_path):
+    from medialens.sources.files import read_articles_csv, write_table
+    out = str(tmp_path / "bom")
+    write_table(spark.createDataFrame([("é", "x")], "a string, b string").coalesce(1), out, "csv", bom=True)
+    part = next((tmp_path / "bom").glob("part-*.csv")).read_bytes()
+    assert part.startswith(b"\xef\xbb\xbfa,b\n")
+    back = read_articles_csv(spark, out)
+    assert [tuple(r) for r in back.select("a", "b").collect()] == [("é", "x")]
