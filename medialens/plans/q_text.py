@@ -177,7 +177,7 @@ def ngram_top3_cleaned(spark, sf):
     return X.ngram_topk(d, "doc_id", cleaned, 3, 10, NGRAM_STOPWORDS, by=["lang"])
 
 
-# --- T3 / T5 / T6 (stub scorer; rows-only for the driver, exact content in unit tests) ----------
+# --- T3 / T5 / T6 (stub scorer) ----------
 STUB_LABELS = ["Left", "Centre", "Right"]
 
 
@@ -212,7 +212,8 @@ def fallback_factory():
     return K.with_fallback(primary, backup, final="Unknown")
 
 
-@query("classify_stub")
+@query("classify_stub", """SELECT doc_id, CASE WHEN NOT regexp_matches(COALESCE(text, ''), '\\S') THEN 'error'
+  WHEN doc_id % 101 = 0 THEN 'error' ELSE ['Left', 'Centre', 'Right'][CAST(length(text) % 3 AS INT) + 1] END AS label FROM documents""")
 def classify_stub(spark, sf):
     d = table(spark, sf, "documents")
     return K.classify(d, ["doc_id"], "text", stub_scorer_factory, batch_size=16)
@@ -228,7 +229,8 @@ def classify_windows_stub(spark, sf):
     return K.classify_windows(d, "doc_id", word_tokens("text"), factory, 512, 256, 16)
 
 
-@query("classify_fallback_stub")
+@query("classify_fallback_stub", """SELECT doc_id, CASE WHEN NOT regexp_matches(COALESCE(text, ''), '\\S') THEN 'error'
+  WHEN doc_id % 101 = 0 THEN 'Unknown' ELSE ['Left', 'Centre', 'Right'][CAST(length(text) % 3 AS INT) + 1] END AS label FROM documents""")
 def classify_fallback_stub(spark, sf):
     d = table(spark, sf, "documents")
     return K.classify(d, ["doc_id"], "text", fallback_factory, batch_size=16)
