@@ -174,6 +174,6 @@ def share_of_group(counts: DataFrame, group: Sequence[str], n: str = "n") -> Dat
 
 
 def place_events(events: DataFrame, series: DataFrame, on: str) -> DataFrame:
-    """Put named dates on a series by their bucket. ``events`` is a literal list of a
-    few named dates (size fixed by the caller), so it is broadcast."""
-    return F.broadcast(events).join(series, on)
+    """Put named dates on a series by their bucket. An event whose bucket has no data
+    stays, with nulls for the series' columns."""
+    return events.join(series, on, "left")

@@ -245,9 +245,9 @@ _EV_VALUES = ", ".join(f"(DATE '{d}', '{n}')" for d, n in FX_EVENTS)
 
 @query("event_markers", f"""{WITH}, {WK_SQL},
 ev AS (SELECT * FROM (VALUES {_EV_VALUES}) v(event_date, event))
-SELECT event, strftime(event_date, '%Y-%m-%d') AS event_date, strftime(wk.week, '%Y-%m-%d') AS week,
+SELECT event, strftime(event_date, '%Y-%m-%d') AS event_date, strftime(event_date + CAST((8 - isodow(event_date)) % 7 AS INTEGER), '%Y-%m-%d') AS week,
   topic, outlet, model, idx
-FROM ev JOIN wk ON wk.week = event_date + CAST((8 - isodow(event_date)) % 7 AS INTEGER)""")
+FROM ev LEFT JOIN wk ON wk.week = event_date + CAST((8 - isodow(event_date)) % 7 AS INTEGER)""")
 def event_markers(spark, sf):
     ev = spark.createDataFrame([(dt.date.fromisoformat(d), n) for d, n in FX_EVENTS],
                                "event_date date, event string")
