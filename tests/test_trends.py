@@ -60,3 +60,10 @@ def test_spine_fill_and_weighted_segments(spark):
     simple = T.segment_means(filled, ["topic"], ["outlet", "model"], weighted=False)
     s2 = sorted((r["segment"], r["share_left"]) for r in simple.filter(F.col("outlet") == "BBC").collect())
     assert s2 == [(1, 0.5), (2, 0.0), (3, 0.0), (4, 0.0)]
+
+
+def test_event_without_data_stays(spark):
+    from medialens.operators import trends as TR
+    events = spark.createDataFrame([("2024-01-08", "a"), ("2024-01-15", "b")], "week string, event string")
+    series = spark.createDataFrame([("2024-01-08", 0.5)], "week string, idx double")
+    assert sorted(tuple(r) for r in TR.place_events(events, series, "week").select("event", "idx").collect()) == [("a", 0.5), ("b", None)]
