@@ -166,7 +166,8 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 
 def line_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(node, root, n_links) of the lines of ``docs`` that have near-duplicates."""
-    lines = _lines(docs, text).select("node", "line")
+    # a line that many documents share is one row from here on
+    lines = stage(_lines(docs, text).select("node", "line").distinct(), "distinct-lines")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +179,7 @@ def line_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE)
     def bodies(nodes: DataFrame) -> DataFrame:
         held = stage(nodes, "candidate-lines")
         wanted = F.broadcast(held) if held.count() <= SENT_LINES else held
-        return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("body"))
+        return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("line").alias("body"))
 
     return linking.classes(lines.mapInArrow(file, "key bigint, node bigint"), bodies, EditDistance(distance))
 

@@ -35,12 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node of its component.
 
     Alternates the large-star and small-star steps of map-reduce connected components until
-    nothing changes; each step's edges are written to the shared folder.
+    every component is a star; each step's edges are written to the shared folder.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                 .filter("a != b").distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -48,14 +47,18 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a")
         now = stage(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                     .unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")) \
         .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and none if it has a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
+        .unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")) \
+        .filter(F.col("up") + F.col("down") > 1).count() == 0
+
+
 def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike) -> DataFrame:
     """(node, root, n_links) of the nodes that any verified link touches.
 
