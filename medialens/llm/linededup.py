@@ -22,6 +22,7 @@ length is taken whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ DISTANCE = 2
 MIN_CHARS = 24
 #: Pairs verified in one pass.
 GROUP = 4096
+#: Line hashes that a task remembers before it starts anew (8 bytes each).
+KNOWN_LINES = 1 << 20
 #: Candidate lines that are sent to all tasks to fetch their texts (8 bytes each); more are joined by shuffle.
 SENT_LINES = 500_000
 
@@ -51,16 +54,45 @@ def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), starts[off]
 
 
+@functools.lru_cache(maxsize=1)
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    power, back = np.full(size, tb.BASE), np.full(size, _INVERSE)
+    power[0] = back[0] = 1
+    return np.cumprod(power), np.cumprod(back)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    power, back = _power_table(1 << (n - 1).bit_length())
+    return power[:n], back[:n]
+
+
+class _Seen:
+    """Which lines of a task are new, so that a frequent one leaves a task once in ``KNOWN_LINES``."""
+
+    def __init__(self):
+        self.known: list[np.ndarray] = []
+
+    def new(self, node: np.ndarray) -> np.ndarray:
+        nodes, first = np.unique(node, return_index=True)
+        for held in self.known:
+            fresh = held[np.minimum(np.searchsorted(held, nodes), len(held) - 1)] != nodes
+            nodes, first = nodes[fresh], first[fresh]
+        if len(nodes):
+            self.known.append(nodes)
+        if len(self.known) > 16:
+            merged = np.sort(np.concatenate(self.known))
+            self.known = [merged] if len(merged) < KNOWN_LINES else []
+        return first
+
+
 def segment_keys(column: pa.Array, distance: int = DISTANCE, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) under which each line is filed or looks for others; equal keys of a row once."""
+    """(row, key) under which each line is filed or looks for others; a key may come twice."""
     points, off = _points(column)
     length = np.diff(off)
-    power = np.full(len(points) + 1, tb.BASE)
-    back = np.full(len(points) + 1, _INVERSE)
-    power[0] = back[0] = 1
-    power, back = np.cumprod(power), np.cumprod(back)
+    power, back = _powers(len(points) + 1)
     total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(tb.mix(points.astype(np.uint64) + _U(1)) * power[:-1], out=total[1:])
+    np.cumsum((points.astype(np.uint64) + _U(1)) * power[:-1], out=total[1:])
     rows, keys = [], []
     n = distance + 1
     for shorter in range(distance + 1):
@@ -80,10 +112,7 @@ def segment_keys(column: pa.Array, distance: int = DISTANCE, least: int = MIN_CH
                 tag = (size[ok].astype(np.uint64) * _U(n) + _U(i) + _U(1)) * tb.BASE
                 rows.append(some[ok])
                 keys.append(tb.mix(found ^ tb.mix(tag)))
-    row, key = np.concatenate(rows), np.concatenate(keys)
-    both = tb.mix(key ^ (row.astype(np.uint64) * tb.BASE))
-    _, first = np.unique(both, return_index=True)
-    return row[first], key[first]
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 class EditDistance:
@@ -166,11 +195,16 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 
 def line_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(node, root, n_links) of the lines of ``docs`` that have near-duplicates."""
-    # a line that many documents share is one row from here on
-    lines = stage(_lines(docs, text).select("node", "line").distinct(), "distinct-lines")
+    return _classes(stage(_lines(docs, text).select("node", "line"), "lines"), distance)
+
+
+def _classes(lines: DataFrame, distance: int) -> DataFrame:
+    lines = lines.select("node", "line")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
+            batch = batch.take(pa.array(seen.new(batch.column("node").to_numpy())))
             for piece in tb.slices(batch, "line"):
                 row, key = segment_keys(piece.column("line"), distance)
                 node = piece.column("node").to_numpy()
@@ -179,7 +213,7 @@ def line_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE)
     def bodies(nodes: DataFrame) -> DataFrame:
         held = stage(nodes, "candidate-lines")
         wanted = F.broadcast(held) if held.count() <= SENT_LINES else held
-        return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("line").alias("body"))
+        return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("body"))
 
     return linking.classes(lines.mapInArrow(file, "key bigint, node bigint"), bodies, EditDistance(distance))
 
@@ -187,10 +221,11 @@ def line_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE)
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, body, drop, n_near): the places of the lines to drop in each document that has any."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    seen = stage(_lines(docs, "text").drop("line"), "lines")
+    lines = stage(_lines(docs, "text"), "lines")
+    seen = lines.drop("line")
     at: Column = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "place")
     per_line = seen.groupBy("node").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    roots = line_classes(docs, "text", distance)
+    roots = _classes(lines, distance)
     classed = stage(per_line.join(roots, "node", "left").select(
         "node", "first", "n", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("near")), "line-classes")
     firsts = classed.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
