@@ -1,16 +1,32 @@
-"""Near-duplicate lines by a segment-partition edit join (operator 3).
-
-Two lines are near-duplicates within ``DISTANCE`` edits (code points inserted, deleted or
-replaced). Of two such lines one has ``DISTANCE + 1`` segments of which at least one appears in
-the other unchanged, at a place that the lengths allow. Every line is so put under the hash of
-(its length, segment number, segment), and looks itself up under the substrings that lines of
-its own length and up to ``DISTANCE`` shorter could have there (the multi-match-aware windows:
-12 keys a line at 2 edits). Lines that meet are verified by a banded bit-parallel edit distance
-and joined into classes (``linking``); lines equal to each other are one item from the start.
+"""Near-duplicate lines by a segment-partition edit join and a join on rare word groups (operator 3).
+
+Equal lines of any length are one item from the start. Two unequal lines of ``MIN_CHARS`` code
+points or more are near-duplicates within ``DISTANCE`` edits of code points, or within one edit of
+words per ``WORDS_PER_EDIT`` words of the shorter line, so that the edits grow with the length
+(edit: one inserted, deleted or replaced).
+
+* Code points: of two such lines one has ``DISTANCE + 1`` segments of which at least one appears
+  in the other unchanged, at a place that the lengths allow. A line is put under the hash of
+  (length, segment number, segment), and looks itself up under the substrings that lines of its
+  own length and up to ``DISTANCE`` shorter could have there (the multi-match-aware windows: 12
+  keys a line at 2 edits).
+* Words: an edit changes at most ``GRAM`` of a line's groups of that many consecutive words, so
+  lines within k edits have all but ``k * GRAM`` groups in common, and the ``k * GRAM + 1``
+  smallest by hash (then place) of each share one (prefix filter). A line is put under the hashes of
+  (class of its number of words, group) of these - about one key for five words, at every length -
+  and under the next class too if a line within its edits could be in that one. An edit of a code
+  point is at most three of words, so lines in which that many are allowed need no segments.
+
+A word is a run of letters and digits; other visible characters, and each character of a script
+that writes without spaces, are words of their own.
+
+Lines that meet are verified (banded bit-parallel edit distance of code points; of words, the
+number of words in common and then a bit-parallel edit distance) and joined into classes
+(``linking``).
 
 Of each class the first line of the corpus stays - smallest document id (null last), smallest
 text hash, first in its text - and the other occurrences are dropped from their documents.
-Lines of under ``MIN_CHARS`` code points are no passages: they are always kept.
+Blank lines of under ``MIN_CHARS`` code points are always kept.
 
 Items are named by 64-bit hashes (two different lines of 2 million share one with probability
 1e-7).
@@ -35,7 +51,13 @@ from . import textbytes as tb
 from .scratch import stage
 
 DISTANCE = 2
+#: Shorter lines are only compared for equality.
 MIN_CHARS = 24
+WORDS_PER_EDIT = 25
+#: Consecutive words under which lines meet.
+GRAM = 4
+#: Edits of words that one edit of a code point makes at most, and words by which it changes their number.
+_WORD_EDITS, _WORD_SHIFT = 3, 2
 #: Pairs verified in one pass.
 GROUP = 4096
 #: Line hashes that a task remembers before it starts anew (8 bytes each).
@@ -54,7 +76,7 @@ def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), starts[off]
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=2)
 def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     power, back = np.full(size, tb.BASE), np.full(size, _INVERSE)
     power[0] = back[0] = 1
@@ -115,6 +137,92 @@ def segment_keys(column: pa.Array, distance: int = DISTANCE, least: int = MIN_CH
     return np.concatenate(rows), np.concatenate(keys)
 
 
+#: Code points that are words of their own: signs, and scripts that write without spaces (Thai to Lao, Burmese, Khmer, CJK).
+_SINGLE = ((0xA1, 0xC0), (0x2000, 0x2C00), (0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xAC00), (0xF900, 0xFB00), (0x20000, 0x40000))
+_ALNUM = np.zeros(128, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _words(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word in text order."""
+    if not len(points):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    single = np.zeros(len(points), bool)
+    for low, high in _SINGLE:
+        single |= (points >= low) & (points < high)
+    ascii_ = points < 128
+    run = np.where(ascii_, _ALNUM[np.minimum(points, 127)], ~single & (points != 0xA0) & (points != 0x3000))
+    single = (single | ascii_ & ~run & (points > 0x20)) & (points != 0x3000)
+    edge = np.zeros(len(points) + 1, bool)
+    edge[off] = True
+    before, after = np.zeros(len(points), bool), np.zeros(len(points), bool)
+    before[1:], after[:-1] = run[:-1], run[1:]
+    start = np.flatnonzero(single | run & (~before | edge[:-1]))
+    end = np.flatnonzero(single | run & (~after | edge[1:])) + 1
+    power, back = _powers(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + _U(1)) * power[:-1], out=total[1:])
+    return tb.mix((total[end] - total[start]) * back[start]), np.searchsorted(off, start, "right") - 1
+
+
+#: Numbers of words at which the next class of line lengths begins.
+_SIZES = np.unique((WORDS_PER_EDIT * 1.15 ** np.arange(140)).astype(np.int64))
+
+
+def allowed(n_words):
+    """Edits of words within which two lines are alike, the shorter of which has so many words."""
+    return n_words // WORDS_PER_EDIT
+
+
+def word_keys(column: pa.Array, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) under which lines meet by their words, and the number of words of each row."""
+    points, off = _points(column)
+    words, row = _words(points, off)
+    n = np.bincount(row, minlength=len(column))
+    wanted = np.where(np.diff(off) >= least, allowed(n), 0)
+    some = wanted[row] > 0
+    grams, first = tb.windows(words[some], row[some], GRAM)
+    at = row[some][first]
+    order = np.lexsort((grams, at))
+    grams, at = grams[order], at[order]
+    few = np.arange(len(at)) - np.searchsorted(at, at) <= wanted[at] * GRAM
+    few[1:] &= (grams[1:] != grams[:-1]) | (at[1:] != at[:-1])
+    grams, at = grams[few], at[few]
+    size = np.searchsorted(_SIZES, n, "right")
+    above = np.flatnonzero((np.searchsorted(_SIZES, n + wanted, "right") > size)[at])
+    at, grams = np.concatenate([at, at[above]]), np.concatenate([grams, grams[above]])
+    size = size[at]
+    size[len(size) - len(above):] += 1
+    return at, tb.mix(grams ^ tb.mix(size.astype(np.uint64) * tb.BASE)), n
+
+
+def word_edits(a: list[int], b: list[int]) -> int:
+    """The edit distance of two lists (Myers' bit vectors, as whole numbers of any length)."""
+    at = 0
+    while at < min(len(a), len(b)) and a[at] == b[at]:
+        at += 1
+    end = 0
+    while end < min(len(a), len(b)) - at and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[at:len(a) - end], b[at:len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    mask, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = mask, 0
+    for y in b:
+        same = where.get(y, 0)
+        low = same | down
+        level = (((same & up) + up) ^ up) | same
+        more, less = down | (~(level | up) & mask), up & level
+        score += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & mask, less << 1 & mask
+        up, down = less | (~(low | more) & mask), more & low
+    return score
+
+
 class EditDistance:
     """Lines are alike within a number of edits."""
 
@@ -181,6 +289,44 @@ class EditDistance:
         return good
 
 
+class NearLines:
+    """Lines are alike within a number of edits of code points, or of words by their length."""
+
+    def __init__(self, distance: int = DISTANCE):
+        self.points = EditDistance(distance)
+
+    def pairs(self, left: pa.Array, right: pa.Array) -> np.ndarray:
+        good = self.points.pairs(left, right)
+        rest = np.flatnonzero(~good)
+        if len(rest):
+            (lt, li), (rt, ri) = (_words(*_points(side.take(pa.array(rest)))) for side in (left, right))
+            n, m = np.bincount(li, minlength=len(rest)), np.bincount(ri, minlength=len(rest))
+            edits = allowed(np.minimum(n, m))
+            both = linking.common(*linking.tokens(None, lambda _: (lt, li)), *linking.tokens(None, lambda _: (rt, ri)), len(rest))
+            some = np.flatnonzero((edits > 0) & (both >= np.maximum(n, m) - edits))
+            good[rest[some]] = self._within(lt, li, rt, ri, some, some, edits[some])
+        return good
+
+    def blocks(self, left: pa.Array, right: pa.Array, roots: np.ndarray, others: np.ndarray):
+        x, y = self.points.blocks(left, right, roots, others)
+        (lt, li), (rt, ri) = _words(*_points(left)), _words(*_points(right))
+        n, m = np.bincount(li, minlength=len(left)), np.bincount(ri, minlength=len(right))
+        edits = allowed(np.minimum(n[:, None], m[None, :]))
+        near = (edits > 0) & (np.abs(n[:, None] - m[None, :]) <= edits) & (roots[:, None] != others[None, :])
+        near[x, y] = False
+        if near.any():
+            both = linking.common_all(*linking.tokens(None, lambda _: (lt, li)), *linking.tokens(None, lambda _: (rt, ri)), len(n), len(m))
+            near &= both >= np.maximum(n[:, None], m[None, :]) - edits
+        u, v = np.nonzero(near)
+        good = self._within(lt, li, rt, ri, u, v, edits[u, v])
+        return np.concatenate([x, u[good]]), np.concatenate([y, v[good]])
+
+    def _within(self, lt, li, rt, ri, x, y, edits) -> np.ndarray:
+        a, b = (np.searchsorted(row, [i, i + 1]) for row, i in ((li, x), (ri, y)))
+        return np.array([word_edits(lt[s:e].tolist(), rt[t:f].tolist()) <= k
+                         for s, e, t, f, k in zip(*a, *b, edits, strict=True)], bool)
+
+
 def _letters(points: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(off) - 1
     row = np.repeat(np.arange(n), np.diff(off))
@@ -188,9 +334,9 @@ def _letters(points: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, body hash, place, node, line) of every line that is long enough."""
+    """(doc_id, body hash, place, node, line) of every line but short blank ones."""
     return docs.select("doc_id", F.xxhash64(text).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line")) \
-        .filter(F.length("line") >= MIN_CHARS).select("doc_id", "body", "place", F.xxhash64("line").alias("node"), "line")
+        .filter((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"\S")).select("doc_id", "body", "place", F.xxhash64("line").alias("node"), "line")
 
 
 def line_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -206,7 +352,11 @@ def _classes(lines: DataFrame, distance: int) -> DataFrame:
         for batch in batches:
             batch = batch.take(pa.array(seen.new(batch.column("node").to_numpy())))
             for piece in tb.slices(batch, "line"):
-                row, key = segment_keys(piece.column("line"), distance)
+                line = piece.column("line")
+                by_word, word_key, n_words = word_keys(line)
+                few = np.flatnonzero(allowed(n_words - _WORD_SHIFT * distance) < _WORD_EDITS * distance)
+                row, key = segment_keys(line.take(pa.array(few)), distance)
+                row, key = np.concatenate([few[row], by_word]), np.concatenate([key, word_key])
                 node = piece.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row])], names=["key", "node"])
 
@@ -215,7 +365,7 @@ def _classes(lines: DataFrame, distance: int) -> DataFrame:
         wanted = F.broadcast(held) if held.count() <= SENT_LINES else held
         return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("body"))
 
-    return linking.classes(lines.mapInArrow(file, "key bigint, node bigint"), bodies, EditDistance(distance))
+    return linking.classes(lines.mapInArrow(file, "key bigint, node bigint"), bodies, NearLines(distance))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:

@@ -159,6 +159,22 @@ def common(lt: np.ndarray, li: np.ndarray, rt: np.ndarray, ri: np.ndarray, n: in
     return np.bincount(np.concatenate([li, ri])[order[1:][same]], minlength=n)
 
 
+def common_all(lt: np.ndarray, li: np.ndarray, rt: np.ndarray, ri: np.ndarray, n: int, m: int) -> np.ndarray:
+    """How many tokens each of n left items shares with each of m right items."""
+    shared = np.intersect1d(lt, rt)
+    lk, rk = np.searchsorted(shared, lt), np.searchsorted(shared, rt)
+    lin = (lk < len(shared)) & (shared[np.minimum(lk, len(shared) - 1)] == lt) if len(shared) else np.zeros(len(lt), bool)
+    rin = (rk < len(shared)) & (shared[np.minimum(rk, len(shared) - 1)] == rt) if len(shared) else np.zeros(len(rt), bool)
+    both = np.zeros((n, m), np.float32)
+    for at in range(0, len(shared), PRODUCT_COLUMNS):
+        x, y = np.zeros((n, PRODUCT_COLUMNS), np.float32), np.zeros((m, PRODUCT_COLUMNS), np.float32)
+        u, v = lin & (lk >= at) & (lk < at + PRODUCT_COLUMNS), rin & (rk >= at) & (rk < at + PRODUCT_COLUMNS)
+        x[li[u], lk[u] - at] = 1
+        y[ri[v], rk[v] - at] = 1
+        both += x @ y.T
+    return both
+
+
 class Overlap:
     """Items are alike when the weighted Jaccard similarity of their bags reaches a threshold."""
 
@@ -179,16 +195,6 @@ class Overlap:
         (lt, li), (rt, ri) = tokens(left, self.bag), tokens(right, self.bag)
         n, m = len(left), len(right)
         ln, rn = np.bincount(li, minlength=n), np.bincount(ri, minlength=m)
-        shared = np.intersect1d(lt, rt)
-        lk, rk = np.searchsorted(shared, lt), np.searchsorted(shared, rt)
-        lin = (lk < len(shared)) & (shared[np.minimum(lk, len(shared) - 1)] == lt) if len(shared) else np.zeros(len(lt), bool)
-        rin = (rk < len(shared)) & (shared[np.minimum(rk, len(shared) - 1)] == rt) if len(shared) else np.zeros(len(rt), bool)
-        both = np.zeros((n, m), np.float32)
-        for at in range(0, len(shared), PRODUCT_COLUMNS):
-            x, y = np.zeros((n, PRODUCT_COLUMNS), np.float32), np.zeros((m, PRODUCT_COLUMNS), np.float32)
-            u, v = lin & (lk >= at) & (lk < at + PRODUCT_COLUMNS), rin & (rk >= at) & (rk < at + PRODUCT_COLUMNS)
-            x[li[u], lk[u] - at] = 1
-            y[ri[v], rk[v] - at] = 1
-            both += x @ y.T
+        both = common_all(lt, li, rt, ri, n, m)
         good = self._enough(both, ln[:, None], rn[None, :]) & (roots[:, None] != others[None, :])
         return np.nonzero(good)

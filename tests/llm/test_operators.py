@@ -136,6 +136,44 @@ def test_edit_join_finds_and_verifies_every_pair():
     assert all(keys[0][i] & keys[1][i] for i in np.flatnonzero(near) if min(len(a[i]), len(b[i])) >= linededup.MIN_CHARS)
 
 
+def test_word_join_finds_and_verifies_every_pair():
+    rnd = random.Random(7)
+
+    def change(words):
+        words = list(words)
+        for _ in range(rnd.randint(1, 12)):
+            i = rnd.randrange(len(words))
+            words[i:i + 1] = rnd.choice([[], [f"new{rnd.randrange(99)}"], [words[i], "more"]])
+        return words
+
+    a = [[f"w{rnd.randrange(60)}" for _ in range(rnd.randint(15, 160))] for _ in range(500)]
+    b = [change(x) for x in a]
+    assert [linededup.word_edits(x, y) for x, y in zip(a, b)] == [edits(x, y) for x, y in zip(a, b)]
+    near = np.array([edits(x, y) <= min(len(x), len(y)) // linededup.WORDS_PER_EDIT for x, y in zip(a, b)])
+    left, right = (pa.array([" ".join(x) for x in side]) for side in (a, b))
+    close = linededup.EditDistance().pairs(left, right)
+    assert 100 < near.sum() < 450 and (linededup.NearLines().pairs(left, right) == near | close).all()
+    n = np.arange(len(a))
+    x, y = linededup.NearLines().blocks(left, right, n, n + len(a))
+    assert set(np.flatnonzero(near)) <= {i for i, j in zip(x, y) if i == j}
+    keys = [collections.defaultdict(set), collections.defaultdict(set)]
+    for side, column in zip(keys, (left, right)):
+        for row, key in zip(*linededup.word_keys(column)[:2]):
+            side[row].add(key)
+    assert all(keys[0][i] & keys[1][i] for i in np.flatnonzero(near))
+
+
+def test_long_lines_within_words_and_short_equal_lines_go(spark):
+    rnd = random.Random(9)
+    line = [f"word{rnd.randrange(10 ** 4)}" for _ in range(70)]
+    other = " ".join(line[:30] + ["something"] + line[31:])
+    signs = "".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(80))
+    rows = [(1, " ".join(line) + "\nAll rights reserved.\n\n" + signs), (2, "kept\n\nAll rights reserved.\n" + other),
+            (3, "All rights\n" + signs[:30] + "x" + signs[31:33] + "y" + signs[34:57] + "z" + signs[58:])]
+    out = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), dropped="gone").collect()
+    assert {r.doc_id: (r.text, r.gone) for r in out} == {1: (rows[0][1], 0), 2: ("kept\n", 2), 3: ("All rights", 1)}
+
+
 def test_near_copies_join_one_class(spark):
     rnd = random.Random(5)
     base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(200)]
