@@ -3,7 +3,11 @@
 Payment cards (Luhn), bank accounts (mod 97), social-security numbers, telephone numbers, IPv4
 addresses, e-mail addresses and calendar dates are found and validated; each valid one is mapped
 by a keyed permutation of all values of its own format, so the result is valid again, and equal
-values become equal pseudonyms in every document. A number that fails validation stays as it is.
+values become equal pseudonyms in every document. A match that fails validation may hold a value
+and something beside it (a card and its expiry date): its groups are tried, then what follows the
+first of them. A number that fails all that stays as it is. Where a pseudonym would make a match
+valid that was tried in vain before, the next pseudonym in the permutation is taken, so that it can
+be undone; there, and for dates as month/day, equal values may have different pseudonyms.
 
 The permutation is a Feistel network on the value's bits with keyed BLAKE2 rounds; results
 outside the format are walked through the permutation again until one is inside. Only whoever
@@ -35,7 +39,8 @@ _DAYS = (_LAST - _FIRST).days + 1
 _FIND = re.compile(r"""
    (?P<email>(?<![\w.+%-])[^\W_][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-]))
  | (?P<iban>(?<!\w)[A-Z]{2}[0-9][0-9](?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
- | (?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\w))
+ | (?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\w)
+     |(?<![\w(+.-])(?<![0-9]\ )(?:1[ .-])?(?:\([2-9][0-8][0-9]\)[ .-]?|[2-9][0-8][0-9][ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]|[ .][0-9]))
  | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9][0-9]-[0-9]{4}(?![\w-]))
  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9][0-9]-[0-9][0-9]|[0-9][0-9][/.][0-9][0-9][/.][0-9]{4})(?![\w/-]|\.[0-9]))
  | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
@@ -127,12 +132,22 @@ def _ssn(raw: str, key: bytes, inverse: bool) -> str | None:
     return _refill(raw, _walk(digits, key, b"ssn", inverse, _ssn_valid)) if _ssn_valid(digits) else None
 
 
+def _american(digits: str, key: bytes, inverse: bool) -> str:
+    """Ten digits; whether they can stand without +1 is kept, so that both spellings have one pseudonym."""
+    national = lambda d: d[0] in "23456789" and d[1] != "9"
+    return _walk(digits, key, b"phone+1", inverse, lambda d: national(d) == national(digits))
+
+
 def _phone(raw: str, key: bytes, inverse: bool) -> str | None:
+    if raw[0] != "+":
+        at = 1 if raw[0] == "1" else 0
+        return raw[:at] + _refill(raw[at:], _american(re.sub(r"\D", "", raw[at:]), key, inverse))
     country = re.match(r"\+[0-9]{1,3}", raw)[0] if not raw.startswith("+1") else "+1"
     rest = re.sub(r"\D", "", raw[len(country):])
     if not 8 <= len(rest) + len(country) - 1 <= 15 or len(rest) < 4 or (country == "+1" and len(rest) != 10):
         return None
-    moved = _walk(rest, key, b"phone" + country.encode(), inverse, lambda d: True)
+    moved = _american(rest, key, inverse) if country == "+1" else \
+        _walk(rest, key, b"phone" + country.encode(), inverse, lambda d: True)
     return country + _refill(raw[len(country):], moved)
 
 
@@ -175,14 +190,23 @@ def _email(raw: str, key: bytes, inverse: bool) -> str | None:
 
 def _date(raw: str, key: bytes, inverse: bool) -> str | None:
     iso, mark = raw[4] == "-", raw[2]
+    parts = list(map(int, raw.split("-"))) if iso else list(map(int, reversed(raw.split(mark))))
+    # month/day where day/month is no date: the day is over 12 and stays so
+    american = not iso and mark == "/" and parts[1] > 12
+    if american:
+        parts[1:] = parts[:0:-1]
     try:
-        day = date(*map(int, raw.split("-"))) if iso else date(*map(int, reversed(raw.split(mark))))
+        day = date(*parts)
     except ValueError:
         return None
     if not _FIRST <= day <= _LAST:
         return None
-    day = _FIRST + timedelta(permute((day - _FIRST).days, _DAYS, key, b"date", inverse))
-    return day.isoformat() if iso else mark.join(reversed(day.isoformat().split("-")))
+    while True:
+        day = _FIRST + timedelta(permute((day - _FIRST).days, _DAYS, key, b"date", inverse))
+        if not american or day.day > 12:
+            break
+    year, month, n = day.isoformat().split("-")
+    return day.isoformat() if iso else mark.join((month, n, year) if american else (n, month, year))
 
 
 _MAPS = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "email": _email, "date": _date}
@@ -194,19 +218,68 @@ def pseudonym(kind: str, raw: str, key: bytes, inverse: bool = False) -> str | N
     return _MAPS[kind](raw, key, inverse)
 
 
+_GROUP = re.compile(r"[^\W_]+")
+#: Characters that a match of figures can reach beyond a value in it.
+REACH = 128
+#: Lengths of the groups in which cards are printed.
+_PRINTED = ((4, 4, 4, 4), (4, 6, 5))
+
+
+def _spans(kind: str, raw: str) -> list[tuple[int, int]]:
+    """Where the value may be in a match: cards as printed, all of it, then fewer groups of it, longest first."""
+    if kind not in ("card", "iban", "phone"):
+        return [(0, len(raw))]
+    groups = [g.span() for g in _GROUP.finditer(raw)]
+    sizes = [e - s for s, e in groups]
+    printed, parts = [], []
+    for i in range(len(groups)) if kind == "card" else range(1):
+        for j in range(i + 1, len(groups) + 1):
+            span = groups[i][0] if i else 0, groups[j - 1][1]
+            if kind == "card" and tuple(sizes[i:j]) in _PRINTED:
+                printed.append(span)
+            elif j - i < len(groups) and (kind != "card" or 13 <= sum(sizes[i:j]) <= 19):
+                parts.append(span)
+    return [*printed, (0, len(raw)), *sorted(parts, key=lambda x: x[0] - x[1])]
+
+
+def _next(line: str, at: int, key: bytes, inverse: bool) -> tuple[str, int, int, str, int | None] | None:
+    """(kind, start, end, pseudonym, first match over it that was tried in vain) of the first valid value from ``at`` on."""
+    vain: list[tuple[int, int]] = []
+    while m := _FIND.search(line, at):
+        for s, e in _spans(m.lastgroup, m[0]):
+            out = pseudonym(m.lastgroup, m[0][s:e], key, inverse)
+            start = m.start() + s
+            if out is not None:
+                return m.lastgroup, start, m.start() + e, out, next((f for f, t in vain if t > start), None)
+            vain.append((m.start(), m.end()))
+        vain = [x for x in vain if x[1] > m.start()]
+        # the rest of the match may begin a value of another kind
+        at = min(_GROUP.search(line, m.start()).end(), m.end())
+    return None
+
+
+def _replace_line(line: str, key: bytes, inverse: bool, found: list[tuple[str, str, str]]) -> str:
+    done, at = [], 0
+    while hit := _next(line, at, key, inverse):
+        kind, start, end, out, vain = hit
+        found.append((kind, line[start:end], out))
+        if vain is not None:
+            # what was tried in vain must not become valid by the change, or the value couldn't be found again
+            low, rest = max(0, vain - 2), line[end:end + REACH]
+            while (again := _next(line[low:start] + out + rest, vain - low, key, inverse)) is None or \
+                    again[:3] != (kind, start - low, start - low + len(out)):
+                out = pseudonym(kind, out, key, inverse)
+            found[-1] = found[-1][:2] + (out,)
+        done += [line[at:start], out]
+        at = end
+    return "".join(done) + line[at:]
+
+
 def replace_all(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with every valid value replaced, and (kind, value, pseudonym) in text order."""
     found: list[tuple[str, str, str]] = []
-
-    def swap(m: re.Match) -> str:
-        out = pseudonym(m.lastgroup, m[0], key, inverse)
-        if out is None:
-            return m[0]
-        found.append((m.lastgroup, m[0], out))
-        return out
-
     # no format spans lines, and every value holds a digit or an at sign
-    return "\n".join(_FIND.sub(swap, x) if _HAS_MARK(x) else x for x in text.split("\n")), found
+    return "\n".join(_replace_line(x, key, inverse, found) if _HAS_MARK(x) else x for x in text.split("\n")), found
 
 
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", into: str = "private",

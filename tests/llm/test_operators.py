@@ -213,6 +213,19 @@ def test_pseudonyms_keep_format_and_links():
     assert sorted(feistel.permute(i, 1000, b"k", b"t") for i in range(1000)) == list(range(1000))
 
 
+@pytest.mark.parametrize("text, kind, value", [
+    ("4111 1111 1111 1111 12/26", "card", "4111 1111 1111 1111"), ("x 4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"),
+    ("7 4111-1111-1111-1111", "card", "4111-1111-1111-1111"), ("GB82 WEST 1234 5698 7654 32 2024", "iban", "GB82 WEST 1234 5698 7654 32"),
+    ("DE89 3704 0044 0532 0130 00 BANK", "iban", "DE89 3704 0044 0532 0130 00"), ("AB12 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ("call (555) 123-4567 now", "phone", "(555) 123-4567"), ("1-415-555-2671", "phone", "1-415-555-2671"),
+    ("on 12/31/2020.", "date", "12/31/2020"), ("on 31/12/2020.", "date", "31/12/2020")])
+def test_pseudonyms_beside_other_groups_and_national_forms(text, kind, value):
+    for key in (b"%d" % i for i in range(60)):
+        out, found = feistel.replace_all(text, key)
+        assert (kind, value) in [f[:2] for f in found] and value not in out and len(out) == len(text)
+        assert feistel.replace_all(out, key, inverse=True)[0] == text
+
+
 def test_licences_are_named_and_inherited(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/x", "code"), ("a/b/y", "z\nLicensed under CC BY-NC 4.0.\n" + "w " * 50),
              ("c/x", "nothing"), (None, None)]
