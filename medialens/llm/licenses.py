@@ -1,7 +1,8 @@
 """Licence scans by sparse TF-IDF cosine and directory inheritance (operator 10, native).
 
-DataFrame functions only. The licence lines of every file (its header), and the whole text of
-licence files, become sparse TF-IDF vectors; equal segments are collapsed before anything is
+DataFrame functions only. The licence lines of every file, the lines around each as far as its
+paragraph goes (a wrapped header: ``BACK`` lines before and runs of up to the longest of ``RUNS``),
+its SPDX identifiers, and the whole text of licence files become sparse TF-IDF vectors; equal segments are collapsed before anything is
 shuffled by token, so a header that a third of all files share is one vector. The cosine to a
 fixed set of templates names the licence. A directory takes the licence of its licence file; a
 file without a licence of its own inherits from its nearest ancestor directory that has one,
@@ -52,9 +53,18 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Identifiers by which SPDX lines name the licences; GNU licences also say whether later versions count.
+TEMPLATES += tuple((a, f"SPDX-License-Identifier: {a}{end}") for a in dict.fromkeys(a for a, _ in TEMPLATES)
+                   for end in (("", "-only", "-or-later") if "GPL" in a else ("",)))
 MARKER = (r"[LlSsCcPpGgRr](?i:icen[cs]e|pdx-|opyright|reative commons|c0 |c by|ublic domain|ermission is hereby|"
           r"nu (?:lesser |affero )?general|edistribution and use)")
 FILE_NAME = r"(?i)^(?:un)?(?:licen[cs]e|copying|notice)(?:[.-][a-z0-9.-]*)?$"
+#: A line without words (blank, or only the signs of a comment) ends a paragraph.
+PARAGRAPH = r"\n[^\p{L}\p{N}\n]*(?=\n)"
+SPDX = r"(?i)SPDX-License-Identifier\s*:\s*\(?[a-z0-9][a-z0-9.-]*"
+#: Lines before a marked line, and numbers of lines from there, that are compared as one header.
+BACK = (0, 1, 2)
+RUNS = (2, 3, 4, 5, 6, 8, 10, 12)
 THRESHOLD = 0.6
 FILE_SHARE = 0.5
 
@@ -75,36 +85,53 @@ def segments(files: DataFrame, text: str) -> tuple[DataFrame, Column, Column]:
     return files.filter(F.col(text).rlike(MARKER)), lines, _words(F.array_join(lines, "\n"))
 
 
+def headers(text: Column) -> Column:
+    """Runs of lines around each marked line, inside its paragraph, and the SPDX identifiers of a text."""
+    def around(paragraph: Column) -> Column:
+        lines = F.split(paragraph, "\n")
+        marked = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(MARKER))
+        shapes = F.array(*(F.struct(F.lit(b).alias("back"), F.lit(n).alias("n")) for b in BACK for n in RUNS if n > b))
+        return F.flatten(F.transform(marked, lambda i: F.transform(
+            F.filter(shapes, lambda x: x["back"] < i),
+            lambda x: F.array_join(F.slice(lines, i - x["back"], x["n"]), "\n"))))
+
+    paragraphs = F.filter(F.split(text, PARAGRAPH), lambda x: x.rlike(MARKER))
+    return F.concat(F.flatten(F.transform(paragraphs, around)), F.regexp_extract_all(text, F.lit(SPDX), F.lit(0)))
+
+
 def name_segments(parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(segment, licence, score) of each distinct segment of ``parts`` that a template matches.
+    """(name, licence, score) of each distinct segment of ``parts`` (name, segment, counted) that a template matches.
 
-    Inverse document frequencies count every occurrence of a segment and each template once.
+    Inverse document frequencies count every occurrence of a segment and each template once;
+    segments that are not ``counted`` overlap others.
     """
     spark = parts.sparkSession
     kinds = spark.range(1).select(F.inline(F.array(*(F.struct(
-        F.lit(i).alias("template"), F.lit(a).alias("licence"), F.lit(b).alias("segment"))
+        F.lit(i).alias("template"), F.lit(a).alias("licence"), F.lit(b).alias("segment"), F.unhex(F.md5(F.lit(b))).alias("name"))
         for i, (a, b) in enumerate(TEMPLATES)))))
-    distinct = parts.filter("segment is not null").groupBy("segment").agg(F.count("*").alias("n"))
-    both = distinct.select("segment", "n", F.lit(None).cast("int").alias("template")) \
-        .unionByName(kinds.select("segment", F.lit(1).cast("bigint").alias("n"), "template"))
-    term = both.withColumn("token", F.explode(_tokens(F.col("segment")))) \
-        .groupBy("segment", "template", "n", "token").agg(F.count("*").alias("tf"))
+    # texts travel once; the rows of their tokens carry 16-byte names
+    distinct = parts.filter("segment is not null").groupBy("name").agg(
+        F.any_value("segment").alias("segment"), F.count_if("counted").alias("n"))
+    both = distinct.select("name", "segment", "n", F.lit(None).cast("int").alias("template")) \
+        .unionByName(kinds.select("name", "segment", F.lit(1).cast("bigint").alias("n"), "template"))
+    term = both.select("name", "template", "n", F.explode(_tokens(F.col("segment"))).alias("token")) \
+        .groupBy("name", "template", "n", "token").agg(F.count("*").alias("tf"))
     total = both.agg(F.sum("n").alias("total"))
     idf = term.groupBy("token").agg(F.sum("n").alias("df")) \
         .select("token", (F.log((1.0 + total.scalar()) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weight = term.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     templates = weight.filter("template is not null").select("template", "token", F.col("w").alias("v"))
-    texts = weight.filter("template is null").select("segment", "token", "w")
+    texts = weight.filter("template is null").select("name", "token", "w")
     norm_t = templates.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nv"))
-    norm_s = texts.groupBy("segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nw"))
-    dot = texts.join(F.broadcast(templates), "token").groupBy("segment", "template") \
+    norm_s = texts.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nw"))
+    dot = texts.join(F.broadcast(templates), "token").groupBy("name", "template") \
         .agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    score = dot.join(F.broadcast(norm_t), "template").join(norm_s, "segment") \
-        .select("segment", "template", F.round(F.col("dot") / (F.col("nv") * F.col("nw")), 6).alias("score")) \
+    score = dot.join(F.broadcast(norm_t), "template").join(norm_s, "name") \
+        .select("name", "template", F.round(F.col("dot") / (F.col("nv") * F.col("nw")), 6).alias("score")) \
         .join(F.broadcast(kinds.select("template", "licence")), "template") \
         .filter(F.col("score") >= threshold)
     best = F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), F.col("licence")))
-    return score.groupBy("segment").agg(best.alias("best")).select("segment", "best.*")
+    return score.groupBy("name").agg(best.alias("best")).select("name", "best.*")
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", into: str = "licence",
@@ -119,11 +146,16 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", into: str = "
     marked = marked.select(F.col(at).alias("at"), F.col(body).alias("body"), F.coalesce(whole, F.lit(False)).alias("whole"),
                            lines.alias("lines"))
     # a file is known by its path and text: equal files have equal licences
-    parts = marked.select("at", F.col("body"), "whole", F.explode(F.array_distinct(F.concat(
-        "lines", F.when(F.col("whole"), F.array("body")).otherwise(F.array().cast("array<string>"))))).alias("segment"))
-    parts = stage(parts.select("at", F.sha2("body", 256).alias("key"), "whole", "segment"), "licence-lines")
+    counted = F.array_distinct(F.concat(
+        "lines", F.when(F.col("whole"), F.array("body")).otherwise(F.array().cast("array<string>"))))
+    also = F.array_except(headers(F.col("body")), counted)
+    parts = marked.select("at", F.col("body"), "whole", F.inline(F.concat(
+        F.transform(counted, lambda x: F.struct(x.alias("segment"), F.lit(True).alias("counted"))),
+        F.transform(also, lambda x: F.struct(x.alias("segment"), F.lit(False).alias("counted"))))))
+    parts = stage(parts.select("at", F.sha2("body", 256).alias("key"), "whole", "segment",
+                               F.unhex(F.md5("segment")).alias("name"), "counted"), "licence-lines")
     best = F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), F.col("licence")))
-    own = parts.join(name_segments(parts, threshold), "segment") \
+    own = parts.drop("segment").join(name_segments(parts, threshold), "name") \
         .groupBy("at", "key").agg(best.alias("best"), F.max("whole").alias("whole")) \
         .select("at", "key", "best.*", "whole")
     folder = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)

@@ -234,6 +234,17 @@ def test_licences_are_named_and_inherited(spark):
     assert (got["a/b/y"].own, got["c/x"].inherited, got[None].own) == ("CC-BY-NC-4.0", None, None)
 
 
+def test_wrapped_headers_and_identifiers_are_named(spark):
+    import textwrap
+    wrapped = {a: "\n".join(f"# {x}" for x in textwrap.wrap(t, 60)) for a, t in licenses.TEMPLATES if len(t) > 150}
+    files = [(f"w/{a}", "#!/bin/sh\n# Copyright 2020 A. Person\n" + t + "\n#\nimport os\nprint(os.name)\n") for a, t in wrapped.items()]
+    ids = sorted({a for a, _ in licenses.TEMPLATES})
+    files += [(f"s/{a}", f"/* Copyright (c) 2020 A. Person, SPDX-License-Identifier: {a} */\nint main() {{}}\n") for a in ids]
+    files += [("s/GPL-3.0/x", "// SPDX-License-Identifier: GPL-3.0-or-later\ncode\n"), ("n/None", "# Copyright 2020 A. Person\nx = 1\n" * 9)]
+    got = {r.path: r.licence.own for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert len(wrapped) > 3 and got == {p: None if p[0] == "n" else p.split("/")[1] for p, _ in files}
+
+
 def test_model_beats_the_unigram_on_held_out_text(spark):
     out = queries.op8_lm_score(spark, "/root/testdata/sf0.001").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
