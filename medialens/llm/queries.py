@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, feistel, fst_tokens, lbl, licenses, linededup, repetition, treescore, wordtable, wumanber
+from . import (bagminhash, feistel, fst_tokens, lbl, licenses, linededup, merge_sql, negatives, periodic, repetition, treescore,
+               wordtable, wumanber)
 
 #: Keys the pseudonyms of this corpus. A production key comes from a secret store.
 PSEUDONYM_KEY = b"medialens-pseudonyms"
@@ -84,9 +85,62 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).select("doc_id", "path", "licence.*")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = merge_sql.encode_decode(docs, tokenizer("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", "coded.n_tokens", F.sha2("coded.ids", 256).alias("ids_sha256"),
+                        F.sha2("coded.decoded", 256).alias("decoded_sha256"))
+
+
+def whole_vectors(rows: DataFrame) -> DataFrame:
+    """Rows with finite vectors; components as floor(256 * x), every seventh id under the next of ten labels."""
+    label = F.col("label").cast("bigint")
+    return rows.filter(negatives.finite("embedding")).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whole_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return negatives.mine(rows, 50, "vec_id")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Texts as the contract of operator 13 has them: those whose id's CRC-32 ends in 0 repeat a part of themselves."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    # (words before the part, its length) from the word count n: a = g % n, p = 1 + floor((n - a) / (3 + g % 8))
+    g, n = F.col("g"), F.size("words")
+    rest = n - F.col("a")
+    part = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.flatten(F.array_repeat(part, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    told = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    told = told.withColumn("words", F.when(n > 0, F.col("words")))
+    told = told.withColumn("a", (g % n).cast("int")).withColumn("p", (1 + F.floor(rest / (3 + g % 8))).cast("int"))
+    return told.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(
+        F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periods(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = periodic.periodic_runs(docs).select("doc_id", "periodic.*")
+    # the greatest length, then the smallest start, then the smallest period
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"),
+                                                             (-r["period"]).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[f].cast("string") for f in ("start", "length", "period"))))
+    found = found.withColumn("top", top)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("top.back")).alias("start"),
+        F.col("top.length").alias("length"), (-F.col("top.short")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.short")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_dedup, op2_quality_rules, op3_line_dedup, op4_decontamination, op5_token_counts, op6_html_text,
-    op7_bpe_round_trip, op8_lm_score, op9_pii, op10_license_scan)}
+    op7_bpe_round_trip, op8_lm_score, op9_pii, op10_license_scan, op11_byte_bpe, op12_hard_negatives,
+    op13_periodic_runs)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -171,4 +225,24 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
 
-ORACLE_SQL = {"op1_minhash_dedup": _SHINGLES_SQL, "op2_quality_rules": _QUALITY_SQL, "op4_decontamination": _PASSAGES_SQL}
+_NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.ar, p.r ORDER BY n.score DESC, n.vec_id, n.r) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.ar = p.ar AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3"""
+
+ORACLE_SQL = {"op1_minhash_dedup": _SHINGLES_SQL, "op2_quality_rules": _QUALITY_SQL, "op4_decontamination": _PASSAGES_SQL,
+              "op12_hard_negatives": _NEGATIVES_SQL}
