@@ -25,7 +25,7 @@ HEADLINE = [
     "score_matrix", "monthly_proportions", "segment_trend", "month_spine_fill", "weekly_index_smoothed",
     "weekly_index_combined", "merged_label_qa", "dedup_first", "keyword_topics", "token_windows",
     "majority_vote", "clean_tokens", "ngram_top1", "ngram_top3", "parse_reply", "html_corpus_text",
-    "classify_windows_stub",
+    "classify_windows_bayes",
 ]
 
 

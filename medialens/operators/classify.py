@@ -1,6 +1,7 @@
 """Batch text classification as a Spark job.
 
-The model call is pluggable: a *scorer factory* is shipped to the executors and called
+The model is pluggable. A fitted model of :mod:`learned` scores natively, without a Python worker
+around its rows. Or a *scorer factory* is shipped to the executors and called
 once per partition; the scorer takes a pandas DataFrame batch (the key columns and the
 text) and returns one label per row. Batches come from Arrow (``mapInPandas``) and are
 re-sliced to ``batch_size`` rows, as the model's own batch size. The rows of a failing batch
@@ -16,16 +17,18 @@ import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens, ws_trim
 from ..session import scratch_dir
 from .clean import drop_blank
+from .learned import BayesModel, LogisticModel
 from .textops import majority_vote, token_windows
 
 Scorer = Callable[[pd.DataFrame], Sequence[str]]
 ScorerFactory = Callable[[], Scorer]
+Model = LogisticModel | BayesModel
 
 
 def with_retry(scorer: Scorer, tries: int = 3, backoff: Callable[[int], float] = lambda a: 2.0 * a,
@@ -64,11 +67,17 @@ def with_fallback(primary: Scorer, backup: Scorer, final: str = "Unknown") -> Sc
     return run
 
 
-def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: ScorerFactory,
+def model_tokens(text: str) -> Column:
+    """What the learned models read: lower-cased words and single punctuation marks."""
+    return word_tokens(F.lower(text))
+
+
+def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: ScorerFactory | Model,
              batch_size: int = 16, out: str = "label", error_label: str = "error",
              partitions: int | None = None, skip: str | None = None,
-             blank_as_error: bool = True) -> DataFrame:
-    """Label every row with the scorer, ``batch_size`` rows per call.
+             blank_as_error: bool = True, tokens: Callable[[str], Column] = model_tokens) -> DataFrame:
+    """Label every row with the scorer, ``batch_size`` rows per call, or with a learned model
+    over ``tokens(text)`` (rows that it abstains from get ``error_label``).
 
     ``partitions`` caps the number of concurrent scorer instances (external rate limits);
     by default the input's partitioning is kept (no shuffle). Rows whose boolean ``skip``
@@ -83,6 +92,11 @@ def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: Scor
     src = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text), *extra)
     if partitions:
         src = src.repartition(partitions)
+    if isinstance(scorer_factory, Model):
+        src = scorer_factory.prepare(src.withColumn("_tokens", tokens(text)), "_tokens")
+        told = scorer_factory.label_rows(src, "_tokens", "_told")
+        return told.select(*keys, F.when(F.col("_skip"), F.lit(error_label))
+                           .otherwise(F.coalesce("_told", F.lit(error_label))).alias(out))
     key_fields = [f for f in src.schema.fields if f.name in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields) + f", `{out}` string"
 
@@ -113,7 +127,7 @@ def classify(df: DataFrame, keys: Sequence[str], text: str, scorer_factory: Scor
     return src.mapInPandas(run, schema)
 
 
-def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFactory, size: int = 512,
+def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFactory | Model, size: int = 512,
                      stride: int = 256, batch_size: int = 16, error_scope: str = "window",
                      ignore: Sequence[str] = ("error",), stage_path: str | None = None) -> DataFrame:
     """T5: token windows -> classify each window -> majority vote per article.
@@ -125,14 +139,22 @@ def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFact
     the lineage is cut after the model calls, so a lost executor during the vote does not
     make the model score anything twice.
     """
-    w = (token_windows(df, key, tokens, size, stride, with_tokens=True, keep_empty=True)
-         .withColumn("window_text", F.array_join(F.coalesce("window", F.array()), " "))
-         .withColumn("_empty", F.col("pos") < 0).drop("window"))
-    # one long article yields many windows inside one task; rebalancing spreads the model
-    # calls over all tasks (AQE sizes the partitions) before scoring
-    w = w.hint("rebalance")
+    # whole articles are spread over the tasks (AQE sizes the partitions) and cut into windows there:
+    # windows overlap, so after cutting every token would travel size / stride times
     keys = [key] if isinstance(key, str) else list(key)
-    lab = classify(w, [*keys, "pos"], "window_text", scorer_factory, batch_size, skip="_empty")
+    rows = df.select(*keys, tokens.alias("_tokens")).hint("rebalance")
+    native = isinstance(scorer_factory, Model)
+    if native:
+        rows = scorer_factory.prepare(rows, "_tokens")
+    w = token_windows(rows, keys, F.col("_tokens"), size, stride, with_tokens=True, keep_empty=True)
+    if native:
+        told = scorer_factory.label_rows(w, "window", "_told")
+        lab = told.select(*keys, "pos", F.when(F.col("pos") < 0, F.lit("error"))
+                          .otherwise(F.coalesce("_told", F.lit("error"))).alias("label"))
+    else:
+        w = (w.withColumn("window_text", F.array_join(F.coalesce("window", F.array()), " "))
+              .withColumn("_empty", F.col("pos") < 0).drop("window"))
+        lab = classify(w, [*keys, "pos"], "window_text", scorer_factory, batch_size, skip="_empty")
     if stage_path:
         lab.write.mode("overwrite").parquet(stage_path)
         lab = lab.sparkSession.read.parquet(stage_path)
@@ -142,7 +164,7 @@ def classify_windows(df: DataFrame, key: str, tokens, scorer_factory: ScorerFact
                          fail_label="error" if error_scope == "article" else None)
 
 
-def classify_sources(spark, paths: dict[str, str], key: str, text: str, scorer_factory: ScorerFactory,
+def classify_sources(spark, paths: dict[str, str], key: str, text: str, scorer_factory: ScorerFactory | Model,
                      out_path: str | None = None, fmt: str = "parquet", **window_args) -> DataFrame:
     """One job over several labelled files: every file that exists is read (a missing
     one is reported and skipped), blank texts are dropped (P7), each article is classified
@@ -164,15 +186,16 @@ def classify_sources(spark, paths: dict[str, str], key: str, text: str, scorer_f
     if "stage_path" not in window_args:
         window_args["stage_path"] = scratch_dir(spark, f"scored-{uuid.uuid4().hex}")
     args = {"error_scope": "article", **window_args}
-    res = classify_windows(df, ["source", key], word_tokens(text), scorer_factory, **args)
+    tokens = model_tokens(text) if isinstance(scorer_factory, Model) else word_tokens(text)
+    res = classify_windows(df, ["source", key], tokens, scorer_factory, **args)
     if out_path:
         res.write.mode("overwrite").partitionBy("source").format(fmt).save(out_path)
     return res
 
 
-def label_with_replies(df: DataFrame, keys: Sequence[str], text: str, primary: ScorerFactory,
-                       backup: ScorerFactory, parse, stage_path: str, batch_size: int = 16,
-                       final: str = "Unknown") -> DataFrame:
+def label_with_replies(df: DataFrame, keys: Sequence[str], text: str, primary: ScorerFactory | Model,
+                       backup: ScorerFactory | Model, parse, stage_path: str, batch_size: int = 16,
+                       final: str = "Unknown", backup_tokens: Callable[[str], Column] = model_tokens) -> DataFrame:
     """E1 as Spark jobs: free-text model replies parsed natively (L5); rows whose primary
     reply fails or cannot be parsed get the backup prompt; what still fails is ``final``.
 
@@ -187,7 +210,7 @@ def label_with_replies(df: DataFrame, keys: Sequence[str], text: str, primary: S
     first = df.sparkSession.read.parquet(stage_path)
     ok = first.filter(F.col("label").isNotNull()).select(*keys, "label", F.lit(1).alias("attempts"))
     retry = first.filter(F.col("label").isNull()).select(*keys, F.col("_body").alias(text))
-    second = classify(retry, keys, text, backup, batch_size, out="reply", error_label="")
+    second = classify(retry, keys, text, backup, batch_size, out="reply", error_label="", tokens=backup_tokens)
     second = second.select(*keys, F.coalesce(parse(F.col("reply")), F.lit(final)).alias("label"),
                            F.lit(2).alias("attempts"))
     return ok.unionByName(second)

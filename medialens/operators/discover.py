@@ -58,18 +58,21 @@ def probe_date_column(df: DataFrame, formats: Sequence[str] = PROBE_FORMATS) ->
     raise ValueError("no valid date column")
 
 
+def is_label_column(name: str, also: Sequence[str] = ()) -> bool:
+    """A column of labels: its name says so, and it belongs to no url or title."""
+    low = name.lower()
+    return any(m in low for m in ("label", *also)) and not any(m in low for m in ("url", "title"))
+
+
 def detect_label_columns(columns: Sequence[str], model_keys: dict[str, Sequence[str]] = LABEL_MODEL_KEYS,
                          also: Sequence[str] = (), fallback_first: bool = False) -> dict[str, str]:
-    """D3: model -> column, from a table of (model, position): the latest label column that names
-    the model. ``also`` widens what counts as a label column."""
-    marks = {"label", *also}
-    named = [(at, c, c.lower()) for at, c in enumerate(columns)]
-    labels = [(at, c, low) for at, c, low in named
-              if any(m in low for m in marks) and not {"url", "title"} & {w for w in ("url", "title") if w in low}]
-    owner = {at: next((m for m, keys in model_keys.items() if any(k in low for k in keys)), None) for at, _, low in labels}
-    latest = {m: max((at for at in owner if owner[at] == m), default=None) for m in model_keys}
-    found = {m: columns[at] for m, at in sorted(latest.items(), key=lambda x: (x[1] is None, x[1])) if at is not None}
-    first = next((c for _, c, low in named if "predicted_label" in low), None)
-    if fallback_first and "BERT" not in found and first is not None:
-        found["BERT"] = first
-    return found
+    """D3: model -> its last label column, from the table of (model, position) of all label columns.
+    ``also`` widens what counts as one; with ``fallback_first`` the first predicted label is BERT's
+    if no column names BERT."""
+    model_of = lambda low: next((m for m, keys in model_keys.items() if any(k in low for k in keys)), None)
+    table = [(model_of(name.lower()), at) for at, name in enumerate(columns) if is_label_column(name, also)]
+    latest = {model: at for model, at in sorted(table, key=lambda x: x[1]) if model is not None}
+    predicted = [at for at, name in enumerate(columns) if "predicted_label" in name.lower()]
+    if fallback_first and predicted:
+        latest.setdefault("BERT", predicted[0])
+    return {model: columns[at] for model, at in latest.items()}

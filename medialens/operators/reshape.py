@@ -1,13 +1,15 @@
-"""Reshaping: unpivot/pivot of label tables, score matrices and fixed orders."""
+"""Reshaping: unpivot/pivot of label tables, score matrices and orders."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import title_score
+from ..session import scratch_dir
 
 
 def unpivot_labels(df: DataFrame, ids: Sequence[str], label_cols: dict[str, str],
@@ -72,13 +74,36 @@ def score_matrix(scored: DataFrame, columns: dict[str, tuple[str, str]],
     return scored.groupBy(*index).agg(*aggs)
 
 
-def order_by_values(df: DataFrame, orders: dict[str, list], *then: str) -> DataFrame:
-    """O3: sort a small final result by fixed category orders (values not listed last),
-    then by ``then`` columns. Use on final, already aggregated results only."""
+def order_by_values(df: DataFrame, orders: dict[str, list], *then: str, position: str | None = None) -> DataFrame:
+    """O1 + O3: sort a small final result by fixed category orders (values not listed last),
+    then by ``then`` columns; ``position`` also writes the 1-based place of every row. Use on
+    final, already aggregated results only (see :func:`restore_order` for tables of any size)."""
     keys = []
     for col, values in orders.items():
         e = F.when(F.lit(False), F.lit(0))
         for i, v in enumerate(values):
             e = e.when(F.col(col) == v, F.lit(i))
         keys.append(e.otherwise(F.lit(len(values))))
+    if position:
+        df = df.withColumn(position, F.row_number().over(Window.orderBy(*keys, *then)).cast("bigint"))
+        return df.orderBy(position)
     return df.orderBy(*keys, *then)
+
+
+def restore_order(df: DataFrame, order: Sequence[str], position: str) -> DataFrame:
+    """The global 1-based position of every row in ``order``, without sorting in one task.
+
+    Rows are dealt to ranges of the order and written to the shared folder with their range; the
+    ranges' row counts (one number each) give every range its offset, and a row's position is that
+    plus its number within the range. Ties get adjoining positions.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"order-{uuid.uuid4().hex}")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (rows.withColumn("_nth", nth).join(offsets, "_range")
+                .withColumn(position, (F.col("_before") + F.col("_nth")).cast("bigint")).select(*df.columns, position))

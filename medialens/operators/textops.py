@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD2, word2_tokens, word_tokens
-
-# first-seen keys pack (doc_id, position) into one long so the n-gram aggregate keeps a
-# fixed-width buffer (HashAggregate); bounds: doc_id < 2^39, positions < 2^24 per text.
-POS_BITS = 24
+from . import dictionary
 
 
 def token_windows(df: DataFrame, key: str, tokens: Column, size: int = 512, stride: int = 256,
@@ -71,15 +68,19 @@ def majority_vote(df: DataFrame, key: str, label: str, pos: str, ignore: Sequenc
                       F.when(bad, F.lit(0)).otherwise(F.col("n_votes")).cast("long").alias("n_votes"))
 
 
-#: A word that is all letters: not part of a run with digits or underscores, without a clitic
-#: (``n't`` or what follows an apostrophe).
-ALPHABETIC = (r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}_]['’])\p{L}+?"
-              r"(?=n['’]t(?!['’]?[\p{L}\p{N}_])|['’]|(?![\p{L}\p{N}_]))")
+#: What a clitic adds to a word: ``n't`` at its end, or everything from its first apostrophe on.
+CLITIC = (r"(?<=\p{L})n['’]t(?!['’]?[\p{L}\p{N}_])"
+          r"|(?<=[\p{L}\p{N}_])['’][\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*")
 
 
 def alphabetic_tokens(text: Column) -> Column:
-    """Lower-cased all-letter words in text order: ``covid19`` has none, ``don't`` gives ``do``."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ALPHABETIC), 0)
+    """Lower-cased all-letter words in text order: ``covid19`` has none, ``don't`` gives ``do``.
+
+    Clitics go first (their pattern only starts at an ``n`` or an apostrophe); the rest is split
+    at non-word runs, and words with a digit or underscore go.
+    """
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), CLITIC, "")
+    return F.filter(F.split(bare, r"[^\p{L}\p{N}_]+"), lambda t: t.rlike(r"^\p{L}+$"))
 
 
 def clean_tokens(text: Column, stopwords: Sequence[str] = (), lemmas: dict[str, str] | None = None,
@@ -98,31 +99,42 @@ def clean_tokens(text: Column, stopwords: Sequence[str] = (), lemmas: dict[str,
     return toks
 
 
-def clean_tokens_join(df: DataFrame, key: str, text: str, lemma_table: DataFrame,
-                      stopwords: Sequence[str] = (), custom_stopwords: Sequence[str] = ()) -> DataFrame:
-    """T8 for a large lemma table: explode -> left join to (token, lemma) -> regroup in
-    position order. The regroup is one text's tokens, bounded by the text itself; a text
-    without any left has an empty list."""
-    ex = df.select(key, F.posexplode(alphabetic_tokens(F.col(text))).alias("pos", "token"))
+def clean_tokens_dictionary(df: DataFrame, text: str, lemma_table: DataFrame, stopwords: Sequence[str] = (),
+                            custom_stopwords: Sequence[str] = (), out: str = "tokens", part_bytes: int | None = None) -> DataFrame:
+    """T8 for a large lemma table (token, lemma): ``df`` with the array column ``out``.
+
+    The distinct tokens meet the table once (:func:`dictionary.lookup`); texts are not shuffled.
+    Rows equal those of :func:`clean_tokens` with the same lemmas; a text without any token left
+    has an empty list.
+    """
+    toks = alphabetic_tokens(F.col(text))
     if stopwords:
-        ex = ex.filter(~F.col("token").isin(list(stopwords)))
-    j = ex.join(lemma_table.select("token", "lemma"), "token", "left") \
-          .withColumn("lemma", F.coalesce("lemma", "token"))
+        toks = F.filter(toks, lambda t: ~t.isin(list(stopwords)))
+    changed = lemma_table.select("token", "lemma").filter(F.col("lemma") != F.col("token"))
+    df = dictionary.lookup(df.withColumn("_tokens", toks), "_tokens", changed, "token", "lemma", "_lemmas",
+                           part_bytes or dictionary.PART_BYTES)
+    toks = F.zip_with("_tokens", "_lemmas", lambda t, lemma: F.coalesce(lemma, t))
     if custom_stopwords:
-        j = j.filter(~F.col("lemma").isin(list(custom_stopwords)))
-    every = df.select(key, F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("lemma"))
-    kept = F.when(F.col("lemma").isNotNull(), F.struct("pos", "lemma"))
-    g = j.select(key, "pos", "lemma").unionByName(every).groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("_t"))
-    return g.select(key, F.transform("_t", lambda s: s["lemma"]).alias("tokens"))
+        toks = F.filter(toks, lambda t: ~t.isin(list(custom_stopwords)))
+    return df.withColumn(out, toks).drop("_tokens", "_lemmas")
 
 
 def ngrams(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[str] = (),
            pattern: str = WORD2, carry: Sequence[str] = ()) -> DataFrame:
     """Exploded n-grams (key, pos, gram) of the lower-cased text; n-grams never cross texts;
-    an n-gram containing a stopword is dropped (its neighbours are not joined across it).
+    an n-gram containing a stopword is dropped (its neighbours are not joined across it)."""
+    d = _gram_parts(df, key, text, n, stopwords, pattern, carry)
+    return d.select(key, *carry, "pos", F.concat_ws(" ", *_parts(n)).alias("gram"))
+
 
-    The n tokens are read by index (no per-n-gram array slice) and the stopword test is
-    one hash-set IN per token."""
+def _parts(n: int) -> list[str]:
+    return [f"_p{j}" for j in range(n)]
+
+
+def _gram_parts(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[str], pattern: str,
+                carry: Sequence[str]) -> DataFrame:
+    """(key, carry, pos, one column per word) of every n-gram. The words are read by index (no
+    array slice, no string built) and the stopword test is one hash-set IN per word."""
     carry = list(carry)
     tok = word2_tokens(F.lower(text)) if pattern == WORD2 else word_tokens(F.lower(text), pattern)
     d = df.select(key, *carry, tok.alias("_tok"))
@@ -138,29 +150,65 @@ def ngrams(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[st
             c = p.isin(list(stopwords))
             hit = c if hit is None else (hit | c)
         d = d.filter(~hit)
-    return d.select(key, *carry, (F.col("_i") - 1).alias("pos"), F.concat_ws(" ", *parts).alias("gram"))
+    return d.select(key, *carry, (F.col("_i") - 1).alias("pos"), *(p.alias(c) for p, c in zip(parts, _parts(n))))
+
+
+#: Buckets per group of the count sketch, and the share of the texts (one in so many) that proposes candidates.
+SKETCH_BUCKETS = 1 << 14
+CANDIDATE_SHARE = 32
+
+
+def _null_safe(left: str, right: str, cols: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return cond
 
 
 def ngram_topk(df: DataFrame, key: str, text: Column, n: int, k: int = 10,
-               stopwords: Sequence[str] = (), pattern: str = WORD2, by: Sequence[str] = ()) -> DataFrame:
+               stopwords: Sequence[str] = (), pattern: str = WORD2, by: Sequence[str] = (),
+               buckets: int = SKETCH_BUCKETS, share: int = CANDIDATE_SHARE) -> DataFrame:
     """Total count of every n-gram over the corpus (or per ``by`` group), top k by
-    count, ties to the n-gram seen first (smallest (key, position)). ``key`` must be a
-    non-negative integer.
+    count, ties to the n-gram seen first (smallest (key, position)). Keys of any sortable type.
+
+    Exact, without shuffling every distinct n-gram:
+
+    1. a share of the texts, chosen by the key's hash, proposes each group's likely first n-grams;
+    2. one pass counts all n-grams into hash buckets (integers, merged in every task first) and
+       the proposed ones exactly. The k-th largest exact count bounds the k-th place from below,
+       and an n-gram never occurs more often than its bucket counts;
+    3. only n-grams of buckets that reach the bound are counted by name.
 
-    Plan: explode -> partial HashAggregate(count, min(packed first-seen)) -> shuffle by
-    gram -> final aggregate -> TakeOrderedAndProject (global), or a row_number <= k window
-    planned with WindowGroupLimit (per group).
+    Poor proposals or a small sketch weaken the pruning, never the result.
     """
-    by = list(by)
-    g = ngrams(df, key, text, n, stopwords, pattern, carry=by)
-    kid = F.col(key).cast("long")
-    in_range = (kid >= 0) & (kid < F.lit(1 << (63 - POS_BITS))) & (F.col("pos") < F.lit(1 << POS_BITS))
-    # out-of-range keys fail loudly instead of silently breaking the tie order
-    first = F.when(in_range, kid * F.lit(1 << POS_BITS) + F.col("pos")).otherwise(
-        F.raise_error(F.lit("ngram_topk: key or position outside the packed first-seen range")))
-    agg = g.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("_first"))
-    if not by:
-        return agg.orderBy(F.col("n").desc(), F.col("_first").asc()).limit(k).select("gram", "n")
-    w = Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col("_first").asc())
-    top = agg.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
-    return top.select(*by, "gram", "n")
+    by, parts = list(by), _parts(n)
+
+    def grams(rows: DataFrame) -> DataFrame:
+        d = _gram_parts(rows, key, text, n, stopwords, pattern, [c for c in by if c != key])
+        return d.withColumn("_bucket", F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int"))
+
+    def first_rows(counted: DataFrame, limit: int, order: Sequence[Column]) -> DataFrame:
+        if not by:
+            return counted.orderBy(*order).limit(limit)
+        w = Window.partitionBy(*by).orderBy(*order)
+        return counted.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= limit).drop("_rk")
+
+    proposed = grams(df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0)).groupBy(*by, *parts).count()
+    proposed = first_rows(proposed, 2 * k, [F.col("count").desc(), *parts]).select(*by, *parts, F.lit(True).alias("_named"))
+    counted = grams(df).alias("g").join(proposed.alias("p"), _null_safe("g", "p", [*by, *parts]), "left")
+    # a proposed n-gram is counted apart from the rest of its bucket
+    name = F.when(F.col("p._named"), F.concat_ws(" ", *(F.col(f"g.{p}") for p in parts)))
+    sketch = counted.groupBy(*(F.col(f"g.{c}").alias(c) for c in by), F.col("g._bucket").alias("_bucket"),
+                             name.alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    exact = F.when(F.col("_name").isNotNull(), F.col("_n"))
+    bound = sketch.groupBy(*by).agg(F.sort_array(F.collect_list(exact), False).alias("_exact"))
+    bound = bound.select(*by, F.coalesce(F.get("_exact", F.lit(k - 1)), F.lit(0)).alias("_bound"))
+    full = sketch.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_n"))
+    reach = full.alias("s").join(bound.alias("b"), _null_safe("s", "b", by), "inner").filter("_n >= _bound")
+    reach = reach.select(*(F.col(f"s.{c}").alias(c) for c in by), F.col("s._bucket").alias("_bucket"))
+    left = grams(df).alias("g").join(reach.alias("r"), _null_safe("g", "r", [*by, "_bucket"]), "left_semi")
+    # plain columns for the first place, text by text: both aggregates keep fixed-width buffers
+    agg = left.groupBy(*by, *parts, F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_pos"))
+    agg = agg.groupBy(*by, *parts).agg(F.sum("_n").alias("n"), F.min("_key").alias("_first"), F.min_by("_pos", "_key").alias("_pos"))
+    top = first_rows(agg, k, [F.col("n").desc(), F.col("_first").asc(), F.col("_pos").asc()])
+    return top.select(*by, F.concat_ws(" ", *parts).alias("gram"), "n")

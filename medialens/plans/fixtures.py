@@ -7,6 +7,7 @@ grows with them. Nothing is materialised on the driver.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +34,15 @@ def _mod(c: str, m: int) -> Column:
     return F.col(c) % F.lit(m)
 
 
-def fx_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide label table: one article per order, four label columns with the reference's traps."""
+def fx_labels(spark: SparkSession, sf_dir: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Wide label table: one article per order, four label columns with the known traps; ``carry``
+    adds columns of ``orders``."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     prio = F.substring("o_orderpriority", 1, 1)
     st = F.col("o_orderstatus")
     return o.select(
-        k.alias("art_id"),
+        *carry, k.alias("art_id"),
         F.when(_mod("o_custkey", 2) == 0, "BBC").otherwise("Guardian").alias("outlet"),
         F.when(_mod("o_orderkey", 2) == 0, "RU").otherwise("IP").alias("topic"),
         F.when(_mod("o_orderkey", 3) == 0,

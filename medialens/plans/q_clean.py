@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.labels import norm_capitalize
 from ..functions.periods import cutoff_for, id0_for, period_from_url, period_lenient
 from ..functions.text import PANDAS_NA_TOKENS, compose_text as compose, null_tokens, slug as slug_fn
 from ..operators import clean as C
 from ..operators import dedup as U
 from ..operators import stats
-from ..operators.discover import parseable_counts
+from ..operators.discover import detect_label_columns, parseable_counts, resolve_date_column
+from ..operators.reshape import order_by_values, restore_order, unpivot_labels
 from ..sources.partitions import union_partitions
 from . import sqlfx as S
-from .fixtures import FX_CUTOFFS, FX_URL_ID0, docs_with_na, fx_labels, fx_with_copies, table
+from .fixtures import FX_CUTOFFS, FX_URL_ID0, docs_with_na, fx_labels, fx_long, fx_with_copies, table
 from .registry import query
 
 WITH = f"WITH {S.FX}"
@@ -121,8 +123,8 @@ def url_clean(spark, sf):
 
 @query("dedup_exact", """SELECT DISTINCT text, lang, source, n_chars FROM documents""")
 def dedup_exact(spark, sf):
-    d = table(spark, sf, "documents").select("text", "lang", "source", "n_chars")
-    return U.drop_exact_duplicates(d)
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return U.drop_exact_duplicates(d, ["text", "lang", "source", "n_chars"], "doc_id", late=True).drop("doc_id")
 
 
 @query("dedup_first", """SELECT doc_id, lang, source, n_chars FROM documents
@@ -255,3 +257,88 @@ def month_partition_union(spark, sf):
     u = union_partitions(parts, required=["o_orderkey", "o_orderdate", "o_totalprice"])
     return u.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
                     "o_totalprice", "o_orderpriority", "month")
+
+
+# --- P12 / P14 / D1 / D3 / O1 / O3 / O4 ------------------------------------------------------------
+@query("required_columns_kept", f"""WITH {S.FX} SELECT art_id, outlet, leaning FROM fx WHERE topic = 'RU'""")
+def required_columns_kept(spark, sf):
+    """Of two label files, the one without the required column is skipped, not failed on."""
+    fx = fx_labels(spark, sf)
+    files = [fx.filter("topic = 'RU'").select("art_id", "outlet", "leaning"),
+             fx.filter("topic = 'IP'").select("art_id", "outlet", F.col("leaning").alias("lean"))]
+    kept = [f for f in files if C.require_columns(f, ["art_id", "leaning"], on_missing="skip")]
+    return kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
+
+
+@query("keep_models", f"""WITH {S.FX}, {S.FXL} SELECT art_id, model, raw_label FROM fxl WHERE model IN ('BERT', 'Gemini')""")
+def keep_models(spark, sf):
+    """P14 with a list of values."""
+    return C.keep_values(fx_long(spark, sf), "model", ["BERT", "Gemini"]).select("art_id", "model", "raw_label")
+
+
+@query("drop_failed_urls", f"""WITH {S.FX} SELECT art_id, url FROM fx
+WHERE url NOT IN (SELECT url FROM fx WHERE leaning = 'Unknown')""")
+def drop_failed_urls(spark, sf):
+    """P14 with a table of values of any size, excluded: urls that one model failed on."""
+    fx = fx_labels(spark, sf)
+    return C.keep_values(fx, "url", fx.filter("leaning = 'Unknown'").select("url"), exclude=True).select("art_id", "url")
+
+
+_RENAMED = {"published_ts": "Published_Date", "predicted_label_bert": "Predicted_Label_BERT",
+            "predicted_label_deepseek": "deep-seek label", "predicted_label_gemini": "gemini_label", "title": "title_label_claude"}
+
+
+@query("discovered_label_counts", f"""WITH {S.FX}, {S.FXL}
+SELECT model, strftime(published_ts, '%Y-%m') AS month, raw_label, COUNT(*) AS n FROM fxl
+WHERE published_ts IS NOT NULL AND raw_label IS NOT NULL GROUP BY ALL""")
+def discovered_label_counts(spark, sf):
+    """D1 + D3 decide what is read: the date column and one label column per model, found by name in a
+    renamed file, give the monthly counts of raw labels."""
+    file = fx_labels(spark, sf).withColumnsRenamed(_RENAMED)
+    date, labels = resolve_date_column(file.columns), detect_label_columns(file.columns)
+    rows = file.select(F.col(date).alias("published_ts"), *(F.col(f"`{c}`").alias(f"label_{m}") for m, c in labels.items()))
+    long = unpivot_labels(rows, ["published_ts"], {f"label_{m}": m for m in labels})
+    return (long.filter(F.col("published_ts").isNotNull() & F.col("raw_label").isNotNull())
+                .groupBy("model", F.date_format("published_ts", "yyyy-MM").alias("month"), "raw_label").agg(F.count("*").alias("n")))
+
+
+@query("ordered_label_table", f"""WITH {S.FX}, t AS (
+  SELECT COALESCE({S.l4("leaning")}, 'none') AS label, strftime(published_ts, '%Y-%m') AS month, COUNT(*) AS n FROM fx
+  WHERE published_ts IS NOT NULL GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (ORDER BY CASE label WHEN 'Left' THEN 0 WHEN 'Centre' THEN 1 WHEN 'Right' THEN 2 ELSE 3 END, label, month) AS BIGINT)
+  AS position FROM t""")
+def ordered_label_table(spark, sf):
+    """O1 + O3: a final table in the fixed label order, then by month; the place of every row is written out."""
+    fx = fx_labels(spark, sf).filter("published_ts IS NOT NULL")
+    t = fx.groupBy(F.coalesce(norm_capitalize("leaning"), F.lit("none")).alias("label"),
+                   F.date_format("published_ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return order_by_values(t, {"label": ["Left", "Centre", "Right"]}, "label", "month", position="position")
+
+
+@query("restored_order", f"""WITH {S.FX}, {S.FXL}
+SELECT art_id, model, raw_label, CAST(row_number() OVER (ORDER BY art_id, model) AS BIGINT) AS position FROM fxl""")
+def restored_order(spark, sf):
+    """Rows that were worked on in any order get their input order back as a global position."""
+    rows = fx_long(spark, sf).select("art_id", "model", "raw_label").repartition("raw_label")
+    return restore_order(rows, ["art_id", "model"], "position")
+
+
+_ISO_FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S")
+_ISO = f"""iso AS (SELECT CAST(art_id AS VARCHAR) AS art_id, title, CASE art_id % 5
+    WHEN 0 THEN strftime(published_ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(published_ts, '%Y-%m-%d')
+    WHEN 2 THEN strftime(published_ts, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(published_ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+    ELSE 'soon' END AS stamp FROM fx)"""
+_ISO_COUNTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i} AS ordinal, COUNT(COALESCE({', '.join(f'CAST(try_strptime({c}, {f!r}) AS TIMESTAMP)' for f in _ISO_FORMATS)})) "
+    f"AS n_parseable FROM iso" for i, c in enumerate(["art_id", "title", "stamp"]))
+
+
+@query("date_column_probe_iso", f"{WITH}, {_ISO} {_ISO_COUNTS}")
+def date_column_probe_iso(spark, sf):
+    """D2 with all four formats: plain, date, ISO with and without an offset."""
+    m, ts = F.col("art_id") % 5, F.col("published_ts")
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    stamp = (F.when(m == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(m == 1, F.date_format(ts, "yyyy-MM-dd"))
+              .when(m == 2, iso).when(m == 3, F.concat(iso, F.lit("+02:00"))).otherwise("soon"))
+    fx = fx_labels(spark, sf).select(F.col("art_id").cast("string").alias("art_id"), "title", stamp.alias("stamp"))
+    return parseable_counts(fx)

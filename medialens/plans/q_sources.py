@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from ..sources import api_pages as A
-from ..sources.files import read_articles_csv, write_table
-from ..sources.html import extract_html_text
-from .fixtures import table
+from ..sources.files import read_any, read_articles_csv, split_failures, write_table
+from ..sources.html import extract_html_text, html_text_sql
+from ..sources.partitions import read_month_partitions
+from . import sqlfx as S
+from .fixtures import fx_labels, table
 from .registry import query
 
 DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -53,7 +55,8 @@ PAGE_SIZE = 50
 
 def land_api_pages(spark, sf) -> str:
     """Build search-result pages (50 results each) from the `pages` table and land them as
-    JSON lines, as a grabber would; page 2 answers with status 500."""
+    JSON lines, as a grabber would. Every fifth page was asked for twice: the first answer, with
+    status 500, is landed too."""
     p = table(spark, sf, "pages")
     pid = F.col("page_id")
     item = F.struct(
@@ -66,8 +69,9 @@ def land_api_pages(spark, sf) -> str:
     g = (p.select((F.floor(pid / PAGE_SIZE) + 1).cast("int").alias("page"), pid, item.alias("item"))
           .groupBy("page")
           .agg(F.array_sort(F.collect_list(F.struct(pid.alias("k"), F.col("item")))).alias("_r")))
-    env = g.select(
-        F.when(F.col("page") == 2, F.lit(500)).otherwise(F.lit(200)).alias("status"),
+    answers = F.when(F.col("page") % 5 == 1, F.array(F.lit(500), F.lit(200))).otherwise(F.array(F.lit(200)))
+    env = g.select("page", "_r", F.explode(answers).alias("status")).select(
+        "status",
         F.lit("world/test").alias("tag"), F.lit(0).alias("tag_ord"), "page",
         F.struct(F.lit(None).cast("int").alias("pages"),
                  F.transform("_r", lambda s: s["item"]).alias("results")).alias("response"))
@@ -76,23 +80,30 @@ def land_api_pages(spark, sf) -> str:
     return path
 
 
-@query("api_pages_explode", f"""SELECT 'world/test' AS tag, 0 AS tag_ord, CAST(page_id // {PAGE_SIZE} + 1 AS INTEGER) AS page,
+_EXPLODED = f"""SELECT 'world/test' AS tag, 0 AS tag_ord, CAST(page_id // {PAGE_SIZE} + 1 AS INTEGER) AS page,
   CAST(row_number() OVER (PARTITION BY page_id // {PAGE_SIZE} ORDER BY page_id) - 1 AS INTEGER) AS pos,
   CASE WHEN page_id % 7 = 0 THEN '' ELSE 'Headline ' || CAST(page_id AS VARCHAR) END AS title,
   COALESCE(html, '') AS body_html,
   CASE WHEN page_id % 10 = 0 THEN '' ELSE '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' END AS published_at,
   COALESCE(url, '') AS url
-FROM pages QUALIFY page_id // {PAGE_SIZE} + 1 <> 2""")
+FROM pages"""
+_ARTICLES = f"""WITH exploded AS ({_EXPLODED}),
+told AS (SELECT *, {html_text_sql("body_html")} AS body_text FROM exploded)
+SELECT title, body_text, published_at, url, tag FROM told WHERE {S.strip("body_text")} <> ''
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY tag_ord, page, pos) = 1"""
+
+
+@query("api_pages_explode", _EXPLODED)
 def api_pages_explode(spark, sf):
     return A.explode_api_pages(A.read_api_pages(spark, land_api_pages(spark, sf)))
 
 
-@query("api_articles")
+@query("api_articles", _ARTICLES)
 def api_articles(spark, sf):
     return A.api_articles(A.read_api_pages(spark, land_api_pages(spark, sf)))
 
 
-@query("html_corpus_text")
+@query("html_corpus_text", f"SELECT page_id, {html_text_sql('html')} AS text FROM pages")
 def html_corpus_text(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "html")
     return extract_html_text(p, "html", "text").select("page_id", "text")
@@ -104,7 +115,7 @@ def events_json_field(spark, sf):
     return ev.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
 
 
-@query("api_pages_stream")
+@query("api_pages_stream", _ARTICLES)
 def api_pages_stream(spark, sf):
     """The API landing consumed as a file stream (four files per trigger) into a parquet table."""
     from ..streaming.api_stream import start_api_ingest
@@ -112,4 +123,62 @@ def api_pages_stream(spark, sf):
     out = _tmp(spark, "stream-out")
     q = start_api_ingest(spark, landing, out, checkpoint=_tmp(spark, "stream-ckpt"), max_files_per_trigger=4)
     q.awaitTermination()
-    return spark.read.parquet(out).drop("epoch")
+    return spark.read.parquet(out)
+
+
+# --- S2 -------------------------------------------------------------------------------------------
+@query("mixed_encodings_read", DOCS_SQL)
+def mixed_encodings_read(spark, sf):
+    """One folder of CSV files, Latin-1 where the text allows it and has any such letter, UTF-8 with a
+    byte-order mark elsewhere; every file reads in its own encoding."""
+    path = _tmp(spark, "mixed")
+    docs = table(spark, sf, "documents").select(*DOC_COLS)
+    back = F.decode(F.encode(F.translate("text", "?", ""), "ISO-8859-1"), "ISO-8859-1")
+    latin = F.coalesce((back == F.translate("text", "?", "")) & ~F.col("text").rlike(r"^\p{ASCII}*$"), F.lit(False))
+    rows = docs.withColumn("latin", latin)
+    csv = {"header": True, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.filter("latin").drop("latin").write.options(**csv, encoding="ISO-8859-1").csv(path)
+    write_table(rows.filter("NOT latin").drop("latin"), path, "csv", mode="append", bom=True)
+    back = read_any(spark, path, DOC_COLS)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source",
+                       F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
+# --- S4 -------------------------------------------------------------------------------------------
+@query("month_partitions_read", """SELECT o_orderkey, o_custkey, o_totalprice,
+  CASE WHEN month(o_orderdate) % 2 = 1 THEN o_orderpriority END AS o_orderpriority,
+  strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE month(o_orderdate) <> 2""")
+def month_partitions_read(spark, sf):
+    """A landed archive of month folders whose schemas drift: even months lack o_orderpriority, in
+    every third month o_custkey is an int, February lacks the required o_totalprice."""
+    base = _tmp(spark, "months")
+    m = F.month("o_orderdate")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate",
+                                               F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    narrow = orders.withColumn("o_custkey", F.col("o_custkey").cast("int"))
+    for own, cond in ((orders, (m % 2 == 1) & (m % 3 != 0)), (narrow, (m % 2 == 1) & (m % 3 == 0)),
+                      (orders.drop("o_orderpriority"), (m % 2 == 0) & (m % 3 != 0) & (m != 2)),
+                      (narrow.drop("o_orderpriority"), (m % 2 == 0) & (m % 3 == 0)), (orders.drop("o_totalprice"), m == 2)):
+        write_table(own.filter(cond).drop("o_orderdate"), base, partition_by=["month"], mode="append")
+    back = read_month_partitions(spark, base, required=["o_orderkey", "o_totalprice"])
+    return back.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "month")
+
+
+# --- S9 -------------------------------------------------------------------------------------------
+def _split(spark, sf) -> tuple[str, str]:
+    main, failed = _tmp(spark, "labelled"), _tmp(spark, "failed")
+    split_failures(fx_labels(spark, sf).select("art_id", "url", "leaning"), "leaning", main, failed)
+    return main, failed
+
+
+@query("failures_main", f"""WITH {S.FX} SELECT art_id, url, leaning,
+  CASE WHEN leaning = 'Unknown' THEN 'failed' ELSE 'ok' END AS status FROM fx""")
+def failures_main(spark, sf):
+    """S9, first output: every row, partitioned by whether it failed."""
+    return spark.read.parquet(_split(spark, sf)[0]).select("art_id", "url", "leaning", "status")
+
+
+@query("failures_only", f"WITH {S.FX} SELECT art_id, url, leaning FROM fx WHERE leaning = 'Unknown'")
+def failures_only(spark, sf):
+    """S9, second output: the failed rows alone."""
+    return spark.read.parquet(_split(spark, sf)[1]).select("art_id", "url", "leaning")

@@ -1,16 +1,14 @@
-"""Text queries: keywords, token limits, windows, prompts, votes, cleaning, n-grams,
-and the classification stubs (P9-P11, T1-T8, A23)."""
+"""Text queries: keywords, token limits, windows, prompts, votes, cleaning, n-grams."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.text import build_prompt as prompt_fn, token_count, word_tokens
-from ..operators import classify as K
 from ..operators import clean as C
 from ..operators import textops as X
-from .fixtures import table
+from . import sqlfx as S
+from .fixtures import fx_labels, table
 from .registry import query
 
 # The reference's custom n-gram stopwords (BBC list) and classification
@@ -25,10 +23,11 @@ ENGLISH_STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "fr
 LEMMAS = {"ing": "ing", "ed": "ed", "were": "be", "been": "be", "has": "have", "had": "have",
           "does": "do", "did": "do", "children": "child", "men": "man", "women": "woman"}
 TOPICS = {"A": ["war", "the"], "B": ["aux", "que", "sch"]}
-PROMPT = ("You are a political analyst. Read the following news content and classify its political "
-          "leaning as one of the following: \nLeft\nRight\nCentre\n\nRespond ONLY with one of the three "
-          "exact words.\n\nArticle:\n{text}")
+PROMPT = ("Which way does this article lean? Answer with a single label (Left, Centre or Right) and nothing else."
+          "\n---\n{text}\n---\nLabel:")
 
+#: More places than a text of the given tables has: the SQL orders first places as one number.
+_PLACES = 1 << 24
 TOK_SQL = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
 W2_SQL = "[\\p{L}\\p{N}_]{2,}"
 
@@ -46,18 +45,25 @@ def keyword_topics(spark, sf):
     return C.keyword_topics(d, F.col("text"), TOPICS).select("doc_id", "topic")
 
 
-@query("keyword_topics_conflicts", """WITH t AS (SELECT doc_id, COALESCE(source, '') || ' ' || COALESCE(text, '') AS txt
-  FROM documents)
-SELECT doc_id, topic FROM (
-  SELECT doc_id, 'RU' AS topic FROM t WHERE regexp_matches(txt, '(?i)ukraine|russia|putin|zelensky|donbas|kyiv|moscow')
-  UNION ALL SELECT doc_id, 'IP' FROM t
+#: Datelines of the stand-in articles, by the remainder of the customer's number.
+DATELINES = ["Kyiv", "Gaza City", "London", "Moscow, near the WEST BANK", "Paris", None, "Tel Aviv, Israel", "New York"]
+
+
+@query("keyword_topics_conflicts", f"""WITH {S.FX}, t AS (SELECT art_id, COALESCE(CASE o_custkey % {len(DATELINES)}
+    {" ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DATELINES) if d)} END, '') || ' ' || COALESCE(title, '') AS txt
+  FROM fx JOIN orders ON o_orderkey = art_id)
+SELECT art_id, topic FROM (
+  SELECT art_id, 'RU' AS topic FROM t WHERE regexp_matches(txt, '(?i)ukraine|russia|putin|zelensky|donbas|kyiv|moscow')
+  UNION ALL SELECT art_id, 'IP' FROM t
   WHERE regexp_matches(txt, '(?i)israel|palestine|gaza|hamas|idf|west bank|netanyahu')) x""")
 def keyword_topics_conflicts(spark, sf):
-    """P4 + P9 with the conflict keyword lists: (description, content) composed with a space,
+    """P4 + P9 with the conflict keyword lists: (dateline, title) composed with a space,
     an article may land in both topics, one, or none."""
     from ..functions.text import compose_text
-    d = table(spark, sf, "documents").select("doc_id", compose_text("source", "text").alias("txt"))
-    return C.keyword_topics(d, F.col("txt"), C.CONFLICT_KEYWORDS).select("doc_id", "topic")
+    line = F.get(F.array(*map(F.lit, DATELINES)), F.col("o_custkey") % len(DATELINES))
+    d = fx_labels(spark, sf, carry=["o_custkey"]).withColumn("dateline", line)
+    d = d.select("art_id", compose_text("dateline", "title").alias("txt"))
+    return C.keyword_topics(d, F.col("txt"), C.CONFLICT_KEYWORDS).select("art_id", "topic")
 
 
 # --- P10 / P11 / T2 -------------------------------------------------------------------------
@@ -133,13 +139,52 @@ def clean_tokens(spark, sf):
     return d.select("doc_id", F.array_join(toks, " ").alias("cleaned"))
 
 
+# A full-form lexicon (token, lemma) as a lemmatiser's tables hold it, from the words of other tables:
+# its size grows with them.
+_ENDINGS = ("ing", "tion", "ed", "er")
+_LEXICON_SQL = f"""lexicon AS (
+  SELECT token, left(token, CAST(length(token) - CASE {" ".join(f"WHEN token LIKE '%{e}' THEN {len(e)}" for e in _ENDINGS)} END AS INTEGER)) AS lemma
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM (
+    SELECT text FROM conversations UNION ALL SELECT text FROM benchmark))
+  WHERE length(token) > 5 AND ({" OR ".join(f"token LIKE '%{e}'" for e in _ENDINGS)}))"""
+
+
+def lexicon(spark, sf):
+    texts = table(spark, sf, "conversations").select("text").unionByName(table(spark, sf, "benchmark").select("text"))
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("token")).distinct()
+    cut = F.coalesce(*(F.when(F.col("token").endswith(e), F.lit(len(e))) for e in _ENDINGS))
+    words = words.filter((F.length("token") > 5) & cut.isNotNull())
+    return words.withColumn("_cut", cut).select("token", F.expr("left(token, length(token) - _cut)").alias("lemma"))
+
+
+def _lexicon_cleaned_sql() -> str:
+    runs = "regexp_extract_all(lower(COALESCE(text, '')), '[\\p{L}\\p{N}_]+(?:[''’][\\p{L}\\p{N}_]+)*')"
+    bare = f"list_transform({runs}, lambda t: regexp_replace(regexp_replace(t, '(\\p{{L}})n[''’]t$', '\\1'), '[''’].*$', ''))"
+    toks = f"list_filter({bare}, lambda t: regexp_full_match(t, '\\p{{L}}+') AND NOT list_contains({_sql_list(ENGLISH_STOPWORDS)}, t))"
+    return f"""WITH {_LEXICON_SQL},
+toks AS (SELECT doc_id, {toks} AS ts FROM documents),
+each AS (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM toks),
+mapped AS (SELECT doc_id, i, COALESCE(lemma, token) AS lemma FROM each LEFT JOIN lexicon USING (token)),
+kept AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY i) AS cleaned FROM mapped
+  WHERE NOT list_contains({_sql_list(NGRAM_STOPWORDS)}, lemma) GROUP BY doc_id)
+SELECT doc_id, COALESCE(cleaned, '') AS cleaned FROM documents LEFT JOIN kept USING (doc_id)"""
+
+
+@query("clean_tokens_lexicon", _lexicon_cleaned_sql())
+def clean_tokens_lexicon(spark, sf):
+    """T8 with a lemma table that grows: distinct tokens meet the lexicon, texts stay in place."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    toks = X.clean_tokens_dictionary(d, "text", lexicon(spark, sf), ENGLISH_STOPWORDS, NGRAM_STOPWORDS)
+    return toks.select("doc_id", F.array_join("tokens", " ").alias("cleaned"))
+
+
 # --- A23 -----------------------------------------------------------------------------------------
 def _ngram_sql(n: int, lang: str | None, k: int = 10, text: str = "text") -> str:
     """Top k per language over the whole table (lang=None), or the top k of one language."""
     where = f"WHERE lang = '{lang}'" if lang else ""
     grp = "" if lang else "lang, "
-    tail = (f"ORDER BY n DESC, MIN(doc_id * {1 << X.POS_BITS} + i - 1) ASC LIMIT {k}" if lang else
-            f"QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, MIN(doc_id * {1 << X.POS_BITS} + i - 1) ASC) <= {k}")
+    tail = (f"ORDER BY n DESC, MIN(doc_id * {_PLACES} + i - 1) ASC LIMIT {k}" if lang else
+            f"QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, MIN(doc_id * {_PLACES} + i - 1) ASC) <= {k}")
     return f"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower({text}), '{W2_SQL}') AS tok FROM documents {where}),
 s AS (SELECT doc_id, lang, tok, unnest(generate_series(1, len(tok) - {n} + 1)) AS i FROM t WHERE len(tok) >= {n}),
 g AS (SELECT doc_id, lang, i, tok[i:i + {n - 1}] AS parts FROM s)
@@ -177,116 +222,3 @@ def ngram_top3_cleaned(spark, sf):
     return X.ngram_topk(d, "doc_id", cleaned, 3, 10, NGRAM_STOPWORDS, by=["lang"])
 
 
-# --- T3 / T5 / T6 (stub scorer) ----------
-STUB_LABELS = ["Left", "Centre", "Right"]
-
-
-def stub_scorer_factory():
-    """Deterministic stand-in for a model: label from len(text) % 3; a batch containing a
-    doc_id divisible by 101 raises, and of its rows scored singly that one alone fails."""
-    def score(batch: pd.DataFrame):
-        if "doc_id" in batch and (batch["doc_id"] % 101 == 0).any():
-            raise RuntimeError("stub failure")
-        col = batch.columns[-1]
-        return [STUB_LABELS[len(t) % 3] for t in batch[col]]
-    return score
-
-
-def failing_primary_factory():
-    base = stub_scorer_factory()
-
-    def score(batch: pd.DataFrame):
-        if (batch["doc_id"] % 7 == 0).any():
-            raise RuntimeError("primary prompt failed")
-        return base(batch)
-    return score
-
-
-def fallback_factory():
-    primary = K.with_retry(failing_primary_factory(), tries=2, backoff=lambda a: 0.0)
-
-    def backup(batch: pd.DataFrame):
-        if (batch["doc_id"] % 101 == 0).any():
-            raise RuntimeError("backup failed")
-        return [STUB_LABELS[len(t) % 3] for t in batch[batch.columns[-1]]]
-    return K.with_fallback(primary, backup, final="Unknown")
-
-
-@query("classify_stub", """SELECT doc_id, CASE WHEN NOT regexp_matches(COALESCE(text, ''), '\\S') THEN 'error'
-  WHEN doc_id % 101 = 0 THEN 'error' ELSE ['Left', 'Centre', 'Right'][CAST(length(text) % 3 AS INT) + 1] END AS label FROM documents""")
-def classify_stub(spark, sf):
-    d = table(spark, sf, "documents")
-    return K.classify(d, ["doc_id"], "text", stub_scorer_factory, batch_size=16)
-
-
-@query("classify_windows_stub")
-def classify_windows_stub(spark, sf):
-    d = table(spark, sf, "documents")
-
-    def factory():
-        s = stub_scorer_factory()
-        return lambda b: s(b.rename(columns={"window_text": "text"}))
-    return K.classify_windows(d, "doc_id", word_tokens("text"), factory, 512, 256, 16)
-
-
-@query("classify_fallback_stub", """SELECT doc_id, CASE WHEN NOT regexp_matches(COALESCE(text, ''), '\\S') THEN 'error'
-  WHEN doc_id % 101 = 0 THEN 'Unknown' ELSE ['Left', 'Centre', 'Right'][CAST(length(text) % 3 AS INT) + 1] END AS label FROM documents""")
-def classify_fallback_stub(spark, sf):
-    d = table(spark, sf, "documents")
-    return K.classify(d, ["doc_id"], "text", fallback_factory, batch_size=16)
-
-
-@query("classify_sources_stub")
-def classify_sources_stub(spark, sf):
-    """Per-language files landed from `documents`, one listed file missing; every file
-    that exists is labelled over its token windows in one job."""
-    import os
-    import uuid
-    import warnings
-
-    from ..session import scratch_dir
-    from ..sources.files import write_table
-    base = scratch_dir(spark, f"sources-{uuid.uuid4().hex}")
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    write_table(docs, base, partition_by=["lang"])
-    paths = {lang: os.path.join(base, f"lang={lang}") for lang in ("en", "fr", "de", "es")}
-    paths["missing"] = os.path.join(base, "lang=none")
-
-    def factory():
-        s = stub_scorer_factory()
-        return lambda b: s(b.rename(columns={"window_text": "text"}))
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return K.classify_sources(spark, paths, "doc_id", "text", factory)
-
-
-def reply_primary_factory():
-    """Stub model replies in free text; an empty reply (len % 5 == 0) must go to the backup."""
-    def score(b: pd.DataFrame):
-        out = []
-        for t in b[b.columns[-1]]:
-            r = len(t) % 5
-            out.append(["", "The article is Left.", "right", "Centre-ish, neutral", "no idea"][r])
-        return out
-    return score
-
-
-def reply_backup_factory():
-    def score(b: pd.DataFrame):
-        if (b["doc_id"] % 3 == 0).any():
-            raise RuntimeError("backup failed")
-        return ["Center"] * len(b)
-    return score
-
-
-@query("label_archive_stub")
-def label_archive_stub(spark, sf):
-    """Token limit (P10) -> model replies -> native reply parsing (L5) -> backup prompt
-    for empty replies -> Unknown; the Unknown rows are the S9 second output."""
-    import uuid
-
-    from ..functions.labels import parse_reply
-    from ..session import scratch_dir
-    d = C.max_tokens(table(spark, sf, "documents"), "text", 10000)
-    return K.label_with_replies(d, ["doc_id"], "text", reply_primary_factory, reply_backup_factory,
-                                parse_reply, scratch_dir(spark, f"replies-{uuid.uuid4().hex}"))

@@ -23,19 +23,12 @@ def _month(c="month_start"):
     return F.date_format(F.col(c), "yyyy-MM").alias("month")
 
 
-def _l1(spark, sf, gapped=False) -> DataFrame:
-    d = fx_long(spark, sf).withColumn("label", norm_substring("raw_label"))
-    if gapped:
-        m = F.month("published_ts")
-        d = d.filter(~(((F.col("outlet") == "BBC") & (m == 3)) | ((F.col("outlet") == "Guardian") & (m == 7))))
-    return d
+def _l1(spark, sf) -> DataFrame:
+    return fx_long(spark, sf).withColumn("label", norm_substring("raw_label"))
 
 
-GAP_SQL = "NOT ((outlet = 'BBC' AND month(published_ts) = 3) OR (outlet = 'Guardian' AND month(published_ts) = 7))"
-
-
-def _mf_sql(gapped=False, all_months=False) -> str:
-    where = "published_ts IS NOT NULL" + (f" AND {GAP_SQL}" if gapped else "")
+def _mf_sql(all_months=False) -> str:
+    where = "published_ts IS NOT NULL"
     valid = "TRUE" if all_months else "lab IS NOT NULL"
     return f"""mf AS (SELECT topic, outlet, model, date_trunc('month', published_ts) AS ms,
     COUNT(*) FILTER (WHERE lab = 'Left') AS n_left, COUNT(*) FILTER (WHERE lab = 'Centre') AS n_centre,
@@ -58,10 +51,10 @@ segs AS (SELECT topic, ms, segment,
   FROM (SELECT topic, ms, ntile(6) OVER (PARTITION BY topic ORDER BY ms) AS segment FROM sp) x)"""
 
 
-def _facts(spark, sf, gapped=False, all_months=False) -> DataFrame:
+def _facts(spark, sf, all_months=False) -> DataFrame:
     """Monthly class counts; ``all_months`` keeps dated months without a valid label (the
     segment and spine queries take their month range from every dated row)."""
-    return T.monthly_class_counts(_l1(spark, sf, gapped), SER, "label", "published_ts",
+    return T.monthly_class_counts(_l1(spark, sf), SER, "label", "published_ts",
                                   valid_only=not all_months)
 
 
@@ -125,10 +118,10 @@ def distinct_months(spark, sf):
         .select(F.date_format("published_ts", "yyyy-MM").alias("month")).distinct()
 
 
-@query("month_spine_fill", f"""{WITH}, {_mf_sql(gapped=True, all_months=True)}, {SPINE_SQL}
+@query("month_spine_fill", f"""{WITH}, {_mf_sql(all_months=True)}, {SPINE_SQL}
 SELECT topic, outlet, model, strftime(ms, '%Y-%m') AS month, n_left, n_centre, n_right, total FROM filled""")
 def month_spine_fill(spark, sf):
-    f = _facts(spark, sf, gapped=True, all_months=True)
+    f = _facts(spark, sf, all_months=True)
     filled = T.month_spine_fill(f, ["topic"], ["outlet", "model"],
                                 fill_cols=["n_left", "n_centre", "n_right", "total"])
     return filled.select(*SER, _month(), "n_left", "n_centre", "n_right", "total")
@@ -140,35 +133,35 @@ def month_segments(spark, sf):
     return T.month_segments(_facts(spark, sf, all_months=True), ["topic"], 6).select("topic", _month(), "segment", "segment_label")
 
 
-def _segment_sql(weighted: bool, gapped: bool) -> str:
+def _segment_sql(weighted: bool) -> str:
     if weighted:
         sel = ", ".join(f"{S.ratio(f'SUM(n_{k})', 'SUM(total)')} AS share_{k}" for k in ("left", "centre", "right"))
     else:
         sel = ", ".join(f"round(AVG({S.ratio(f'n_{k}', 'total', '0.0')}), 9) AS share_{k}"
                         for k in ("left", "centre", "right"))
-    return f"""{WITH}, {_mf_sql(gapped, all_months=True)}, {SPINE_SQL}
+    return f"""{WITH}, {_mf_sql(all_months=True)}, {SPINE_SQL}
 SELECT f.topic, segment, segment_label, outlet, model, {sel}, CAST(SUM(total) AS BIGINT) AS n
 FROM filled f JOIN segs s ON f.topic = s.topic AND f.ms = s.ms
 GROUP BY f.topic, segment, segment_label, outlet, model"""
 
 
-def _segment_trend(spark, sf, weighted: bool, gapped: bool) -> DataFrame:
-    filled = T.month_spine_fill(_facts(spark, sf, gapped, all_months=True), ["topic"], ["outlet", "model"],
+def _segment_trend(spark, sf, weighted: bool) -> DataFrame:
+    filled = T.month_spine_fill(_facts(spark, sf, all_months=True), ["topic"], ["outlet", "model"],
                                 fill_cols=["n_left", "n_centre", "n_right", "total"], keep_range=True)
     return T.segment_means(filled, ["topic"], ["outlet", "model"], weighted=weighted)
 
 
-@query("segment_trend", _segment_sql(True, False))
+@query("segment_trend", _segment_sql(True))
 def segment_trend(spark, sf):
-    return _segment_trend(spark, sf, True, False)
+    return _segment_trend(spark, sf, True)
 
 
-@query("segment_trend_simple", _segment_sql(False, True))
+@query("segment_trend_simple", _segment_sql(False))
 def segment_trend_simple(spark, sf):
-    return _segment_trend(spark, sf, False, True)
+    return _segment_trend(spark, sf, False)
 
 
-@query("monthly_rl_aligned", f"""{WITH}, {_mf_sql(gapped=True)},
+@query("monthly_rl_aligned", f"""{WITH}, {_mf_sql()},
 months AS (SELECT DISTINCT topic, model, ms FROM mf), ser AS (SELECT DISTINCT topic, outlet, model FROM mf)
 SELECT ser.topic, ser.model, ser.outlet, strftime(months.ms, '%Y-%m') AS month,
   {S.ratio('mf.n_right - mf.n_left', 'mf.total')} AS rl_diff
@@ -176,11 +169,67 @@ FROM months JOIN ser ON months.topic = ser.topic AND months.model = ser.model
 LEFT JOIN mf ON mf.topic = ser.topic AND mf.outlet = ser.outlet AND mf.model = ser.model AND mf.ms = months.ms""")
 def monthly_rl_aligned(spark, sf):
     """Per model, both outlets on the union of their months; a month one outlet lacks is null."""
-    f = _rl(_facts(spark, sf, gapped=True))
+    f = _rl(_facts(spark, sf))
     out = T.complete_calendar(f, SER, "month_start", ["rl_diff"], None, range_by=["topic", "model"], mode="union")
     return out.select("topic", "model", "outlet", _month(), "rl_diff")
 
 
+# Authors (customers) write a few articles over the years: series that are sparse at every size.
+_AUTHORS_SQL = f"""af AS (SELECT author, topic, date_trunc('month', published_ts) AS ms,
+    COUNT(*) FILTER (WHERE lab = 'Left') AS n_left, COUNT(*) FILTER (WHERE lab = 'Centre') AS n_centre,
+    COUNT(*) FILTER (WHERE lab = 'Right') AS n_right, COUNT(lab) AS total
+  FROM (SELECT o_custkey AS author, topic, published_ts, {S.l1('leaning')} AS lab FROM fx JOIN orders ON o_orderkey = art_id
+        WHERE published_ts IS NOT NULL) t GROUP BY ALL)"""
+
+
+def _author_facts(spark, sf) -> DataFrame:
+    d = fx_labels(spark, sf, carry=["o_custkey"]).withColumnRenamed("o_custkey", "author")
+    return T.monthly_class_counts(d.withColumn("label", norm_substring("leaning")), ["author", "topic"], "label",
+                                  "published_ts", valid_only=False)
+
+
+@query("month_spine_fill_authors", f"""{WITH}, {_AUTHORS_SQL},
+sp AS (SELECT author, unnest(generate_series(MIN(ms), MAX(ms), INTERVAL 1 MONTH)) AS ms FROM af GROUP BY author),
+ser AS (SELECT DISTINCT author, topic FROM af)
+SELECT sp.author, ser.topic, strftime(sp.ms, '%Y-%m') AS month, COALESCE(n_left, 0) AS n_left, COALESCE(n_centre, 0) AS n_centre,
+  COALESCE(n_right, 0) AS n_right, COALESCE(total, 0) AS total
+FROM sp JOIN ser USING (author) LEFT JOIN af ON af.author = sp.author AND af.topic = ser.topic AND af.ms = sp.ms""")
+def month_spine_fill_authors(spark, sf):
+    """J1 + R5 on sparse series: both topics of an author over all months of the author."""
+    cols = ["n_left", "n_centre", "n_right", "total"]
+    filled = T.month_spine_fill(_author_facts(spark, sf), ["author"], ["topic"], fill_cols=cols)
+    return filled.select("author", "topic", _month(), *cols)
+
+
+@query("monthly_rl_aligned_authors", f"""{WITH}, {_AUTHORS_SQL},
+months AS (SELECT DISTINCT author, ms FROM af), ser AS (SELECT DISTINCT author, topic FROM af)
+SELECT ser.author, ser.topic, strftime(months.ms, '%Y-%m') AS month, {S.ratio('n_right - n_left', 'total')} AS rl_diff
+FROM months JOIN ser USING (author) LEFT JOIN af ON af.author = ser.author AND af.topic = ser.topic AND af.ms = months.ms""")
+def monthly_rl_aligned_authors(spark, sf):
+    """J9 on sparse series: both topics on the union of the author's months; a month that one lacks is null."""
+    out = T.complete_calendar(_rl(_author_facts(spark, sf)), ["author", "topic"], "month_start", ["rl_diff"], None,
+                              range_by=["author"], mode="union")
+    return out.select("author", "topic", _month(), "rl_diff")
+
+
+@query("segment_trend_simple_authors", f"""{WITH}, {_AUTHORS_SQL},
+sp AS (SELECT author, unnest(generate_series(MIN(ms), MAX(ms), INTERVAL 1 MONTH)) AS ms FROM af GROUP BY author),
+ser AS (SELECT DISTINCT author, topic FROM af),
+segs AS (SELECT author, ms, ntile(6) OVER (PARTITION BY author ORDER BY ms) AS segment FROM sp),
+names AS (SELECT author, ms, segment, strftime(MIN(ms) OVER w, '%Y-%m') || ' ~ ' || strftime(MAX(ms) OVER w, '%Y-%m') AS segment_label
+  FROM segs WINDOW w AS (PARTITION BY author, segment))
+SELECT n.author, segment, segment_label, ser.topic,
+  {", ".join(f"round(AVG({S.ratio(f'COALESCE(n_{k}, 0)', 'COALESCE(total, 0)', '0.0')}), 9) AS share_{k}" for k in ("left", "centre", "right"))},
+  CAST(SUM(COALESCE(total, 0)) AS BIGINT) AS n
+FROM names n JOIN ser USING (author) LEFT JOIN af ON af.author = n.author AND af.topic = ser.topic AND af.ms = n.ms
+GROUP BY n.author, segment, segment_label, ser.topic""")
+def segment_trend_simple_authors(spark, sf):
+    """A14, simple form, on sparse series: a month without articles counts as 0."""
+    cols = ["n_left", "n_centre", "n_right", "total"]
+    filled = T.month_spine_fill(_author_facts(spark, sf), ["author"], ["topic"], fill_cols=cols, keep_range=True)
+    return T.segment_means(filled, ["author"], ["topic"], weighted=False)
+
+
 # --- A19 / W2 / R6 / J3 / R7 (policy L2) --------------------------------------------------------
 def _weekly(spark, sf) -> DataFrame:
     d = fx_long(spark, sf).withColumn("score", letters_score("raw_label"))

@@ -13,7 +13,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ["q_labels", "q_stats", "q_trends", "q_clean", "q_text", "q_sources"]
+_MODULES = ["q_labels", "q_stats", "q_trends", "q_clean", "q_text", "q_learned", "q_sources"]
 
 
 def query(name: str, sql: str | None = None):

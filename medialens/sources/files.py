@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -16,7 +16,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_articles_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+def read_articles_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
                       encoding: str = "UTF-8", header: bool = True) -> DataFrame:
     """Header CSV with multi-line quoted bodies, read as all-string columns.
 
@@ -31,29 +31,37 @@ def read_articles_csv(spark: SparkSession, path: str, columns: Sequence[str] | N
         r = r.schema(StructType([StructField(c, StringType()) for c in columns]))
     else:
         r = r.option("inferSchema", False)
-    return r.csv(path)
+    return r.csv(path if isinstance(path, str) else list(path))
+
+
+def file_encodings(spark: SparkSession, path: str | Sequence[str], encodings: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """(path, encoding) of every file: the first encoding if all its bytes are valid UTF-8, else the
+    second. One pass over the bytes, file by file, on the executors; the replacement character
+    U+FFFD is valid UTF-8 like any other."""
+    first, fallback = encodings
+    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    return files.select("path", F.when(valid, F.lit(first)).otherwise(F.lit(fallback)).alias("encoding"))
 
 
 def read_any(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
              encodings: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """Try encodings in order. Spark's reader never fails on a wrong encoding (bad bytes
-    become U+FFFD), so each candidate is checked with one aggregate: the first encoding
-    whose read has no replacement character wins. A UTF-8 BOM is dropped by the UTF-8
-    reader, which covers the 'utf-8-sig' case. Parquet paths are read as parquet."""
+    """CSV files of mixed encodings as one table. Each file's encoding is chosen from its own
+    bytes before it is parsed, so one odd file does not change how the others read, and each file
+    is parsed once. Only file names come to the driver, as they do for any listing. A UTF-8 BOM is
+    dropped by the reader ('utf-8-sig'). Parquet paths are read as parquet; a file that
+    Spark reads as multi-line CSV is one task's, so it must fit one (2 GB) here too."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    df = None
-    for enc in encodings:
-        df = read_articles_csv(spark, path, columns, encoding=enc)
-        strings = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-        if not strings:
-            return df
-        bad = F.lit(False)
-        for c in strings:
-            bad = bad | F.coalesce(F.col(c).contains("\ufffd"), F.lit(False))
-        if df.filter(bad).limit(1).count() == 0:
-            return df
-    return df
+    chosen = file_encodings(spark, path, encodings).collect()
+    if not chosen:
+        return read_articles_csv(spark, path, columns, encodings[0])
+    out = None
+    for encoding in dict.fromkeys(encodings):
+        if own := [r["path"] for r in chosen if r["encoding"] == encoding]:
+            part = read_articles_csv(spark, own, columns, encoding)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def apply_na_tokens(df: DataFrame, cols: Sequence[str] | None = None,
@@ -73,6 +81,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     if bom and fmt == "csv":
         first = next(c for c in df.columns if c not in partition_by)
         df = df.withColumnRenamed(first, "﻿" + first)
+    if partition_by:
+        # a group's rows meet before the write, so it gets few files, not one per task; AQE splits large groups
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -84,18 +95,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 
 def split_failures(df: DataFrame, label: str, main_path: str, failed_path: str,
-                   failed_value: str = "Unknown", fmt: str = "parquet") -> int:
-    """Write the whole table, then only the failed rows if there are any.
+                   failed_value: str = "Unknown", fmt: str = "parquet", status: str = "status") -> int:
+    """The whole table at ``main_path``, and the failed rows at ``failed_path`` if there are any.
 
-    The input is persisted so both writes read it once; returns the failed-row count.
+    The input is computed once: one write partitioned by ``status`` (ok, failed), whose row counts an
+    observation takes along. The second output reads only the failed partition back and is
+    not written when the count is zero. Returns the number of failed rows.
     """
-    df = df.persist()
-    try:
-        write_table(df, main_path, fmt)
-        failed = df.filter(F.col(label) == failed_value)
-        n = failed.count()
-        if n:
-            write_table(failed, failed_path, fmt)
-        return n
-    finally:
-        df.unpersist()
+    failed = F.coalesce(F.col(label) == failed_value, F.lit(False))
+    counts = Observation()
+    seen = df.withColumn(status, F.when(failed, "failed").otherwise("ok")).observe(
+        counts, F.count_if(F.col(status) == "failed").alias("n"))
+    write_table(seen, main_path, fmt, partition_by=[status])
+    n = counts.get["n"]
+    if n:
+        main = df.sparkSession.read.format(fmt)
+        if fmt == "csv":
+            main = main.option("header", True).option("escape", '"').option("multiLine", True)
+        own = main.schema(StructType([*df.schema.fields, StructField(status, StringType())])).load(main_path)
+        write_table(own.filter(F.col(status) == "failed").select(*df.columns), failed_path, fmt)
+    return n

@@ -81,6 +81,64 @@ def test_read_any_falls_back_to_latin1(spark, tmp_path):
     assert S.read_any(spark, str(lat), ["title"]).first().title == "café"
 
 
+def test_read_any_chooses_per_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    # a true replacement character is valid UTF-8 and switches nothing; a multi-line field stays one
+    (tmp_path / "in" / "a.csv").write_bytes("title,body\ncafé \ufffd,\"x\ny\"\n".encode())
+    (tmp_path / "in" / "b.csv").write_bytes("title,body\nça va,é\n".encode("ISO-8859-1"))
+    (tmp_path / "in" / "c.csv").write_bytes("title,body\nplain,é\n".encode("utf-8-sig"))
+    rows = S.read_any(spark, str(tmp_path / "in"), ["title", "body"]).collect()
+    assert sorted((r.title, r.body) for r in rows) == [("café \ufffd", "x\ny"), ("plain", "é"), ("ça va", "é")]
+    by_header = S.read_any(spark, str(tmp_path / "in")).collect()
+    assert sorted(r.title for r in by_header) == ["café \ufffd", "plain", "ça va"]
+    assert {r.encoding for r in S.file_encodings(spark, str(tmp_path / "in")).collect()} == {"UTF-8", "ISO-8859-1"}
+
+
+def test_month_partitions_resolve_types(spark, tmp_path):
+    base = str(tmp_path)
+    for month, kind in (("2020-01", "int"), ("2020-02", "bigint"), ("2020-03", "double"), ("2020-04", "int")):
+        spark.range(2).select(F.col("id").cast(kind).alias("n"), F.lit(month).alias("only_" + month[-1])) \
+             .write.parquet(f"{base}/month={month}")
+    out = P.read_month_partitions(spark, base, required=["n"])
+    assert dict(out.dtypes)["n"] == "double" and dict(out.dtypes)["month"] == "string"
+    assert sorted((r.month, r.n) for r in out.collect()) == [(f"2020-0{m}", float(i)) for m in (1, 2, 3, 4) for i in (0, 1)]
+    assert out.filter("only_2 IS NOT NULL").count() == 2
+    (tmp_path / "month=2020-05").mkdir()
+    (tmp_path / "month=2020-05" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        P.read_month_partitions(spark, base)
+
+
+def test_common_types():
+    from pyspark.sql.types import DateType, DoubleType, FloatType, IntegerType, LongType, StringType, TimestampType
+    assert P.common_type([IntegerType(), LongType()]) == LongType()
+    assert P.common_type([LongType(), FloatType()]) == DoubleType()
+    assert P.common_type([DateType(), TimestampType()]) == TimestampType()
+    assert P.common_type([IntegerType(), StringType()]) == StringType()
+
+
+def test_failures_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+    df = spark.createDataFrame(spark.createDataFrame([(1, "Left"), (2, "Unknown"), (3, None)], "i int, leaning string").rdd.mapPartitions(count),
+                               "i int, leaning string")
+    assert S.split_failures(df, "leaning", str(tmp_path / "m"), str(tmp_path / "f")) == 1
+    assert seen.value == 3
+    main = spark.read.parquet(str(tmp_path / "m"))
+    assert sorted((r.i, r.status) for r in main.collect()) == [(1, "ok"), (2, "failed"), (3, "ok")]
+    assert spark.read.parquet(str(tmp_path / "f")).columns == ["i", "leaning"]
+
+
+def test_partitioned_write_has_one_file_per_small_group(spark, tmp_path):
+    df = spark.range(1000).repartition(16).select("id", (F.col("id") % 3).alias("g"))
+    S.write_table(df, str(tmp_path / "t"), partition_by=["g"])
+    assert all(len(list((tmp_path / "t" / f"g={g}").glob("part-*"))) == 1 for g in range(3))
+
+
 def test_csv_with_byte_order_mark(spark, tmp_path):
     from medialens.sources.files import read_articles_csv, write_table
     out = str(tmp_path / "bom")
