@@ -60,6 +60,8 @@ GRAM = 4
 _WORD_EDITS, _WORD_SHIFT = 3, 2
 #: Pairs verified in one pass.
 GROUP = 4096
+#: Edits up to which the bands of a pass fit a machine word.
+BANDED = 31
 #: Line hashes that a task remembers before it starts anew (8 bytes each).
 KNOWN_LINES = 1 << 20
 #: Candidate lines that are sent to all tasks to fetch their texts (8 bytes each); more are joined by shuffle.
@@ -258,11 +260,12 @@ class EditDistance:
         """One pass over pairs in order of left length; bit d + distance of a level's state says
         that left prefix i and right prefix i + d are within that many edits."""
         k = self.distance
-        mask = np.uint8((1 << (2 * k + 1)) - 1)
-        level = [np.full(len(n), sum(1 << (k + d) for d in range(e + 1)), np.uint8) for e in range(k + 1)]
+        kind = np.uint8 if k <= 3 else np.uint64
+        mask = kind((1 << (2 * k + 1)) - 1)
+        level = [np.full(len(n), sum(1 << (k + d) for d in range(e + 1)), kind) for e in range(k + 1)]
         good = np.zeros(len(n), bool)
         live = np.arange(len(n))
-        final = (np.uint8(1) << (k + m - n).astype(np.uint8)).astype(np.uint8)
+        final = (kind(1) << (k + m - n).astype(kind)).astype(kind)
         done = 0
         for i in range(int(n.max()) + 1):
             upto = int(np.searchsorted(n, i, "right"))
@@ -276,15 +279,15 @@ class EditDistance:
                 if not len(live):
                     break
             letter = lp[np.minimum(a[live] + i, len(lp) - 1)]
-            match = np.zeros(len(live), np.uint8)
+            match = np.zeros(len(live), kind)
             for d in range(-k, k + 1):
                 j = i + d
                 if j >= 0:
                     same = (rp[np.minimum(b[live] + j, len(rp) - 1)] == letter) & (j < m[live])
-                    match |= same.astype(np.uint8) << np.uint8(k + d)
+                    match |= same.astype(kind) << kind(k + d)
             fresh = [level[0] & match]
             for e in range(1, k + 1):
-                fresh.append(((level[e] & match) | level[e - 1] | (level[e - 1] >> 1) | (fresh[e - 1] << 1)) & mask)
+                fresh.append(((level[e] & match) | level[e - 1] | (level[e - 1] >> kind(1)) | (fresh[e - 1] << kind(1))) & mask)
             level = fresh
         return good
 
@@ -322,9 +325,19 @@ class NearLines:
         return np.concatenate([x, u[good]]), np.concatenate([y, v[good]])
 
     def _within(self, lt, li, rt, ri, x, y, edits) -> np.ndarray:
-        a, b = (np.searchsorted(row, [i, i + 1]) for row, i in ((li, x), (ri, y)))
-        return np.array([word_edits(lt[s:e].tolist(), rt[t:f].tolist()) <= k
-                         for s, e, t, f, k in zip(*a, *b, edits, strict=True)], bool)
+        """Pairs by their allowed edits: one banded pass over all of a kind, up to ``BANDED`` edits."""
+        out = np.zeros(len(x), bool)
+        if not len(x):
+            return out
+        lo, ro = (np.searchsorted(row, np.arange(int(i.max()) + 2)) for row, i in ((li, x), (ri, y)))
+        for k in np.unique(edits).tolist():
+            own = np.flatnonzero(edits == k)
+            if k <= BANDED:
+                out[own] = EditDistance(k)._within(lt, lo, rt, ro, x[own], y[own])
+            else:
+                out[own] = [word_edits(lt[lo[i]:lo[i + 1]].tolist(), rt[ro[j]:ro[j + 1]].tolist()) <= k
+                            for i, j in zip(x[own].tolist(), y[own].tolist(), strict=True)]
+        return out
 
 
 def _letters(points: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -341,7 +354,7 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 
 def line_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(node, root, n_links) of the lines of ``docs`` that have near-duplicates."""
-    return _classes(stage(_lines(docs, text).select("node", "line"), "lines"), distance)
+    return _classes(_lines(docs, text), distance)
 
 
 def _classes(lines: DataFrame, distance: int) -> DataFrame:
@@ -371,7 +384,8 @@ def _classes(lines: DataFrame, distance: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, body, drop, n_near): the places of the lines to drop in each document that has any."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lines = stage(_lines(docs, "text"), "lines")
+    # split anew wherever lines are needed: a written copy would be as large as the corpus
+    lines = _lines(docs, "text")
     seen = lines.drop("line")
     at: Column = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "place")
     per_line = seen.groupBy("node").agg(F.min(at).alias("first"), F.count("*").alias("n"))

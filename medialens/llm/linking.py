@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .scratch import stage
+from .scratch import release, stage
 
 BLOCK_ITEMS = 512
 SMALL = 16
@@ -45,8 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        now = stage(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, now = now, stage(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                     .unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        release(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")) \
         .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -76,14 +77,17 @@ def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike)
     roots = stage(components(links), "roots")
     known = stage(full.filter("node != low").select("key", "node").join(roots, "node", "left")
                   .select("key", "node", F.coalesce("root", "node").alias("root")), "unresolved")
+    release(full)
     spread = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")) \
         .filter("low != high").select("key", "n")
     open_ = stage(known.join(spread, "key"), "unresolved")
+    release(known)
     few = open_.filter(F.col("n") <= SMALL)
     pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node and x.root != y.root") \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = stage(_verify(pairs.join(left, "a").join(right, "b"), alike)
                  .unionByName(_block_links(open_.filter(F.col("n") > SMALL), texts, alike)), "links")
+    release(open_, texts)
     all_links = links.unionByName(more).distinct()
     final = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     degree = all_links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

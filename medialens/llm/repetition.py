@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 #: Percent of a text's word characters that may lie in repeated windows, by window length in words.
-WINDOW_LIMITS = {5: 25, 7: 22, 10: 20}
+#: All lie below what REPEAT_LIMIT lets pass, so that they decide.
+WINDOW_LIMITS = {5: 15, 7: 13, 10: 10}
 #: Percent of line characters that may lie in lines equal to an earlier one.
 LINE_LIMIT = 30
 #: Percent of word characters that may be symbols.

@@ -65,6 +65,83 @@ def test_empty_tables(spark, nothing):
         assert out.count() == 0
 
 
+ARTICLE = ("<p>First paragraph, with commas, and some length to it for sure.</p>"
+           "<p>Second one, equally long, to make points here, really.</p>")
+ARTICLE_TEXT = "First paragraph, with commas, and some length to it for sure.\nSecond one, equally long, to make points here, really."
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="content with-sidebar">{}</div>', '<article class="post comment-open">{}</article>', '<div id="social-policy">{}</div>',
+    '<div class="share-price-news">{}</div>', '<div class="sidebar">{}</div>', "<main class='menu'>{}</main>",
+    "<nav>a</nav><div>{}</div><footer>b</footer>", '<div>{}</div><div class="comments"><p>Nice, very nice, good, my friend, ok.</p></div>',
+    '<article>{}</article><div id="comment-list"><article class="comment"><p>Nice, very nice, good, my friend.</p></article></div>',
+    '<div>{}</div><div class="related-posts"><a href=x>Another post</a></div>', '<article>{}<aside>x, y, z</aside></article>'])
+def test_articles_are_found_whatever_they_are_called(around):
+    assert treescore.main_text(f"<html><body>{around.format(ARTICLE)}</body></html>") == ARTICLE_TEXT
+
+
+def test_lists_and_further_articles_belong_to_the_text():
+    links = "<ul><li><a href=x>Reference one is a long link</a></li><li><a href=y>Reference two also</a></li></ul>"
+    assert treescore.main_text(f"<article>{ARTICLE}{links}</article>") == ARTICLE_TEXT + "\nReference one is a long link\nReference two also"
+    assert treescore.main_text(f"<article>{ARTICLE}</article>" * 3) == "\n".join([ARTICLE_TEXT] * 3)
+    menu = "<ul><li><a href=x>Home page</a></li><li><a href=y>All news</a></li></ul>"
+    assert treescore.main_text(f"<div>{menu}{ARTICLE}</div>") == ARTICLE_TEXT
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        assert treescore.main_text("<div>" * n + "x, y") == "x, y" and treescore.main_text("<b>" * n + "x" + "</i>" * n) == "x"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_html_edge_rows(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (3, "<p>x", "c"), (3, "<p>x", "c"), (None, "<p>" + "long, " * 50000, "d"), (4, "<div", "e")]
+    pages = spark.createDataFrame([(*r, "u") for r in rows], "page_id int, html string, url string, main_text string")
+    out = treescore.extract(pages)
+    assert sorted(out.columns) == sorted(pages.columns)
+    got = [(r.page_id, r.main_text) for r in out.collect()]
+    assert got.count((3, "x")) == 2 and (1, "") in got and (2, "") in got and (4, "") in got
+    assert next(len(t) for i, t in got if i is None) == 50000 * 6 - 1
+    assert treescore.extract(pages.limit(0)).count() == 0
+
+
+def test_pages_keep_their_articles(spark):
+    """On the given pages: what the article element holds, by a parser of its own."""
+    import re
+    from html import unescape
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    for (html,) in rows:
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|div)\b[^>]*>", inner)
+        text = [" ".join(unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", b)).split()) for b in blocks]
+        assert treescore.main_text(html) == "\n".join(t for t in text if t)
+
+
+def test_word_windows_decide(spark):
+    """A text below the base rule's share of repeated words goes for the characters in them."""
+    fresh = " ".join(f"w{i}" for i in range(60))
+    long = " ".join("extraordinarily" + str(i) for i in range(5))
+    rows = [(1, fresh), (2, f"{long} {fresh} {long}"), (3, fresh + " " + " ".join(f"v{i}" for i in range(60)))]
+    got = {r.doc_id: r.quality for r in repetition.measure(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1].kept and got[3].kept
+    assert not got[2].base_failed and got[2].n_symbols == 0 and not got[2].kept
+
+
+def test_bands_equal_whole_number_vectors():
+    rnd = random.Random(8)
+    a = [[rnd.randrange(9) for _ in range(rnd.randint(60, 400))] for _ in range(120)]
+    b = [[rnd.randrange(9) if rnd.random() < rnd.choice([0, .02, .06]) else w for w in x] + [1] * rnd.randint(0, 3) for x in a]
+    at = lambda xs: (np.array([w for x in xs for w in x], np.uint64), np.concatenate(([0], np.cumsum([len(x) for x in xs]))))
+    n = np.arange(len(a))
+    for k in (2, 5, 16, 31):
+        near = linededup.EditDistance(k)._within(*at(a), *at(b), n, n)
+        assert near.tolist() == [linededup.word_edits(x, y) <= k for x, y in zip(a, b)], k
+
+
 def test_token_counts_equal_the_library():
     texts = fuzz(PARTS, 3000)
     with open(BYTE_BPE, encoding="utf-8") as file:
