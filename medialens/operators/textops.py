@@ -69,17 +69,19 @@ def majority_vote(df: DataFrame, key: str, label: str, pos: str, ignore: Sequenc
 
 
 #: What a clitic adds to a word: ``n't`` at its end, or everything from its first apostrophe on.
-CLITIC = (r"(?<=\p{L})n['’]t(?!['’]?[\p{L}\p{N}_])"
-          r"|(?<=[\p{L}\p{N}_])['’][\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*")
+#: Both begin with a plain character, so most places are passed at a glance.
+CLITIC = (r"n(?<=\p{L}n)['’]t(?!['’]?[\p{L}\p{N}_])"
+          r"|['’](?<=[\p{L}\p{N}_]['’])[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*")
 
 
 def alphabetic_tokens(text: Column) -> Column:
     """Lower-cased all-letter words in text order: ``covid19`` has none, ``don't`` gives ``do``.
 
-    Clitics go first (their pattern only starts at an ``n`` or an apostrophe); the rest is split
-    at non-word runs, and words with a digit or underscore go.
+    Clitics go first, where a text has an apostrophe at all; the rest is split at non-word runs,
+    and words with a digit or underscore go.
     """
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), CLITIC, "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.when(low.contains("'") | low.contains("’"), F.regexp_replace(low, CLITIC, "")).otherwise(low)
     return F.filter(F.split(bare, r"[^\p{L}\p{N}_]+"), lambda t: t.rlike(r"^\p{L}+$"))
 
 
