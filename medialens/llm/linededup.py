@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import linking
 from . import textbytes as tb
-from .scratch import stage
+from .scratch import stage_alone as stage
 
 DISTANCE = 2
 #: Shorter lines are only compared for equality.

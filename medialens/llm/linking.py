@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .scratch import release, stage
+from .scratch import release
+from .scratch import stage_alone as stage
 
 BLOCK_ITEMS = 512
 SMALL = 16

@@ -22,20 +22,23 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = place(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
 
-    The shuffle files behind it are no longer needed and are removed at once.
-    """
-    spark = df.sparkSession
-    path, before = place(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def stage_alone(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`stage`, and the shuffle files behind ``df`` are removed when it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        return stage(df, name)
     finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
+        conf.set(CLEANUP, before)
 
 
 def release(*stages: DataFrame) -> None:
