@@ -7,12 +7,15 @@ Python worker is involved.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD2, word2_tokens, word_tokens
+from ..session import scratch_dir
 from . import dictionary
 
 
@@ -136,9 +139,11 @@ def _parts(n: int) -> list[str]:
 def _gram_parts(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequence[str], pattern: str,
                 carry: Sequence[str]) -> DataFrame:
     """(key, carry, pos, one column per word) of every n-gram. The words are read by index (no
-    array slice, no string built) and the stopword test is one hash-set IN per word."""
+    array slice, no string built); stopwords are looked up once per word and become null."""
     carry = list(carry)
     tok = word2_tokens(F.lower(text)) if pattern == WORD2 else word_tokens(F.lower(text), pattern)
+    if stopwords:
+        tok = F.transform(tok, lambda t: F.when(~t.isin(list(stopwords)), t))
     d = df.select(key, *carry, tok.alias("_tok"))
     # an empty start list (not a row filter) for texts shorter than n: a filter here would be
     # pushed below the projection and tokenise every text a second time
@@ -146,30 +151,19 @@ def _gram_parts(df: DataFrame, key: str, text: Column, n: int, stopwords: Sequen
               .otherwise(F.array().cast("array<int>"))
     d = d.select(key, *carry, "_tok", F.explode(starts).alias("_i"))
     parts = [F.element_at("_tok", F.col("_i") + j) for j in range(n)]
-    if stopwords:
-        hit = None
-        for p in parts:
-            c = p.isin(list(stopwords))
-            hit = c if hit is None else (hit | c)
-        d = d.filter(~hit)
-    return d.select(key, *carry, (F.col("_i") - 1).alias("pos"), *(p.alias(c) for p, c in zip(parts, _parts(n))))
+    d = d.select(key, *carry, (F.col("_i") - 1).alias("pos"), *(p.alias(c) for p, c in zip(parts, _parts(n))))
+    return d.na.drop(subset=_parts(n)) if stopwords else d
 
 
-#: Buckets per group of the count sketch, and the share of the texts (one in so many) that proposes candidates.
-SKETCH_BUCKETS = 1 << 14
+#: Buckets of a group in the count sketch (a task sends a row per group and bucket at most), and the share
+#: of the texts (one in so many) that proposes candidates.
+SKETCH_BUCKETS = 1 << 18
 CANDIDATE_SHARE = 32
 
 
-def _null_safe(left: str, right: str, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return cond
-
-
 def ngram_topk(df: DataFrame, key: str, text: Column, n: int, k: int = 10,
                stopwords: Sequence[str] = (), pattern: str = WORD2, by: Sequence[str] = (),
-               buckets: int = SKETCH_BUCKETS, share: int = CANDIDATE_SHARE) -> DataFrame:
+               prune: bool = True, buckets: int = SKETCH_BUCKETS, share: int = CANDIDATE_SHARE) -> DataFrame:
     """Total count of every n-gram over the corpus (or per ``by`` group), top k by
     count, ties to the n-gram seen first (smallest (key, position)). Keys of any sortable type.
 
@@ -177,38 +171,55 @@ def ngram_topk(df: DataFrame, key: str, text: Column, n: int, k: int = 10,
 
     1. a share of the texts, chosen by the key's hash, proposes each group's likely first n-grams;
     2. one pass counts all n-grams into hash buckets (integers, merged in every task first) and
-       the proposed ones exactly. The k-th largest exact count bounds the k-th place from below,
-       and an n-gram never occurs more often than its bucket counts;
-    3. only n-grams of buckets that reach the bound are counted by name.
+       the proposed ones exactly. The k-th largest exact count bounds the k-th place of its group
+       from below, and an n-gram never occurs more often than its bucket counts;
+    3. only n-grams of buckets that reach their group's bound are counted by name.
+
+    With ``prune=False`` all n-grams are counted by name at once: one pass, and a shuffle that follows
+    the distinct n-grams. That is the better plan where they are few, as single words are.
 
-    Poor proposals or a small sketch weaken the pruning, never the result.
+    Poor proposals or a small sketch weaken the pruning, never the result: a group without k
+    proposals has no bound. Proposals, sketch and cells are written to the shared folder and read where
+    they are needed, so the texts are read three times (the first time a share of them); every join
+    is on one integer, with a row per proposal, bucket or group.
     """
     by, parts = list(by), _parts(n)
+    spark = df.sparkSession
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        path = scratch_dir(spark, f"ngrams-{name}-{uuid.uuid4().hex}")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
 
     def grams(rows: DataFrame) -> DataFrame:
         d = _gram_parts(rows, key, text, n, stopwords, pattern, [c for c in by if c != key])
-        return d.withColumn("_bucket", F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int"))
+        d = d.withColumn("_hash", F.xxhash64(*by, *parts)).withColumn("_group", F.xxhash64(*by) if by else F.lit(0).cast("bigint"))
+        # a bucket of one group; where two fall together, the counts only get larger
+        return d.withColumn("_cell", F.xxhash64("_group", F.pmod("_hash", F.lit(buckets))))
 
-    def first_rows(counted: DataFrame, limit: int, order: Sequence[Column]) -> DataFrame:
+    def first_rows(counted: DataFrame, limit: int, order: Sequence[Column | str]) -> DataFrame:
         if not by:
             return counted.orderBy(*order).limit(limit)
         w = Window.partitionBy(*by).orderBy(*order)
         return counted.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= limit).drop("_rk")
 
-    proposed = grams(df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0)).groupBy(*by, *parts).count()
-    proposed = first_rows(proposed, 2 * k, [F.col("count").desc(), *parts]).select(*by, *parts, F.lit(True).alias("_named"))
-    counted = grams(df).alias("g").join(proposed.alias("p"), _null_safe("g", "p", [*by, *parts]), "left")
-    # a proposed n-gram is counted apart from the rest of its bucket
-    name = F.when(F.col("p._named"), F.concat_ws(" ", *(F.col(f"g.{p}") for p in parts)))
-    sketch = counted.groupBy(*(F.col(f"g.{c}").alias(c) for c in by), F.col("g._bucket").alias("_bucket"),
-                             name.alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
-    exact = F.when(F.col("_name").isNotNull(), F.col("_n"))
-    bound = sketch.groupBy(*by).agg(F.sort_array(F.collect_list(exact), False).alias("_exact"))
-    bound = bound.select(*by, F.coalesce(F.get("_exact", F.lit(k - 1)), F.lit(0)).alias("_bound"))
-    full = sketch.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_n"))
-    reach = full.alias("s").join(bound.alias("b"), _null_safe("s", "b", by), "inner").filter("_n >= _bound")
-    reach = reach.select(*(F.col(f"s.{c}").alias(c) for c in by), F.col("s._bucket").alias("_bucket"))
-    left = grams(df).alias("g").join(reach.alias("r"), _null_safe("g", "r", [*by, "_bucket"]), "left_semi")
+    def pruned() -> DataFrame:
+        proposed = grams(df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0)).groupBy(*by, "_group", "_hash", *parts).count()
+        proposed = written(first_rows(proposed, 2 * k, [F.col("count").desc(), *parts]).drop("count"), "proposed")
+        # the hash finds a proposal, group and words decide; its count is kept apart from the rest of its bucket
+        agree = functools.reduce(lambda a, c: a & F.col(f"g.{c}").eqNullSafe(F.col(f"p.{c}")), [*by, *parts], F.lit(True))
+        held = grams(df).alias("g").join(proposed.alias("p"), (F.col("g._hash") == F.col("p._hash")) & F.when(agree, F.lit(True)), "left")
+        sketch = held.groupBy(F.col("g._cell").alias("_cell"), F.col("g._group").alias("_group"), F.col("p._hash").alias("_named"))
+        sketch = written(sketch.agg(F.count(F.lit(1)).alias("_n")), "sketch")
+        bound = sketch.filter("_named IS NOT NULL").groupBy("_group").agg(F.sort_array(F.collect_list("_n"), False).alias("_exact"))
+        bound = bound.select("_group", F.coalesce(F.get("_exact", F.lit(k - 1)), F.lit(0)).alias("_bound"))
+        cells = sketch.groupBy("_cell").agg(F.sum("_n").alias("_most"), F.collect_set("_group").alias("_groups"))
+        reach = cells.select("_cell", "_most", F.explode("_groups").alias("_group")).join(bound, "_group", "left")
+        # written, so that its size is known where the join is planned
+        reach = written(reach.filter(F.col("_most") >= F.coalesce("_bound", F.lit(0))).select("_cell").distinct(), "reach")
+        return grams(df).join(reach, "_cell", "left_semi")
+
+    left = pruned() if prune else grams(df)
     # plain columns for the first place, text by text: both aggregates keep fixed-width buffers
     agg = left.groupBy(*by, *parts, F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_pos"))
     agg = agg.groupBy(*by, *parts).agg(F.sum("_n").alias("n"), F.min("_key").alias("_first"), F.min_by("_pos", "_key").alias("_pos"))

@@ -200,8 +200,8 @@ def _ngram_query(name: str, n: int, lang: str | None):
         d = table(spark, sf, "documents")
         if lang:
             d = d.filter(F.col("lang") == lang)
-            return X.ngram_topk(d, "doc_id", F.col("text"), n, 10, NGRAM_STOPWORDS)
-        return X.ngram_topk(d, "doc_id", F.col("text"), n, 10, NGRAM_STOPWORDS, by=["lang"])
+            return X.ngram_topk(d, "doc_id", F.col("text"), n, 10, NGRAM_STOPWORDS, prune=n > 1)
+        return X.ngram_topk(d, "doc_id", F.col("text"), n, 10, NGRAM_STOPWORDS, by=["lang"], prune=n > 1)
     q.__name__ = name
     return q
 

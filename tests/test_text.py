@@ -109,6 +109,8 @@ def test_ngram_topk_with_any_key_and_poor_sketch(spark):
             for buckets, share in ((1 << 14, 1), (1, 1 << 20)):
                 got = X.ngram_topk(df, key, F.col("text"), n, 4, by=["g"], buckets=buckets, share=share).collect()
                 assert sorted(map(tuple, got)) == sorted(want[0] + want[1]), (key, n, buckets)
+            got = X.ngram_topk(df, key, F.col("text"), n, 4, by=["g"], prune=False).collect()
+            assert sorted(map(tuple, got)) == sorted(want[0] + want[1])
 
 
 HTML = ("<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{x:1}</style>"
