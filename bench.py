@@ -24,8 +24,7 @@ HEADLINE = [
     "summary_two_outlets", "summary_one_outlet", "model_outlet_period_dist", "avg_score_grouping_sets",
     "score_matrix", "monthly_proportions", "segment_trend", "month_spine_fill", "weekly_index_smoothed",
     "weekly_index_combined", "merged_label_qa", "dedup_first", "keyword_topics", "token_windows",
-    "majority_vote", "clean_tokens", "ngram_top1", "ngram_top3", "parse_reply", "html_corpus_text",
-    "classify_windows_bayes",
+    "majority_vote", "clean_tokens", "clean_tokens_lexicon", "ngram_top1", "ngram_top3", "parse_reply", "html_corpus_text",
 ]
 
 

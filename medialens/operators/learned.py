@@ -13,6 +13,7 @@ abstains: it is less sure than asked for.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -23,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from . import dictionary
 
 #: Labelled rows that a logistic model is fitted on; which ones, the hash of the key decides.
@@ -135,7 +137,10 @@ def fit_bayes(labelled: DataFrame, tokens: str, label: str, classes: Sequence[st
     counts = seen.groupBy("token").agg(
         F.count("*").alias("texts"),
         F.array(*(F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)) for c in classes)).alias("n"))
-    counts = counts.filter(F.col("texts") >= min_texts)
+    # written once: the totals and the weights both come from it
+    path = scratch_dir(labelled.sparkSession, f"token-counts-{uuid.uuid4().hex}")
+    counts.filter(F.col("texts") >= min_texts).write.parquet(path)
+    counts = labelled.sparkSession.read.parquet(path)
     totals = counts.agg(F.count("*").alias("v"), *(F.coalesce(F.sum(F.col("n")[i]), F.lit(0)).alias(f"n{i}")
                                                   for i in range(len(classes)))).first()
     docs = rows.agg(F.count("*").alias("all"), *(F.count_if(F.col(label) == c).alias(f"d{i}") for i, c in enumerate(classes))).first()

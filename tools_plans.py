@@ -11,7 +11,7 @@ from medialens.session import build_session
 
 NAMES = ["summary_two_outlets", "avg_score_grouping_sets", "segment_trend", "weekly_index_combined",
          "monthly_rl_aligned", "merged_label_qa", "dedup_first", "majority_vote", "ngram_top3",
-         "classify_windows_stub", "token_windows", "url_prefix"]
+         "dedup_exact", "html_corpus_text", "month_partitions_read", "clean_tokens_lexicon", "token_windows", "url_prefix"]
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 spark = build_session("local[8]", shuffle_partitions=8, app_name="plans")
