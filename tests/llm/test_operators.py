@@ -131,17 +131,6 @@ def test_word_windows_decide(spark):
     assert not got[2].base_failed and got[2].n_symbols == 0 and not got[2].kept
 
 
-def test_bands_equal_whole_number_vectors():
-    rnd = random.Random(8)
-    a = [[rnd.randrange(9) for _ in range(rnd.randint(60, 400))] for _ in range(120)]
-    b = [[rnd.randrange(9) if rnd.random() < rnd.choice([0, .02, .06]) else w for w in x] + [1] * rnd.randint(0, 3) for x in a]
-    at = lambda xs: (np.array([w for x in xs for w in x], np.uint64), np.concatenate(([0], np.cumsum([len(x) for x in xs]))))
-    n = np.arange(len(a))
-    for k in (2, 5, 16, 31):
-        near = linededup.EditDistance(k)._within(*at(a), *at(b), n, n)
-        assert near.tolist() == [linededup.word_edits(x, y) <= k for x, y in zip(a, b)], k
-
-
 def test_token_counts_equal_the_library():
     texts = fuzz(PARTS, 3000)
     with open(BYTE_BPE, encoding="utf-8") as file:
