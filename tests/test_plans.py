@@ -54,7 +54,7 @@ def exchanged_columns(plan):
     return out
 
 
-@pytest.mark.parametrize("name", ["dedup_first", "dedup_exact", "corpus_stats"])
+@pytest.mark.parametrize("name", ["dedup_first", "dedup_exact"])
 def test_texts_are_never_exchanged(spark, name):
     """Digests and order keys meet; bodies stay where they are read."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
