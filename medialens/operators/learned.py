@@ -115,14 +115,6 @@ class BayesModel:
         return df.withColumn(out, F.when(ranked[0] - ranked[1] >= self.sure, label)).drop("_sums")
 
 
-def _token_counts(tokens: str) -> Column:
-    """(token, n) of the distinct tokens of an array: runs of the sorted array."""
-    ordered = F.array_sort(F.filter(tokens, lambda t: t.isNotNull()))
-    first = F.filter(F.transform(ordered, lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i)), lambda i: i.isNotNull())
-    return F.transform(first, lambda i, k: F.struct(
-        F.get(ordered, i).alias("token"), (F.coalesce(F.get(first, k + 1), F.size(ordered)) - i).cast("bigint").alias("n")))
-
-
 def fit_bayes(labelled: DataFrame, tokens: str, label: str, classes: Sequence[str], min_texts: int = MIN_TEXTS,
               smoothing: float = SMOOTHING) -> BayesModel:
     """Multinomial naive Bayes over all rows whose label is one of ``classes``.
@@ -133,7 +125,8 @@ def fit_bayes(labelled: DataFrame, tokens: str, label: str, classes: Sequence[st
     """
     rows = labelled.filter(F.col(label).isin(list(classes)))
     # a text's tokens are counted in the text first: one row per text and distinct token
-    seen = rows.select(label, F.explode(_token_counts(tokens)).alias("c")).select(label, "c.token", "c.n")
+    each = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", label, F.explode(tokens).alias("token"))
+    seen = each.filter("token IS NOT NULL").groupBy("_row", label, "token").agg(F.count("*").alias("n"))
     counts = seen.groupBy("token").agg(
         F.count("*").alias("texts"),
         F.array(*(F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)) for c in classes)).alias("n"))
