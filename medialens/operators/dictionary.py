@@ -5,13 +5,18 @@ that some text needs are written to the shared folder, measured, and sent to the
 of at most ``PART_BYTES``: one part if the table is small, one pass over the token arrays for
 each further part if it is not. So the shuffle follows the distinct tokens, a frequent token is
 one row per task however many texts hold it, and the texts stay where they are.
+
+A Python worker holds one part and the answers of ``PIECE_TOKENS`` tokens at a time: between two
+parts the rows are written to the shared folder, and a batch's answers leave in pieces.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +25,8 @@ from ..session import scratch_dir
 
 #: Bytes of entries (tokens, values and offsets) that are sent to the tasks at once.
 PART_BYTES = 64 << 20
+#: Tokens that are answered at once (a single row may have more).
+PIECE_TOKENS = 1 << 18
 
 
 def needed_entries(df: DataFrame, tokens: str, table: DataFrame, token: str = "token") -> DataFrame:
@@ -50,6 +57,11 @@ def lookup(df: DataFrame, tokens: str, table: DataFrame, token: str = "token", v
         answer = _answer(spark.sparkContext.broadcast(_as_bytes(own.toArrow())), kind)
         found = answer(F.col(tokens))
         df = df.withColumn(out, found if part == 0 else F.zip_with(out, found, lambda a, b: F.coalesce(a, b)))
+        if part + 1 < parts:
+            # the next part has workers of its own, after these have ended
+            path = scratch_dir(spark, f"answers-{uuid.uuid4().hex}")
+            df.write.parquet(path)
+            df = spark.read.schema(df.schema).parquet(path)
     return df
 
 
@@ -61,12 +73,18 @@ def _as_bytes(table: pa.Table) -> bytes:
 
 
 def _answer(sent, kind):
-    """An Arrow UDF from token arrays to arrays of values; each batch's distinct tokens are looked up once."""
-    @F.arrow_udf(f"array<{kind.simpleString()}>")
-    def answer(lists: pa.Array) -> pa.Array:
-        import pyarrow.compute as pc
-
-        table = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
+    """An Arrow UDF from token arrays to arrays of values; a piece's distinct tokens are looked up once."""
+    import pyarrow.compute as pc
+
+    def pieces(lists: pa.Array) -> Iterator[pa.Array]:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(lists):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_TOKENS, "right")))
+            yield lists.slice(at, upto - at)
+            at = upto
+
+    def values_of(lists: pa.Array, table: pa.Table) -> pa.Array:
         flat = lists.flatten().dictionary_encode()
         at = pc.index_in(flat.dictionary, value_set=table.column("token"))
         values = table.column("value").take(at).combine_chunks() if table.num_rows else pa.nulls(len(at), table.schema.field("value").type)
@@ -77,4 +95,11 @@ def _answer(sent, kind):
         offsets = pa.array([None if n else s for n, s in zip([*lists.is_null().to_pylist(), False], starts, strict=True)], pa.int32())
         return pa.ListArray.from_arrays(offsets, values if isinstance(values, pa.Array) else values.combine_chunks())
 
+    @F.arrow_udf(f"array<{kind.simpleString()}>")
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
+        for lists in batches:
+            for piece in pieces(lists):
+                yield values_of(piece, table)
+
     return answer

@@ -73,6 +73,34 @@ def test_dictionary_lookup_in_parts(spark):
     assert {r.k: r["values"] for r in nothing.collect()} == {k: v and [None] * len(v) for k, v in expected.items()}
 
 
+def test_dictionary_answers_leave_in_pieces(monkeypatch):
+    """A worker holds the answers of PIECE_TOKENS tokens, not those of a whole Arrow batch."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql.types import LongType
+
+    from medialens.operators import dictionary
+    monkeypatch.setattr(dictionary, "PIECE_TOKENS", 100)
+    sent = SimpleNamespace(value=dictionary._as_bytes(pa.table({"token": ["a", "b"], "value": pa.array([1, 2], pa.int64())})))
+    lists = [["a"] * 30 + ["x", None]] * 50 + [None, [], ["b"] * 250, None] + [["b"]] * 3
+    batches = [pa.array(lists, pa.list_(pa.string())), pa.array([], pa.list_(pa.string())), pa.array(lists, pa.list_(pa.string())).slice(48, 5)]
+    pieces = list(dictionary._answer(sent, LongType()).func(iter(batches)))
+    value = {"a": 1, "b": 2}
+    assert [x for p in pieces for x in p.to_pylist()] == [x and [value.get(t) for t in x] for x in lists + lists[48:53]]
+    assert all(len(p) == 1 or len(p.flatten()) <= 100 for p in pieces)
+
+
+def test_dictionary_parts_are_not_held_together(spark):
+    """Each part of a large table has workers of its own: one Arrow function in a plan, however many parts."""
+    from medialens.operators import dictionary
+    df = spark.createDataFrame([(i, ["w%d" % j for j in range(i, i + 40)]) for i in range(20)], "k int, t array<string>")
+    table = spark.createDataFrame([("w%d" % i, i) for i in range(50)], "token string, value long")
+    out = dictionary.lookup(df, "t", table, part_bytes=300)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 1
+    assert {r.k: r["values"] for r in out.collect()} == {i: [j if j < 50 else None for j in range(i, i + 40)] for i in range(20)}
+
+
 def test_dictionary_shuffles_distinct_tokens_only(spark):
     """What the lookup exchanges follows the distinct tokens: texts of a million equal words add a row per task."""
     from medialens.operators import dictionary
