@@ -20,6 +20,10 @@ words per ``WORDS_PER_EDIT`` words of the shorter line, so that the edits grow w
 A word is a run of letters and digits; other visible characters, and each character of a script
 that writes without spaces, are words of their own.
 
+A line's marks are its numbers of code points and words, and which of 64 folded code points and of
+128 folded words it has an odd number of times: an edit changes two of the latter at most. Lines that
+meet are compared by these first, and only those that may be alike have their texts fetched.
+
 Lines that meet are verified (banded bit-parallel edit distance of code points; of words, the
 number of words in common and then a bit-parallel edit distance) and joined into classes
 (``linking``).
@@ -223,6 +227,30 @@ def word_edits(a: list[int], b: list[int]) -> int:
     return score
 
 
+#: A line's marks (see above).
+MARK = {"chars": "int", "words": "int", "letters": "bigint", "low": "bigint", "high": "bigint"}
+
+
+def line_marks(column: pa.Array) -> pa.StructArray:
+    """The marks of each line."""
+    points, off = _points(column)
+    words, row = _words(points, off)
+    n = np.bincount(row, minlength=len(column))
+    ends = np.concatenate(([0], np.cumsum(n)))
+    place, bit = words >> _U(57), _U(1) << ((words >> _U(51)) & _U(63))
+    odd = [_odd(_U(1) << (points.astype(np.uint64) & _U(63)), off),
+           *(_odd(np.where(place & _U(1) == side, bit, _U(0)), ends) for side in (0, 1))]
+    return pa.StructArray.from_arrays([pa.array(np.diff(off).astype(np.int32)), pa.array(n.astype(np.int32)),
+                                       *(pa.array(x.view(np.int64)) for x in odd)], [*MARK])
+
+
+def _odd(bits: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which bits each row (its offsets in ``off``) has an odd number of times."""
+    total = np.zeros(len(bits) + 1, np.uint64)
+    np.bitwise_xor.accumulate(bits, out=total[1:])
+    return total[off[1:]] ^ total[off[:-1]]
+
+
 class EditDistance:
     """Lines are alike within a number of edits."""
 
@@ -295,6 +323,22 @@ class NearLines:
     def __init__(self, distance: int = DISTANCE):
         self.points = EditDistance(distance)
 
+    def may(self, x: Column, y: Column) -> Column:
+        """Whether lines with these marks can be alike."""
+        unlike = lambda *fields: sum(F.bit_count(x[f].bitwiseXOR(y[f])) for f in fields)
+        edits = F.floor(F.least(x["words"], y["words"]) / WORDS_PER_EDIT)
+        near = (F.abs(x["chars"] - y["chars"]) <= self.points.distance) & (unlike("letters") <= 2 * self.points.distance)
+        return near | (edits > 0) & (F.abs(x["words"] - y["words"]) <= edits) & (unlike("low", "high") <= 2 * edits)
+
+    def may_blocks(self, left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
+        """The same for each of some marks with each of others."""
+        x = {f: left.field(f).to_numpy()[:, None] for f in MARK}
+        y = {f: right.field(f).to_numpy()[None, :] for f in x}
+        unlike = lambda f: np.bitwise_count((x[f] ^ y[f]).view(np.uint64)).astype(np.int64)
+        edits = allowed(np.minimum(x["words"], y["words"]))
+        near = (np.abs(x["chars"] - y["chars"]) <= self.points.distance) & (unlike("letters") <= 2 * self.points.distance)
+        return near | (edits > 0) & (np.abs(x["words"] - y["words"]) <= edits) & (unlike("low") + unlike("high") <= 2 * edits)
+
     def pairs(self, left: pa.Array, right: pa.Array) -> np.ndarray:
         good = self.points.pairs(left, right)
         rest = np.flatnonzero(~good)
@@ -365,7 +409,16 @@ def _classes(lines: DataFrame, distance: int) -> DataFrame:
         wanted = F.broadcast(held) if held.count() <= SENT_LINES else held
         return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("body"))
 
-    return linking.classes(lines.mapInArrow(file, "key bigint, node bigint"), bodies, NearLines(distance))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            batch = batch.take(pa.array(seen.new(batch.column("node").to_numpy())))
+            for piece in tb.slices(batch, "line"):
+                yield pa.RecordBatch.from_arrays([piece.column("node"), *line_marks(piece.column("line")).flatten()], names=["node", *MARK])
+
+    marks = lines.mapInArrow(mark, "node bigint, " + ", ".join(f"{f} {kind}" for f, kind in MARK.items())) \
+        .dropDuplicates(["node"]).select("node", F.struct(*MARK).alias("mark"))
+    return linking.classes(lines.mapInArrow(file, "key bigint, node bigint"), bodies, NearLines(distance), marks)
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:

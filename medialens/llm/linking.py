@@ -7,7 +7,11 @@
    about ``BLOCK_ITEMS / 2`` members, two by two inside tasks, of which only the links that
    join different classes come out. Then step 2 again.
 
-Every candidate pair is so either verified, or already in one class by links that were: no
+Where items have marks - a few numbers that alike items have nearly in common - pairs are
+compared by them first, in every step, and only what they allow has its body fetched. Of a large
+bucket the members that no other class's marks allow leave before blocks of bodies are formed.
+
+Every candidate pair is so either ruled out by its marks, or verified, or already in one class by links that were: no
 partner is capped and no link lost. Rows that are shuffled or made stay in proportion to bucket
 sizes (times the number of blocks for the unresolved rest), never to their squares.
 """
@@ -59,31 +63,47 @@ def _stars(edges: DataFrame) -> bool:
         .filter(F.col("up") + F.col("down") > 1).count() == 0
 
 
-def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike) -> DataFrame:
+def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike, marks: DataFrame | None = None) -> DataFrame:
     """(node, root, n_links) of the nodes that any verified link touches.
 
     ``members`` has (key, node) rows, ``bodies`` brings (node, body) for a table of nodes, and
     ``alike`` decides: ``alike.pairs(left bodies, right bodies)`` and ``alike.blocks(left, right)``.
+    ``marks`` has (node, mark), one row a node; ``alike.may(mark, mark)`` and ``alike.may_blocks(marks,
+    marks)`` tell which pairs may be alike.
     """
     bucket = Window.partitionBy("key")
     full = stage(members.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
                  .filter("low != high").distinct(), "buckets")
-    texts = stage(bodies(full.select("node").distinct()), "bodies")
     stars = full.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    left = texts.select(F.col("node").alias("a"), F.col("body").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("body").alias("right"))
-    links = stage(_verify(stars.join(left, "a").join(right, "b"), alike), "links")
+    texts = None
+    if marks is None:
+        texts = stage(bodies(full.select("node").distinct()), "bodies")
+    else:
+        marks = stage(marks, "marks")
+        for side in "ab":
+            stars = stars.join(marks.select(F.col("node").alias(side), F.col("mark").alias(f"mark_{side}")), side)
+        stars = stage(stars.filter(alike.may(F.col("mark_a"), F.col("mark_b"))).select("a", "b"), "stars")
+    links = stage(_verify(_with_bodies(stars, texts, bodies), alike), "links")
     roots = stage(components(links), "roots")
     known = stage(full.filter("node != low").select("key", "node").join(roots, "node", "left")
                   .select("key", "node", F.coalesce("root", "node").alias("root")), "unresolved")
     spread = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")) \
         .filter("low != high").select("key", "n")
-    open_ = stage(known.join(spread, "key"), "unresolved")
+    open_ = known.join(spread, "key")
+    may = F.lit(True)
+    if marks is not None:
+        open_ = _possible(stage(open_.join(marks, "node"), "unresolved"), alike)
+        may = alike.may(F.col("x.mark"), F.col("y.mark"))
+    open_ = stage(open_, "unresolved")
     few = open_.filter(F.col("n") <= SMALL)
-    pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node and x.root != y.root") \
+    pairs = few.alias("x").join(few.alias("y"), "key").filter(F.expr("x.node < y.node and x.root != y.root") & may) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = stage(_verify(pairs.join(left, "a").join(right, "b"), alike)
-                 .unionByName(_block_links(open_.filter(F.col("n") > SMALL), texts, alike)), "links")
+    many = open_.filter(F.col("n") > SMALL).select("key", "node", "root", "n")
+    if marks is not None:
+        pairs = stage(pairs, "pairs")
+        texts = stage(bodies(pairs.select(F.explode(F.array("a", "b")).alias("node"))
+                             .unionByName(many.select("node")).distinct()), "bodies")
+    more = stage(_verify(_with_bodies(pairs, texts, bodies), alike).unionByName(_block_links(many, texts, alike)), "links")
     all_links = links.unionByName(more).distinct()
     final = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     degree = all_links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -101,16 +121,47 @@ def _verify(pairs: DataFrame, alike) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_links(members: DataFrame, texts: DataFrame, alike) -> DataFrame:
-    """Links between different classes of each bucket: (key, node, root, n) in, (a, b) out."""
-    # a member's block is drawn by hash: about BLOCK_ITEMS / 2 members each
+def _with_bodies(pairs: DataFrame, texts: DataFrame | None, bodies: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b, left, right): pairs with their texts, which ``bodies`` brings where there are none yet."""
+    if texts is None:
+        texts = stage(bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "bodies")
+    left = texts.select(F.col("node").alias("a"), F.col("body").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("body").alias("right"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _possible(members: DataFrame, alike) -> DataFrame:
+    """Members of buckets (key, node, root, n, mark) without those of large buckets whose marks allow
+    no member of another class; n follows."""
+    large = members.filter(F.col("n") > SMALL)
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, root = table.column("block").to_numpy(), table.column("root").to_numpy()
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        mark = table.column("mark").combine_chunks()
+        may = alike.may_blocks(mark.take(pa.array(a)), mark.take(pa.array(b))) & (root[a][:, None] != root[b][None, :])
+        some = np.concatenate([a[may.any(axis=1)], b[may.any(axis=0)]])
+        return table.select(["key", "node"]).take(pa.array(np.unique(some)))
+
+    met = _dealt(large).groupBy("key", "i", "j").applyInArrow(run, "key bigint, node bigint").distinct()
+    left = large.drop("n").join(met, ["key", "node"], "left_semi")
+    left = left.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    return members.filter(F.col("n") <= SMALL).unionByName(left)
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """A member's block is drawn by hash, about BLOCK_ITEMS / 2 members each; a row for every two blocks (i, j) that it is in."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / BLOCK_ITEMS)).cast("int")
-    dealt = members.withColumn("blocks", blocks) \
+    return members.withColumn("blocks", blocks) \
         .withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "block", "node", "root")
-    held = dealt.join(texts, "node")
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("n", "blocks", "other")
+
+
+def _block_links(members: DataFrame, texts: DataFrame, alike) -> DataFrame:
+    """Links between different classes of each bucket: (key, node, root, n) in, (a, b) out."""
+    held = _dealt(members).join(texts, "node")
 
     def run(table: pa.Table) -> pa.Table:
         # pairs inside a block are compared where it meets itself, pairs across where i < j

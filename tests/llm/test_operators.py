@@ -229,6 +229,54 @@ def test_word_join_finds_and_verifies_every_pair():
     assert all(keys[0][i] & keys[1][i] for i in np.flatnonzero(near))
 
 
+def test_marks_never_rule_out_near_lines(spark):
+    rnd = random.Random(11)
+
+    def change(line):
+        line = list(line)
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(line))
+            line[i:i + 1] = rnd.choice([[], ["é"], [line[i], " new "], ["😀"], list(" two words ")])
+        return "".join(line)
+
+    a = [" ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randint(3, 160))) for _ in range(400)] + [" " * 30, "—" * 30]
+    b = [change(x) for x in a]
+    left, right = pa.array(a), pa.array(b)
+    lines = linededup.NearLines()
+    x, y = linededup.line_marks(left), linededup.line_marks(right)
+    may = lines.may_blocks(x, y)
+    assert (may.diagonal() | ~lines.pairs(left, right)).all() and 300 < may.diagonal().sum() and may.sum() < 0.02 * may.size
+    both = spark.createDataFrame([(i, p, q) for i, (p, q) in enumerate(zip(x.to_pylist(), y.to_pylist()))],
+                                 ", ".join(["i int", *(f"{s} struct<{','.join(f'{f}:{k}' for f, k in linededup.MARK.items())}>" for s in "xy")]))
+    assert {r.i for r in both.filter(lines.may(F.col("x"), F.col("y"))).collect()} == set(np.flatnonzero(may.diagonal()))
+
+
+def test_only_lines_that_may_be_alike_are_fetched(spark):
+    """Lines that share keys but not their marks: no text of theirs is fetched, in small buckets and in large ones."""
+    from medialens.llm import linking
+    rnd = random.Random(12)
+    near = ["".join(chr(rnd.randrange(65, 123)) for _ in range(60)) for _ in range(40)]
+    texts = [*near, *(x[:9] + "x" + x[10:] for x in near[:10]), *("q" * i for i in range(40, 100))]
+    marks = linededup.line_marks(pa.array(texts)).to_pylist()
+    marked = spark.createDataFrame([(i, m) for i, m in enumerate(marks)],
+                                   f"node bigint, mark struct<{','.join(f'{f}:{k}' for f, k in linededup.MARK.items())}>")
+    held = spark.createDataFrame(list(enumerate(texts)), "node bigint, body string")
+    # one bucket of the letter lines, one of these and some q lines, small ones
+    members = [(1, i) for i in range(50)] + [(2, i) for i in range(60)] + [(3 + i, j) for i in range(8) for j in (i, i + 10, i + 20)]
+    asked = []
+
+    def bodies(nodes):
+        asked.append({r.node for r in nodes.collect()})
+        return held.join(nodes, "node", "left_semi")
+
+    members = spark.createDataFrame(members, "key bigint, node bigint")
+    find = lambda *more: {(r.node, r.root) for r in linking.classes(members, bodies, linededup.NearLines(), *more).collect()}
+    whole, (all_,) = find(), asked
+    asked.clear()
+    assert find(marked) == whole >= {(40 + i, i) for i in range(10)} and len(all_) == 60
+    assert len(set().union(*asked)) < 40
+
+
 def test_long_lines_within_words_and_short_equal_lines_go(spark):
     rnd = random.Random(9)
     line = [f"word{rnd.randrange(10 ** 4)}" for _ in range(70)]
