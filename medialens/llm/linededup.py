@@ -234,8 +234,11 @@ MARK = {"chars": "int", "words": "int", "letters": "bigint", "low": "bigint", "h
 def line_marks(column: pa.Array) -> pa.StructArray:
     """The marks of each line."""
     points, off = _points(column)
-    words, row = _words(points, off)
-    n = np.bincount(row, minlength=len(column))
+    return _marks(points, off, *_words(points, off))
+
+
+def _marks(points: np.ndarray, off: np.ndarray, words: np.ndarray, row: np.ndarray) -> pa.StructArray:
+    n = np.bincount(row, minlength=len(off) - 1)
     ends = np.concatenate(([0], np.cumsum(n)))
     place, bit = words >> _U(57), _U(1) << ((words >> _U(51)) & _U(63))
     odd = [_odd(_U(1) << (points.astype(np.uint64) & _U(63)), off),
@@ -352,18 +355,25 @@ class NearLines:
         return good
 
     def blocks(self, left: pa.Array, right: pa.Array, roots: np.ndarray, others: np.ndarray):
-        x, y = self.points.blocks(left, right, roots, others)
-        (lt, li), (rt, ri) = _words(*_points(left)), _words(*_points(right))
+        (lp, lo), (rp, ro) = _points(left), _points(right)
+        (lt, li), (rt, ri) = _words(lp, lo), _words(rp, ro)
+        x, y = np.nonzero(self.may_blocks(_marks(lp, lo, lt, li), _marks(rp, ro, rt, ri)) & (roots[:, None] != others[None, :]))
+        near = self.points._within(lp, lo, rp, ro, x, y)
+        x, y, u, v = x[near], y[near], x[~near], y[~near]
         n, m = np.bincount(li, minlength=len(left)), np.bincount(ri, minlength=len(right))
-        edits = allowed(np.minimum(n[:, None], m[None, :]))
-        near = (edits > 0) & (np.abs(n[:, None] - m[None, :]) <= edits) & (roots[:, None] != others[None, :])
-        near[x, y] = False
-        if near.any():
-            both = linking.common_all(*linking.tokens(None, lambda _: (lt, li)), *linking.tokens(None, lambda _: (rt, ri)), len(n), len(m))
-            near &= both >= np.maximum(n[:, None], m[None, :]) - edits
-        u, v = np.nonzero(near)
-        good = self._within(lt, li, rt, ri, u, v, edits[u, v])
-        return np.concatenate([x, u[good]]), np.concatenate([y, v[good]])
+        edits = allowed(np.minimum(n[u], m[v]))
+        some = (edits > 0) & (np.abs(n[u] - m[v]) <= edits)
+        u, v, edits = u[some], v[some], edits[some]
+        if len(u):
+            # the words in common, of the lines that are left
+            (lk, lt, li), (rk, rt, ri) = _of_rows(lt, li, u), _of_rows(rt, ri, v)
+            both = linking.common_all(*linking.tokens(None, lambda _: (lt, li)), *linking.tokens(None, lambda _: (rt, ri)), len(lk), len(rk))
+            i, j = np.searchsorted(lk, u), np.searchsorted(rk, v)
+            some = both[i, j] >= np.maximum(n[u], m[v]) - edits
+            u, v = u[some], v[some]
+            good = self._within(lt, li, rt, ri, i[some], j[some], edits[some])
+            x, y = np.concatenate([x, u[good]]), np.concatenate([y, v[good]])
+        return x, y
 
     def _within(self, lt, li, rt, ri, x, y, edits) -> np.ndarray:
         a, b = (np.searchsorted(row, [i, i + 1]) for row, i in ((li, x), (ri, y)))
@@ -371,6 +381,14 @@ class NearLines:
                          for s, e, t, f, k in zip(*a, *b, edits, strict=True)], bool)
 
 
+def _of_rows(words: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows wanted, once each in order; their words, and the number of each word's row among them."""
+    rows = np.unique(wanted)
+    at = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
+    own = rows[at] == row
+    return rows, words[own], at[own]
+
+
 def _letters(points: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(off) - 1
     row = np.repeat(np.arange(n), np.diff(off))
