@@ -8,8 +8,8 @@
    join different classes come out. Then step 2 again.
 
 Where items have marks - a few numbers that alike items have nearly in common - pairs are
-compared by them first, in every step, and only what they allow has its body fetched. Of a large
-bucket the members that no other class's marks allow leave before blocks of bodies are formed.
+compared by them first, and only what they allow has its body fetched. The blocks of large
+buckets are formed of bodies.
 
 Every candidate pair is so either ruled out by its marks, or verified, or already in one class by links that were: no
 partner is capped and no link lost. Rows that are shuffled or made stay in proportion to bucket
@@ -68,8 +68,7 @@ def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike,
 
     ``members`` has (key, node) rows, ``bodies`` brings (node, body) for a table of nodes, and
     ``alike`` decides: ``alike.pairs(left bodies, right bodies)`` and ``alike.blocks(left, right)``.
-    ``marks`` has (node, mark), one row a node; ``alike.may(mark, mark)`` and ``alike.may_blocks(marks,
-    marks)`` tell which pairs may be alike.
+    ``marks`` has (node, mark), one row a node; ``alike.may(mark, mark)`` tells which pairs may be alike.
     """
     bucket = Window.partitionBy("key")
     full = stage(members.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
@@ -92,7 +91,7 @@ def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike,
     open_ = known.join(spread, "key")
     may = F.lit(True)
     if marks is not None:
-        open_ = _possible(stage(open_.join(marks, "node"), "unresolved"), alike)
+        open_ = open_.join(marks, "node")
         may = alike.may(F.col("x.mark"), F.col("y.mark"))
     open_ = stage(open_, "unresolved")
     few = open_.filter(F.col("n") <= SMALL)
@@ -130,26 +129,6 @@ def _with_bodies(pairs: DataFrame, texts: DataFrame | None, bodies: Callable[[Da
     return pairs.join(left, "a").join(right, "b")
 
 
-def _possible(members: DataFrame, alike) -> DataFrame:
-    """Members of buckets (key, node, root, n, mark) without those of large buckets whose marks allow
-    no member of another class; n follows."""
-    large = members.filter(F.col("n") > SMALL)
-
-    def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block, root = table.column("block").to_numpy(), table.column("root").to_numpy()
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        mark = table.column("mark").combine_chunks()
-        may = alike.may_blocks(mark.take(pa.array(a)), mark.take(pa.array(b))) & (root[a][:, None] != root[b][None, :])
-        some = np.concatenate([a[may.any(axis=1)], b[may.any(axis=0)]])
-        return table.select(["key", "node"]).take(pa.array(np.unique(some)))
-
-    met = _dealt(large).groupBy("key", "i", "j").applyInArrow(run, "key bigint, node bigint").distinct()
-    left = large.drop("n").join(met, ["key", "node"], "left_semi")
-    left = left.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    return members.filter(F.col("n") <= SMALL).unionByName(left)
-
-
 def _dealt(members: DataFrame) -> DataFrame:
     """A member's block is drawn by hash, about BLOCK_ITEMS / 2 members each; a row for every two blocks (i, j) that it is in."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / BLOCK_ITEMS)).cast("int")
