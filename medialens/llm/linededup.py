@@ -10,19 +10,25 @@ words per ``WORDS_PER_EDIT`` words of the shorter line, so that the edits grow w
   (length, segment number, segment), and looks itself up under the substrings that lines of its
   own length and up to ``DISTANCE`` shorter could have there (the multi-match-aware windows: 12
   keys a line at 2 edits).
-* Words: an edit changes at most ``GRAM`` of a line's groups of that many consecutive words, so
-  lines within k edits have all but ``k * GRAM`` groups in common, and the ``k * GRAM + 1``
-  smallest by hash (then place) of each share one (prefix filter). A line is put under the hashes of
-  (class of its number of words, group) of these - about one key for five words, at every length -
-  and under the next class too if a line within its edits could be in that one. An edit of a code
-  point is at most three of words, so lines in which that many are allowed need no segments.
+* Words, up to ``SHARED`` edits: an edit takes one word at most and adds one, so of 2k + 1 shares
+  into which the words are dealt by hash, lines within k edits have one with the same words. A line
+  is put under the hash of (k, number, words) of each share, and under those of one edit less if a
+  line of so few could be within its edits. Shares of hardly any letters are put under their hash
+  with that of each share of a second dealing.
+* Words, more edits: an edit changes at most ``GRAM`` of a line's groups of that many consecutive
+  words, so lines within k edits have all but ``k * GRAM`` groups in common, and the
+  ``k * GRAM + 1`` first of each - the longest, which are the rarest, then by hash, then place -
+  share one (prefix filter). A line is put under the hashes of (class of its number of words,
+  group) of these, and under the next class too if a line within its edits could be in that one.
+* An edit of a code point takes and adds at most four words, or is three edits of words, so lines
+  of as many shares or edits meet by words and need no segments.
 
 A word is a run of letters and digits; other visible characters, and each character of a script
 that writes without spaces, are words of their own.
 
 A line's marks are its numbers of code points and words, and which of 64 folded code points and of
 128 folded words it has an odd number of times: an edit changes two of the latter at most. Lines that
-meet are compared by these first, and only those that may be alike have their texts fetched.
+meet are compared by these first, and only those that may be alike have their texts joined.
 
 Lines that meet are verified (banded bit-parallel edit distance of code points; of words, the
 number of words in common and then a bit-parallel edit distance) and joined into classes
@@ -52,7 +58,7 @@ from pyspark.sql import functions as F
 
 from . import linking
 from . import textbytes as tb
-from .scratch import stage
+from .scratch import stage_alone as stage
 
 DISTANCE = 2
 #: Shorter lines are only compared for equality.
@@ -60,12 +66,21 @@ MIN_CHARS = 24
 WORDS_PER_EDIT = 25
 #: Consecutive words under which lines meet.
 GRAM = 4
-#: Edits of words that one edit of a code point makes at most, and words by which it changes their number.
-_WORD_EDITS, _WORD_SHIFT = 3, 2
+#: Edits of words up to which lines meet by shares of their words, and above by groups.
+SHARED = 7
+#: A share whose words have fewer code points besides their first ones is too common to be a key by itself.
+PLAIN = 4
+#: Words that one edit of a code point takes or adds at most (as edits of words, three), and by which it changes their number.
+_WORD_CHANGES, _WORD_SHIFT = 4, 2
+#: Groups come by length, from _LONGEST code points on as one, then by hash: bits of hash, and of both, below a row's number.
+#: Rows of so many edits have 8 * WORDS_PER_EDIT bytes at least, so a slice has less than 1 << 17 of them.
+_LONGEST, _LENGTH, _ROW = 63, 41, 47
 #: Pairs verified in one pass.
 GROUP = 4096
 #: Line hashes that a task remembers before it starts anew (8 bytes each).
 KNOWN_LINES = 1 << 20
+#: Bytes of lines whose keys are made at once.
+KEYED = 1 << 18
 #: Candidate lines that are sent to all tasks to fetch their texts (8 bytes each); more are joined by shuffle.
 SENT_LINES = 500_000
 
@@ -147,26 +162,36 @@ _ALNUM = np.zeros(128, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-def _words(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word in text order."""
-    if not len(points):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    single = np.zeros(len(points), bool)
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 between words, 1 in runs, 2 a word of its own."""
+    kind = np.ones(0x110000, np.uint8)
     for low, high in _SINGLE:
-        single |= (points >= low) & (points < high)
-    ascii_ = points < 128
-    run = np.where(ascii_, _ALNUM[np.minimum(points, 127)], ~single & (points != 0xA0) & (points != 0x3000))
-    single = (single | ascii_ & ~run & (points > 0x20)) & (points != 0x3000)
-    edge = np.zeros(len(points) + 1, bool)
-    edge[off] = True
-    before, after = np.zeros(len(points), bool), np.zeros(len(points), bool)
-    before[1:], after[:-1] = run[:-1], run[1:]
-    start = np.flatnonzero(single | run & (~before | edge[:-1]))
-    end = np.flatnonzero(single | run & (~after | edge[1:])) + 1
+        kind[low:high] = 2
+    kind[:128] = np.where(_ALNUM, 1, 2)
+    kind[:0x21] = kind[[0xA0, 0x3000]] = 0
+    return kind
+
+
+def _words(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, code points) of every word in text order."""
+    if not len(points):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    kind = _kinds()[points]
+    run, single = kind == 1, kind == 2
+    cut = np.zeros(len(points) + 1, bool)
+    cut[off] = True
+    # a run goes on from the code point before
+    on = np.zeros(len(points) + 1, bool)
+    np.logical_and(run[1:], run[:-1], out=on[1:-1])
+    on &= ~cut
+    start = np.flatnonzero(single | run & ~on[:-1])
+    end = np.flatnonzero(single | run & ~on[1:]) + 1
     power, back = _powers(len(points) + 1)
     total = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + _U(1)) * power[:-1], out=total[1:])
-    return tb.mix((total[end] - total[start]) * back[start]), np.searchsorted(off, start, "right") - 1
+    per_row = np.diff(np.searchsorted(start, off))
+    return tb.mix((total[end] - total[start]) * back[start]), np.repeat(np.arange(len(per_row)), per_row), end - start
 
 
 #: Numbers of words at which the next class of line lengths begins.
@@ -179,25 +204,70 @@ def allowed(n_words):
 
 
 def word_keys(column: pa.Array, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key) under which lines meet by their words, and the number of words of each row."""
+    """(row, key) under which lines of a slice meet by their words, and the number of words of each row."""
     points, off = _points(column)
-    words, row = _words(points, off)
+    words, row, size = _words(points, off)
     n = np.bincount(row, minlength=len(column))
     wanted = np.where(np.diff(off) >= least, allowed(n), 0)
+    few, few_keys = _share_keys(n, wanted, words, size)
+    many, many_keys = _gram_keys(n, np.where(wanted > SHARED, wanted, 0), words, row, size)
+    return np.concatenate([few, many]), np.concatenate([few_keys, many_keys]), n
+
+
+def _share_keys(n: np.ndarray, wanted: np.ndarray, words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lines of few edits: of each share of the words, its number and content."""
+    begin = np.cumsum(n) - n
+    rows, keys = [], []
+    # a line is longer than one of fewer edits by that many words at most, so it meets those of one edit less
+    for down in (0, 1):
+        edits = wanted - down
+        some = np.flatnonzero((edits > 0) & (edits <= SHARED) & (n - WORDS_PER_EDIT * (edits + 1) < edits))
+        shares = 2 * edits[some] + 1
+        first = np.concatenate(([0], np.cumsum(shares)))
+        own = np.repeat(np.arange(len(some)), n[some])
+        at = np.arange(len(own)) + np.repeat(begin[some] - (np.cumsum(n[some]) - n[some]), n[some])
+        word, line = words[at], np.repeat(np.arange(len(some)), shares)
+        tag = tb.mix((edits[some][line] * 4 * SHARED + np.arange(first[-1]) - first[line] + 1).astype(np.uint64) * tb.BASE)
+
+        def content(drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            share = first[own] + (((drawn >> _U(32)) * shares[own].astype(np.uint64)) >> _U(32)).astype(np.int64)
+            total = np.zeros(first[-1], np.uint64)
+            np.add.at(total, share, word)
+            return share, tb.mix(total ^ tag)
+
+        share, key = content(word)
+        plain = np.bincount(share, size[at] - 1, first[-1]) < PLAIN
+        rows.append(some[line[~plain]])
+        keys.append(key[~plain])
+        plain = np.flatnonzero(plain)
+        if len(plain):
+            # each with every share of a second dealing
+            _, second = content(tb.mix(word + tb.BASE))
+            times = shares[line[plain]]
+            which = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first[line[plain]], times)
+            rows.append(some[np.repeat(line[plain], times)])
+            keys.append(tb.mix(np.repeat(tb.mix(key[plain]), times) + second[which]))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _gram_keys(n: np.ndarray, wanted: np.ndarray, words: np.ndarray, row: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lines of many edits: the first of their groups of words."""
+    whole = np.flatnonzero(wanted)
     some = wanted[row] > 0
-    grams, first = tb.windows(words[some], row[some], GRAM)
-    at = row[some][first]
-    order = np.lexsort((grams, at))
-    grams, at = grams[order], at[order]
-    few = np.arange(len(at)) - np.searchsorted(at, at) <= wanted[at] * GRAM
-    few[1:] &= (grams[1:] != grams[:-1]) | (at[1:] != at[:-1])
-    grams, at = grams[few], at[few]
-    size = np.searchsorted(_SIZES, n, "right")
-    above = np.flatnonzero((np.searchsorted(_SIZES, n + wanted, "right") > size)[at])
+    number = np.repeat(np.arange(len(whole)), n[whole])
+    grams, first = tb.windows(words[some], number, GRAM)
+    chars = np.concatenate(([0], np.cumsum(size[some])))
+    chars = np.minimum(chars[first + GRAM] - chars[first], _LONGEST)
+    order = np.sort((number[first] << _ROW | (_LONGEST - chars) << _LENGTH).astype(np.uint64) | grams >> _U(64 - _LENGTH))
+    at = (order >> _U(_ROW)).astype(np.int64)
+    few = np.arange(len(at)) - np.searchsorted(at, np.arange(len(whole)))[at] <= wanted[whole][at] * GRAM
+    few[1:] &= order[1:] != order[:-1]
+    at, grams = whole[at[few]], order[few] & _U((1 << _ROW) - 1)
+    class_ = np.searchsorted(_SIZES, n, "right")
+    above = np.flatnonzero((np.searchsorted(_SIZES, n + wanted, "right") > class_)[at])
+    class_ = np.concatenate([class_[at], class_[at[above]] + 1])
     at, grams = np.concatenate([at, at[above]]), np.concatenate([grams, grams[above]])
-    size = size[at]
-    size[len(size) - len(above):] += 1
-    return at, tb.mix(grams ^ tb.mix(size.astype(np.uint64) * tb.BASE)), n
+    return at, tb.mix(tb.mix(grams) ^ tb.mix(class_.astype(np.uint64) * tb.BASE))
 
 
 def word_edits(a: list[int], b: list[int]) -> int:
@@ -234,7 +304,7 @@ MARK = {"chars": "int", "words": "int", "letters": "bigint", "low": "bigint", "h
 def line_marks(column: pa.Array) -> pa.StructArray:
     """The marks of each line."""
     points, off = _points(column)
-    return _marks(points, off, *_words(points, off))
+    return _marks(points, off, *_words(points, off)[:2])
 
 
 def _marks(points: np.ndarray, off: np.ndarray, words: np.ndarray, row: np.ndarray) -> pa.StructArray:
@@ -346,7 +416,7 @@ class NearLines:
         good = self.points.pairs(left, right)
         rest = np.flatnonzero(~good)
         if len(rest):
-            (lt, li), (rt, ri) = (_words(*_points(side.take(pa.array(rest)))) for side in (left, right))
+            (lt, li), (rt, ri) = (_words(*_points(side.take(pa.array(rest))))[:2] for side in (left, right))
             n, m = np.bincount(li, minlength=len(rest)), np.bincount(ri, minlength=len(rest))
             edits = allowed(np.minimum(n, m))
             both = linking.common(*linking.tokens(None, lambda _: (lt, li)), *linking.tokens(None, lambda _: (rt, ri)), len(rest))
@@ -356,7 +426,7 @@ class NearLines:
 
     def blocks(self, left: pa.Array, right: pa.Array, roots: np.ndarray, others: np.ndarray):
         (lp, lo), (rp, ro) = _points(left), _points(right)
-        (lt, li), (rt, ri) = _words(lp, lo), _words(rp, ro)
+        (lt, li), (rt, ri) = _words(lp, lo)[:2], _words(rp, ro)[:2]
         x, y = np.nonzero(self.may_blocks(_marks(lp, lo, lt, li), _marks(rp, ro, rt, ri)) & (roots[:, None] != others[None, :]))
         near = self.points._within(lp, lo, rp, ro, x, y)
         x, y, u, v = x[near], y[near], x[~near], y[~near]
@@ -413,30 +483,29 @@ def _classes(lines: DataFrame, distance: int) -> DataFrame:
         seen = _Seen()
         for batch in batches:
             batch = batch.take(pa.array(seen.new(batch.column("node").to_numpy())))
-            for piece in tb.slices(batch, "line"):
+            for piece in tb.slices(batch, "line", KEYED):
                 line = piece.column("line")
                 by_word, word_key, n_words = word_keys(line)
-                few = np.flatnonzero(allowed(n_words - _WORD_SHIFT * distance) < _WORD_EDITS * distance)
+                few = np.flatnonzero(2 * allowed(n_words - _WORD_SHIFT * distance) < _WORD_CHANGES * distance)
                 row, key = segment_keys(line.take(pa.array(few)), distance)
                 row, key = np.concatenate([few[row], by_word]), np.concatenate([key, word_key])
                 node = piece.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row])], names=["key", "node"])
 
-    def bodies(nodes: DataFrame) -> DataFrame:
-        held = stage(nodes, "candidate-lines")
-        wanted = F.broadcast(held) if held.count() <= SENT_LINES else held
-        return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("body"))
-
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
         for batch in batches:
-            batch = batch.take(pa.array(seen.new(batch.column("node").to_numpy())))
-            for piece in tb.slices(batch, "line"):
-                yield pa.RecordBatch.from_arrays([piece.column("node"), *line_marks(piece.column("line")).flatten()], names=["node", *MARK])
+            for piece in tb.slices(batch, "body", KEYED):
+                yield pa.RecordBatch.from_arrays([*piece.columns, *line_marks(piece.column("body")).flatten()], names=["node", "body", *MARK])
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """The lines that meet any other: (node, body, mark)."""
+        held = stage(nodes, "candidate-lines")
+        wanted = F.broadcast(held) if held.count() <= SENT_LINES else held
+        found = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("body"))
+        found = found.mapInArrow(mark, "node bigint, body string, " + ", ".join(f"{f} {kind}" for f, kind in MARK.items()))
+        return found.select("node", "body", F.struct(*MARK).alias("mark"))
 
-    marks = lines.mapInArrow(mark, "node bigint, " + ", ".join(f"{f} {kind}" for f, kind in MARK.items())) \
-        .dropDuplicates(["node"]).select("node", F.struct(*MARK).alias("mark"))
-    return linking.classes(lines.mapInArrow(file, "key bigint, node bigint"), bodies, NearLines(distance), marks)
+    return linking.classes(lines.mapInArrow(file, "key bigint, node bigint"), texts, NearLines(distance), "mark")
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:

@@ -8,7 +8,7 @@
    join different classes come out. Then step 2 again.
 
 Where items have marks - a few numbers that alike items have nearly in common - pairs are
-compared by them first, and only what they allow has its body fetched. The blocks of large
+compared by them first, and only what they allow has its body joined. The blocks of large
 buckets are formed of bodies.
 
 Every candidate pair is so either ruled out by its marks, or verified, or already in one class by links that were: no
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .scratch import stage
+from .scratch import stage_alone as stage
 
 BLOCK_ITEMS = 512
 SMALL = 16
@@ -63,22 +63,26 @@ def _stars(edges: DataFrame) -> bool:
         .filter(F.col("up") + F.col("down") > 1).count() == 0
 
 
-def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike, marks: DataFrame | None = None) -> DataFrame:
+def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike, marks: DataFrame | str | None = None) -> DataFrame:
     """(node, root, n_links) of the nodes that any verified link touches.
 
     ``members`` has (key, node) rows, ``bodies`` brings (node, body) for a table of nodes, and
     ``alike`` decides: ``alike.pairs(left bodies, right bodies)`` and ``alike.blocks(left, right)``.
-    ``marks`` has (node, mark), one row a node; ``alike.may(mark, mark)`` tells which pairs may be alike.
+    ``marks`` has (node, mark), one row a node, or names the column in which ``bodies`` brings them;
+    ``alike.may(mark, mark)`` tells which pairs may be alike.
     """
     bucket = Window.partitionBy("key")
     full = stage(members.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
                  .filter("low != high").distinct(), "buckets")
     stars = full.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     texts = None
-    if marks is None:
+    if marks is None or isinstance(marks, str):
         texts = stage(bodies(full.select("node").distinct()), "bodies")
+        marks = marks and texts.select("node", F.col(marks).alias("mark"))
+        texts = texts.select("node", "body")
     else:
         marks = stage(marks, "marks")
+    if marks is not None:
         for side in "ab":
             stars = stars.join(marks.select(F.col("node").alias(side), F.col("mark").alias(f"mark_{side}")), side)
         stars = stage(stars.filter(alike.may(F.col("mark_a"), F.col("mark_b"))).select("a", "b"), "stars")
@@ -98,7 +102,7 @@ def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike,
     pairs = few.alias("x").join(few.alias("y"), "key").filter(F.expr("x.node < y.node and x.root != y.root") & may) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     many = open_.filter(F.col("n") > SMALL).select("key", "node", "root", "n")
-    if marks is not None:
+    if texts is None:
         pairs = stage(pairs, "pairs")
         texts = stage(bodies(pairs.select(F.explode(F.array("a", "b")).alias("node"))
                              .unionByName(many.select("node")).distinct()), "bodies")

@@ -14,8 +14,23 @@ def place(spark: SparkSession, name: str) -> str:
     return scratch_dir(spark, f"llm-{name}-{uuid.uuid4().hex}")
 
 
+#: Shuffle files go when the query that wrote them ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_alone(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`stage`, and the shuffle files behind ``df`` are removed when it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.set(CLEANUP, before)
