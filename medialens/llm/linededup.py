@@ -77,6 +77,8 @@ _WORD_CHANGES, _WORD_SHIFT = 4, 2
 _LONGEST, _LENGTH, _ROW = 63, 41, 47
 #: Pairs verified in one pass.
 GROUP = 4096
+#: Pairs for a line up to which the words in common are counted pair by pair.
+FEW_PAIRS = 4
 #: Line hashes that a task remembers before it starts anew (8 bytes each).
 KNOWN_LINES = 1 << 20
 #: Bytes of lines whose keys are made at once.
@@ -311,7 +313,7 @@ def _marks(points: np.ndarray, off: np.ndarray, words: np.ndarray, row: np.ndarr
     n = np.bincount(row, minlength=len(off) - 1)
     ends = np.concatenate(([0], np.cumsum(n)))
     place, bit = words >> _U(57), _U(1) << ((words >> _U(51)) & _U(63))
-    odd = [_odd(_U(1) << (points.astype(np.uint64) & _U(63)), off),
+    odd = [_odd_letters(points, off),
            *(_odd(np.where(place & _U(1) == side, bit, _U(0)), ends) for side in (0, 1))]
     return pa.StructArray.from_arrays([pa.array(np.diff(off).astype(np.int32)), pa.array(n.astype(np.int32)),
                                        *(pa.array(x.view(np.int64)) for x in odd)], [*MARK])
@@ -324,6 +326,10 @@ def _odd(bits: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] ^ total[off[:-1]]
 
 
+def _odd_letters(points: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return _odd(_U(1) << (points.astype(np.uint64) & _U(63)), off)
+
+
 class EditDistance:
     """Lines are alike within a number of edits."""
 
@@ -331,8 +337,12 @@ class EditDistance:
         self.distance = distance
 
     def pairs(self, left: pa.Array, right: pa.Array) -> np.ndarray:
-        n = np.arange(len(left))
-        return self._within(*_points(left), *_points(right), n, n)
+        (lp, lo), (rp, ro) = _points(left), _points(right)
+        unlike = np.bitwise_count(_odd_letters(lp, lo) ^ _odd_letters(rp, ro))
+        out = np.zeros(len(left), bool)
+        some = np.flatnonzero(unlike <= 2 * self.distance)
+        out[some] = self._within(lp, lo, rp, ro, some, some)
+        return out
 
     def blocks(self, left: pa.Array, right: pa.Array, roots: np.ndarray, others: np.ndarray):
         (lp, lo), (rp, ro) = _points(left), _points(right)
@@ -405,12 +415,16 @@ class NearLines:
 
     def may_blocks(self, left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
         """The same for each of some marks with each of others."""
+        near, words = self._may_blocks(left, right)
+        return near | words
+
+    def _may_blocks(self, left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
         x = {f: left.field(f).to_numpy()[:, None] for f in MARK}
         y = {f: right.field(f).to_numpy()[None, :] for f in x}
         unlike = lambda f: np.bitwise_count((x[f] ^ y[f]).view(np.uint64)).astype(np.int64)
         edits = allowed(np.minimum(x["words"], y["words"]))
         near = (np.abs(x["chars"] - y["chars"]) <= self.points.distance) & (unlike("letters") <= 2 * self.points.distance)
-        return near | (edits > 0) & (np.abs(x["words"] - y["words"]) <= edits) & (unlike("low") + unlike("high") <= 2 * edits)
+        return near, (edits > 0) & (np.abs(x["words"] - y["words"]) <= edits) & (unlike("low") + unlike("high") <= 2 * edits)
 
     def pairs(self, left: pa.Array, right: pa.Array) -> np.ndarray:
         good = self.points.pairs(left, right)
@@ -427,21 +441,29 @@ class NearLines:
     def blocks(self, left: pa.Array, right: pa.Array, roots: np.ndarray, others: np.ndarray):
         (lp, lo), (rp, ro) = _points(left), _points(right)
         (lt, li), (rt, ri) = _words(lp, lo)[:2], _words(rp, ro)[:2]
-        x, y = np.nonzero(self.may_blocks(_marks(lp, lo, lt, li), _marks(rp, ro, rt, ri)) & (roots[:, None] != others[None, :]))
-        near = self.points._within(lp, lo, rp, ro, x, y)
-        x, y, u, v = x[near], y[near], x[~near], y[~near]
+        near, by_words = self._may_blocks(_marks(lp, lo, lt, li), _marks(rp, ro, rt, ri))
+        other = roots[:, None] != others[None, :]
+        x, y = np.nonzero(near & other)
+        good = self.points._within(lp, lo, rp, ro, x, y)
+        x, y = x[good], y[good]
+        by_words &= other
+        by_words[x, y] = False
+        u, v = np.nonzero(by_words)
         n, m = np.bincount(li, minlength=len(left)), np.bincount(ri, minlength=len(right))
         edits = allowed(np.minimum(n[u], m[v]))
         some = (edits > 0) & (np.abs(n[u] - m[v]) <= edits)
         u, v, edits = u[some], v[some], edits[some]
         if len(u):
-            # the words in common, of the lines that are left
-            (lk, lt, li), (rk, rt, ri) = _of_rows(lt, li, u), _of_rows(rt, ri, v)
-            both = linking.common_all(*linking.tokens(None, lambda _: (lt, li)), *linking.tokens(None, lambda _: (rt, ri)), len(lk), len(rk))
-            i, j = np.searchsorted(lk, u), np.searchsorted(rk, v)
-            some = both[i, j] >= np.maximum(n[u], m[v]) - edits
+            # the words in common: of each pair, or of all lines that are left if these are in many pairs
+            (lk, lw, lr), (rk, rw, rr) = _of_rows(lt, li, u), _of_rows(rt, ri, v)
+            if len(u) <= FEW_PAIRS * (len(lk) + len(rk)):
+                both = linking.common(*linking.tokens(None, lambda _: _of_each(lt, li, u)), *linking.tokens(None, lambda _: _of_each(rt, ri, v)), len(u))
+            else:
+                both = linking.common_all(*linking.tokens(None, lambda _: (lw, lr)), *linking.tokens(None, lambda _: (rw, rr)), len(lk), len(rk))
+                both = both[np.searchsorted(lk, u), np.searchsorted(rk, v)]
+            some = both >= np.maximum(n[u], m[v]) - edits
             u, v = u[some], v[some]
-            good = self._within(lt, li, rt, ri, i[some], j[some], edits[some])
+            good = self._within(lt, li, rt, ri, u, v, edits[some])
             x, y = np.concatenate([x, u[good]]), np.concatenate([y, v[good]])
         return x, y
 
@@ -451,6 +473,13 @@ class NearLines:
                          for s, e, t, f, k in zip(*a, *b, edits, strict=True)], bool)
 
 
+def _of_each(words: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each wanted row, as often as it is wanted, and their places among the wanted."""
+    start = np.searchsorted(row, wanted)
+    n = np.searchsorted(row, wanted, "right") - start
+    return words[np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)], np.repeat(np.arange(len(wanted)), n)
+
+
 def _of_rows(words: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows wanted, once each in order; their words, and the number of each word's row among them."""
     rows = np.unique(wanted)
@@ -467,7 +496,7 @@ def _letters(points: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     """(doc_id, body hash, place, node, line) of every line but short blank ones."""
-    return docs.select("doc_id", F.xxhash64(text).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line")) \
+    return docs.select("doc_id", text, F.xxhash64(text).alias("body")).select("doc_id", "body", F.posexplode(F.split(F.col(text), "\n")).alias("place", "line")) \
         .filter((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"\S")).select("doc_id", "body", "place", F.xxhash64("line").alias("node"), "line")
 
 

@@ -3,7 +3,7 @@
 1. Star: in every bucket each member is verified against the smallest member only.
 2. Verified links join members into classes (connected components).
 3. Where the other members of a bucket are still of several classes, they are compared: as
-   pairs of different classes in buckets of up to ``SMALL`` members; in larger ones as blocks of
+   pairs of different classes in buckets of up to ``SMALL`` members (``SMALL_MARKED``, if they have marks, see below); in larger ones as blocks of
    about ``BLOCK_ITEMS / 2`` members, two by two inside tasks, of which only the links that
    join different classes come out. Then step 2 again.
 
@@ -31,6 +31,8 @@ from .scratch import stage_alone as stage
 
 BLOCK_ITEMS = 512
 SMALL = 16
+#: The same where items have marks, which are compared for every pair before anything is written.
+SMALL_MARKED = 128
 #: Columns of one dense product when blocks are compared by overlap.
 PRODUCT_COLUMNS = 4096
 
@@ -98,10 +100,11 @@ def classes(members: DataFrame, bodies: Callable[[DataFrame], DataFrame], alike,
         open_ = open_.join(marks, "node")
         may = alike.may(F.col("x.mark"), F.col("y.mark"))
     open_ = stage(open_, "unresolved")
-    few = open_.filter(F.col("n") <= SMALL)
+    small = SMALL if marks is None else SMALL_MARKED
+    few = open_.filter(F.col("n") <= small)
     pairs = few.alias("x").join(few.alias("y"), "key").filter(F.expr("x.node < y.node and x.root != y.root") & may) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    many = open_.filter(F.col("n") > SMALL).select("key", "node", "root", "n")
+    many = open_.filter(F.col("n") > small).select("key", "node", "root", "n")
     if texts is None:
         pairs = stage(pairs, "pairs")
         texts = stage(bodies(pairs.select(F.explode(F.array("a", "b")).alias("node"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +230,65 @@ def test_word_join_finds_and_verifies_every_pair():
     assert all(keys[0][i] & keys[1][i] for i in np.flatnonzero(near))
 
 
+def test_lines_that_share_a_passage_only_do_not_meet():
+    """A passage or frequent words in common are no candidates: buckets stay small, whatever the corpus repeats."""
+    rnd = random.Random(13)
+    passage = " ".join(f"w{i}" for i in range(20))
+    other = lambda n: " ".join(f"v{rnd.randrange(10 ** 6)}" for _ in range(n))
+    lines = pa.array([other(rnd.randint(0, 40)) + " " + passage + " " + other(rnd.randint(40, 80)) for _ in range(200)])
+    rows, keys, _ = linededup.word_keys(lines)
+    assert set(rows.tolist()) == set(range(200))
+    assert np.unique(keys, return_counts=True)[1].max() < 5
+
+
+def test_edits_of_signs_and_spaces_leave_a_common_key():
+    rnd = random.Random(14)
+    for _ in range(400):
+        a = " ".join(rnd.choice(["ab", f"w{rnd.randrange(300)}", "a,b", "x;", "zzz"]) for _ in range(rnd.randrange(20, 330)))
+        b = list(a)
+        for _ in range(2):
+            i = rnd.randrange(len(b))
+            b[i:i + 1] = rnd.choice([[","], [], ["q"], [b[i], ","], [b[i], " "]])
+        keys = []
+        for line in (a, "".join(b)):
+            _, by_word, n = linededup.word_keys(pa.array([line]))
+            few = 2 * linededup.allowed(n[0] - 2 * linededup._WORD_SHIFT) < 2 * linededup._WORD_CHANGES
+            keys.append({*by_word.tolist(), *(linededup.segment_keys(pa.array([line]))[1].tolist() if few else ())})
+        assert keys[0] & keys[1], (a, "".join(b))
+
+
+def test_blocks_of_long_lines_count_words_either_way(monkeypatch):
+    rnd = random.Random(15)
+    base = [[f"w{rnd.randrange(99)}" for _ in range(rnd.randint(30, 120))] for _ in range(12)]
+    lines = []
+    for _ in range(90):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 4)):
+            words[rnd.randrange(len(words))] = f"n{rnd.randrange(9)}"
+        lines.append(" ".join(words))
+    lines, n = pa.array(lines), np.arange(90)
+    i, j = np.divmod(np.arange(8100), 90)
+    near = linededup.NearLines().pairs(lines.take(pa.array(i)), lines.take(pa.array(j)))
+    for few in (0, 10 ** 6):
+        monkeypatch.setattr(linededup, "FEW_PAIRS", few)
+        x, y = linededup.NearLines().blocks(lines, lines, n, n - 1 - 90)
+        assert set(zip(x.tolist(), y.tolist())) == set(zip(i[near].tolist(), j[near].tolist()))
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    from medialens.llm import scratch
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())}
+    before = {x for x in files() if x.startswith("shuffle_")}
+    was = spark.conf.get(scratch.CLEANUP)
+    out = scratch.stage_alone(spark.range(5000).groupBy((F.col("id") % 100).alias("a")).count(), "test")
+    end = time.time() + 20
+    while {x for x in files() - before if x.startswith("shuffle_") and x.endswith(".data")}:
+        assert time.time() < end
+        time.sleep(0.2)
+    assert len(out.collect()) == 100 and spark.conf.get(scratch.CLEANUP) == was
+
+
 def test_marks_never_rule_out_near_lines(spark):
     rnd = random.Random(11)
 
